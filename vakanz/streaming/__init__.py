@@ -1,0 +1 @@
+"""Deliberately empty: no query in this repository works on unbounded input (see README)."""
