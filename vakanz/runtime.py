@@ -68,3 +68,12 @@ def rejects(tagged: DataFrame, stage: str, key: str) -> DataFrame:
     return tagged.where(F.col("reason").isNotNull()).select(
         F.lit(stage).alias("stage"), F.col(key).cast("string").alias("key"), "reason"
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core for a small table stored in few files.
+
+    A table that already has enough partitions is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
