@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # attributes cannot make the matcher backtrack.
 _ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 START_TAG = rf"<([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
+ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?"""
+QUOTES = r"""^["']|["']$"""
 COMMENT = r"(?s)<!--.*?-->"
 RAW_TEXT = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
@@ -82,10 +84,15 @@ def strip_code(page: Column) -> Column:
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    """Value of an attribute, quoted or bare, entities decoded; NULL when it is absent."""
-    pattern = rf"""(?i)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(attrs, pattern, group) for group in (1, 2, 3)])
-    return F.when(F.regexp_like(attrs, F.lit(pattern)), decode_entities(value))
+    """Value of an attribute, quoted or bare, entities decoded; NULL when it is absent.
+
+    An attribute without a value is an empty string.
+    """
+    names = F.transform(F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(2))
+    place = F.array_position(names, F.lit(name)).cast("int")
+    raw = F.get(values, F.nullif(place, F.lit(0)) - 1)
+    return let(raw, lambda v: decode_entities(F.regexp_replace(v, QUOTES, "")))
 
 
 def nodes(page: Column) -> Column:

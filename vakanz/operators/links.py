@@ -11,28 +11,40 @@ from vakanz.functions import links as L
 _VOID = "|".join(H.VOID_TAGS)
 _OPEN = rf"(?i)<(?!(?:{_VOID})\b)[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>"
 _CLOSE = r"(?i)</[a-zA-Z]"
-_ENTRY = r"""(?i)<p(?=\s)(?:[^<>"']++|"[^"]*+"|'[^']*+')*?\sclass\s*=\s*(?:"entry"|'entry'|entry(?=[\s>]))(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+_TAG_END = r"""^((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _SECTION_END = r"(?i)</section\s*>"
-_HREF = r"""(?i)<[a-zA-Z](?:[^<>"']++|"[^"]*+"|'[^']*+')*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+def _attrs_of(piece: Column) -> Column:
+    return F.regexp_extract(piece, _TAG_END, 1)
+
+
 def _first_href(fragment: Column) -> Column:
-    value = F.concat(*[F.regexp_extract(fragment, _HREF, group) for group in (1, 2, 3)])
-    return F.when(F.regexp_like(fragment, F.lit(_HREF)), H.decode_entities(value))
+    attrs = F.regexp_extract_all(fragment, F.lit(H.START_TAG), F.lit(2))
+    hrefs = F.transform(attrs, lambda a: H.attribute(a, "href"))
+    return F.get(F.filter(hrefs, lambda h: h.isNotNull()), F.lit(0))
 
 
 def _is_advert(body: Column) -> Column:
     """True when an entry paragraph is a direct child: as many ends as starts before it."""
-    parts = F.split(body, _ENTRY)
-    before = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "<p>"),
+
+    def direct_entry(parts: Column, part: Column, index: Column) -> Column:
+        before = F.array_join(F.slice(parts, F.lit(1), index), "<p")
+        return (
+            (index > 0)
+            & (H.attribute(_attrs_of(part), "class") == "entry")
+            & (_count(before, _OPEN) == _count(before, _CLOSE))
+        )
+
+    found = H.let(
+        F.split(body, r"(?i)<p(?=[\s>])"),
+        lambda parts: F.transform(parts, lambda part, i: direct_entry(parts, part, i)),
     )
-    return (F.size(parts) > 1) & F.exists(before, lambda x: _count(x, _OPEN) == _count(x, _CLOSE))
+    return F.exists(found, lambda direct: F.coalesce(direct, F.lit(False)))
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
@@ -45,14 +57,9 @@ def listing_links(pages: DataFrame) -> DataFrame:
     parts = F.transform(
         pieces,
         lambda piece: F.struct(
-            F.regexp_extract(piece, r"""^((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", 1).alias("attrs"),
-            F.element_at(
-                F.split(
-                    F.regexp_replace(piece, r"""^(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""", ""),
-                    _SECTION_END,
-                    2,
-                ),
-                1,
+            _attrs_of(piece).alias("attrs"),
+            F.get(
+                F.split(F.regexp_replace(piece, _TAG_END, ""), _SECTION_END, 2), F.lit(0)
             ).alias("body"),
         ),
     )

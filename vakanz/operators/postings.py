@@ -48,7 +48,7 @@ def parse_postings(pages: DataFrame) -> DataFrame:
 
     Narrow: one row in, one row out. ``reason`` is set for pages that yield no usable posting.
     """
-    chosen = pages.withColumn("_data", structured_data(H.json_scripts(F.col("html"))))
+    chosen = pages.withColumn("_data", H.let(H.json_scripts(F.col("html")), structured_data))
     record = V.parse_json(F.col("_data.json"))
     parsed = chosen.select(
         "page_id",

@@ -122,9 +122,10 @@ def score_by_lookup(headings: DataFrame, expanded: list, size: Collection) -> Da
             )
         )
 
+    # Headings without a match leave at the explode below.
     matched = headings.withColumn(
         "_m", F.expr(f"filter(array_distinct(tokens), t -> t IN ({words}))")
-    ).where(F.size("_m") > 0)
+    )
     by_intent = (
         matched.withColumn("_e", entries(F.col("_m")))
         .withColumn("intent", F.explode(F.array_distinct(F.transform("_e", lambda e: e["i"]))))

@@ -90,6 +90,10 @@ def finish_sections(raw: Column) -> Column:
             F.array_join(F.slice(lines, F.lit(2), F.size(lines)), " ").alias("content"),
         ),
     )
+    return H.let(pairs, _latest_per_heading)
+
+
+def _latest_per_heading(pairs: Column) -> Column:
     names = F.array_distinct(F.transform(pairs, lambda p: p["heading"]))
     return F.transform(
         names,

@@ -22,67 +22,81 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def posting_page(doc: str = "text") -> Column:
-    """A posting page: structured data for longer documents, a plain body for short ones.
+def _inner(record: Column) -> Column:
+    """A JSON object without its braces, to be joined with others."""
+    return F.substring(record, F.lit(2), F.length(record) - 2)
 
-    German documents carry two scripts, French ones a plain string as industry.
+
+def _script(body: Column) -> Column:
+    return F.concat(
+        F.lit("<script async type='application/ld+json' id=1>"), body, F.lit("</script>")
+    )
+
+
+def posting_pages(documents: DataFrame) -> DataFrame:
+    """Posting pages: structured data for longer documents, a plain body for short ones.
+
+    The description holds a bold heading and a paragraph per line. German documents carry two
+    scripts, French ones a plain string as industry.
     """
-    text, first = F.col(doc), F.get(lines(F.col(doc)), F.lit(0))
-    description = F.array_join(
-        F.transform(
-            lines(text),
-            lambda line: F.concat(
-                F.lit("<b>"), escape(F.substring(line, 1, HEADING_CHARS)),
-                F.lit("</b>\n<p class='line'>"), escape(line), F.lit("</p>"),
-            ),
+    text = F.col("text")
+    size = F.length(text)
+    description = F.transform(
+        lines(text),
+        lambda line: F.concat(
+            F.lit("<b>"), escape(F.substring(line, 1, HEADING_CHARS)),
+            F.lit("</b>\n<p class='line'>"), escape(line), F.lit("</p>"),
         ),
-        "",
     )
-    industry = F.when(F.col("lang") == "fr", F.to_json(F.struct(F.col("source").alias("industry"))))
-    industry = F.coalesce(
-        industry, F.to_json(F.struct(F.array("source", F.lit("IT/Software")).alias("industry")))
+    geo = F.struct(
+        F.lit("GeoCoordinates").alias("@type"),
+        (size / 8.0).cast("double").alias("latitude"),
+        (-size / 16.0).cast("double").alias("longitude"),
     )
-    record = F.to_json(
-        F.struct(
-            F.concat(F.lit("https://Jobs.example.org/"), F.md5(text)).alias("url"),
-            F.substring(first, 1, 40).alias("title"),
-            F.concat(F.lit("2018-"), F.lpad((F.length(text) % 14).cast("string"), 2, "0"), F.lit("-15"))
-            .alias("datePosted"),
-            F.col("lang").alias("educationRequirements"),
-            F.when(F.col("lang") == "en", F.lit("Two Years")).alias("experienceRequirements"),
-            F.array(F.lit("FULL_TIME"), F.upper("lang")).alias("employmentType"),
-            F.struct(F.col("source").alias("name")).alias("hiringOrganization"),
-            F.array(
-                F.struct(
-                    F.struct(
-                        F.lit("GeoCoordinates").alias("@type"),
-                        (F.length(text) / 8.0).cast("double").alias("latitude"),
-                        (-F.length(text) / 16.0).cast("double").alias("longitude"),
-                    ).alias("geo")
-                )
-            ).alias("jobLocation"),
-            description.alias("description"),
-        )
+    month = F.lpad((size % 14).cast("string"), 2, "0")
+    record = F.struct(
+        F.concat(F.lit("https://Jobs.example.org/"), F.md5(text)).alias("url"),
+        F.substring(F.get(lines(text), F.lit(0)), 1, 40).alias("title"),
+        F.concat(F.lit("2018-"), month, F.lit("-15")).alias("datePosted"),
+        F.col("lang").alias("educationRequirements"),
+        F.when(F.col("lang") == "en", F.lit("Two Years")).alias("experienceRequirements"),
+        F.array(F.lit("FULL_TIME"), F.upper("lang")).alias("employmentType"),
+        F.struct(F.col("source").alias("name")).alias("hiringOrganization"),
+        F.array(F.struct(geo.alias("geo"))).alias("jobLocation"),
+        F.array_join(description, "").alias("description"),
+    )
+    one = F.to_json(F.struct(F.col("source").alias("industry")))
+    many = F.to_json(F.struct(F.array("source", F.lit("IT/Software")).alias("industry")))
+    body = F.concat(
+        F.lit('<div class="page maincontent wide"><div>'), escape(text),
+        F.lit("</div></div><div>footer</div>"),
     )
-    record = F.concat(F.substring(industry, F.lit(1), F.length(industry) - 1), F.lit(","),
-                      F.substring(record, F.lit(2), F.length(record)))
-    padding = F.lit('{"pad":"' + "x" * 2000 + '",')
-    long = F.concat(padding, F.substring(record, F.lit(2), F.length(record)))
-    script = lambda body: F.concat(
-        F.lit("<script async type='application/ld+json' id=1>"), body, F.lit("</script>")
+    padding = '"pad":"' + "x" * 2000 + '"'
+    json = F.concat(
+        F.lit("{" + padding + ","), _inner(F.col("_industry")), F.lit(","),
+        _inner(F.col("_record")), F.lit("}"),
+    )
+    other = F.when(F.col("lang") == "de", _script(F.lit("{" + padding + "}"))).otherwise(F.lit(""))
+    return (
+        documents.withColumns(
+            {
+                "_record": F.when(size >= STRUCTURED_FROM, F.to_json(record)),
+                "_industry": F.when(F.col("lang") == "fr", one).otherwise(many),
+                "_body": body,
+            }
+        )
+        .withColumn(
+            "_inner", F.coalesce(F.concat(other, _script(json)), F.col("_body"))
+        )
+        .select(
+            F.col("doc_id").alias("page_id"),
+            F.concat(
+                F.lit("<html><head><!-- p --><script>var a=1;</script></head><body>"),
+                "_inner",
+                F.lit("</body></html>"),
+            ).alias("html"),
+        )
     )
-    structured = F.when(
-        F.col("lang") == "de", F.concat(script(F.lit('{"pad":"' + "y" * 2000 + '"}')), script(long))
-    ).otherwise(script(long))
-    body = F.concat(F.lit('<div class="page maincontent wide"><div>'), escape(text),
-                    F.lit("</div></div><div>footer</div>"))
-    inner = F.when(F.length(text) >= STRUCTURED_FROM, structured).otherwise(body)
-    return F.concat(F.lit("<html><head><!-- p --><script>var a=1;</script></head><body>"), inner,
-                    F.lit("</body></html>"))
-
-
-def posting_pages(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").alias("page_id"), posting_page().alias("html"))
 
 
 def result_page(doc: str = "text") -> Column:

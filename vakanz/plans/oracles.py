@@ -63,12 +63,12 @@ nodes AS (
 
 # From headings(id, hno, text) and content rows(id, rno, text), both numbered from 1.
 _SECTIONS = f"""
+firsts AS (SELECT id, text, min(rno) AS rno FROM rows GROUP BY id, text),
+starts AS (SELECT id, hno, text, rno AS start FROM headings JOIN firsts USING (id, text)),
 bounds AS (
-  SELECT h.id, h.hno, h.text,
-         (SELECT min(rno) FROM rows r WHERE r.id = h.id AND r.text = h.text) AS start,
-         n.hno IS NULL AS is_last,
-         (SELECT min(rno) FROM rows r WHERE r.id = h.id AND r.text = n.text) AS stop
-  FROM headings h LEFT JOIN headings n ON n.id = h.id AND n.hno = h.hno + 1),
+  SELECT *, lead(start) OVER (PARTITION BY id ORDER BY hno) AS stop,
+         lead(start) OVER (PARTITION BY id ORDER BY hno) IS NULL AS is_last
+  FROM starts),
 raw AS (
   SELECT b.id, b.hno, list(r.text ORDER BY r.rno) AS lines
   FROM bounds b JOIN rows r ON r.id = b.id AND r.rno >= b.start

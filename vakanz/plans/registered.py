@@ -24,7 +24,7 @@ from vakanz.operators.expand import expand
 from vakanz.plans import derived as D
 from vakanz.plans import jobs
 from vakanz.plans.vocabulary import intent_terms
-from vakanz.runtime import accepted, rejects, spread
+from vakanz.runtime import accepted, items, rejects, spread
 from vakanz.sources.store import export_name, read_stop_words
 
 STOP = BUILT_IN
@@ -136,7 +136,7 @@ def page_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_sections(spark: SparkSession, folder: str) -> DataFrame:
     found = S.with_sections(_pages(spark, folder).select("page_id", "html"), "html", PAGE_TAGS)
-    return found.select("page_id", F.posexplode("sections").alias("section_no", "s")).select(
+    return found.select("page_id", F.posexplode(items("sections")).alias("section_no", "s")).select(
         "page_id", "section_no", "s.heading", "s.content"
     )
 
@@ -158,7 +158,7 @@ def postings_parsed(spark: SparkSession, folder: str) -> DataFrame:
 
 def posting_sections(spark: SparkSession, folder: str) -> DataFrame:
     found = accepted(_parsed(spark, folder))
-    return found.select("page_id", F.posexplode("sections").alias("section_no", "s")).select(
+    return found.select("page_id", F.posexplode(items("sections")).alias("section_no", "s")).select(
         "page_id", "section_no", "s.heading", "s.content"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -58,15 +58,38 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def items(array: Column | str) -> Column:
+    """A computed array as generator input.
+
+    For a bare column the optimizer derives a filter and moves it below the projection that
+    computes the array, which then is evaluated more than once; for an expression it does not.
+    """
+    return F.slice(array, F.lit(1), F.lit(2**31 - 1))
+
+
+def keep(df: DataFrame, condition: Column, *columns: Column | str) -> DataFrame:
+    """Filter on costly computed columns, each of which is evaluated once.
+
+    A plain filter would be moved below the projection and repeat its expressions there.
+    """
+    row = F.struct(*(columns or df.columns))
+    return df.select(F.inline(F.when(condition, F.array(row))))
+
+
 def accepted(tagged: DataFrame) -> DataFrame:
     """Rows of a stage that passed, without the ``reason`` column."""
-    return tagged.where(F.col("reason").isNull()).drop("reason")
+    columns = [c for c in tagged.columns if c != "reason"]
+    return keep(tagged, F.col("reason").isNull(), *columns)
 
 
 def rejects(tagged: DataFrame, stage: str, key: str) -> DataFrame:
     """Rows of a stage that failed, as ``rejects(stage, key, reason)``."""
-    return tagged.where(F.col("reason").isNotNull()).select(
-        F.lit(stage).alias("stage"), F.col(key).cast("string").alias("key"), "reason"
+    return keep(
+        tagged,
+        F.col("reason").isNotNull(),
+        F.lit(stage).alias("stage"),
+        F.col(key).cast("string").alias("key"),
+        "reason",
     )
 
 
