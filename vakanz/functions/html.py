@@ -95,29 +95,29 @@ def attribute(attrs: Column, name: str) -> Column:
     return let(raw, lambda v: decode_entities(F.regexp_replace(v, QUOTES, "")))
 
 
-def nodes(page: Column) -> Column:
-    """``array<struct<tag,attrs,text>>`` of all elements in document order.
+def nodes(page: Column, with_attrs: bool = False) -> Column:
+    """``array<struct<tag,text>>`` of all elements in document order, on request with ``attrs``.
 
     Text in front of the first tag becomes a paragraph of its own, as HTML parsers make it.
     """
-    lead = F.regexp_extract(page, r"^[^<]+", 0)
+    groups = [(1, "tag"), (3, "text")] + ([(2, "attrs")] if with_attrs else [])
     parts = F.arrays_zip(
-        *[
-            F.regexp_extract_all(page, F.lit(START_TAG), F.lit(group)).alias(name)
-            for group, name in ((1, "tag"), (2, "attrs"), (3, "text"))
-        ]
+        *[F.regexp_extract_all(page, F.lit(START_TAG), F.lit(g)).alias(name) for g, name in groups]
     )
 
+    def struct(tag: Column, text: Column, attrs: Column) -> Column:
+        extra = [attrs.alias("attrs")] if with_attrs else []
+        return F.struct(tag.alias("tag"), text.alias("text"), *extra)
+
     def element(node: Column) -> Column:
         tag = F.lower(node["tag"])
         own = F.when(tag.isin(*VOID_TAGS), F.lit("")).otherwise(decode_entities(node["text"]))
-        return F.struct(tag.alias("tag"), node["attrs"].alias("attrs"), own.alias("text"))
+        return struct(tag, own, node["attrs"] if with_attrs else None)
 
-    first = F.struct(
-        F.lit("p").alias("tag"), F.lit("").alias("attrs"), decode_entities(lead).alias("text")
-    )
     elements = F.transform(parts, element)
-    return F.when(lead != "", F.concat(F.array(first), elements)).otherwise(elements)
+    lead = F.regexp_extract(page, r"^[^<]+", 0)
+    first = F.array(struct(F.lit("p"), decode_entities(lead), F.lit("")))
+    return F.when(F.startswith(page, F.lit("<")), elements).otherwise(F.concat(first, elements))
 
 
 def json_scripts(page: Column) -> Column:

@@ -59,15 +59,28 @@ def term_counts(words: Column) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def outside(word: Column, stop: Sequence[str]) -> Column:
-    """Stop-word test; a literal list becomes one hash-set lookup."""
-    return ~word.isin(*stop) if stop else F.lit(True)
+def in_list(stop: Sequence[str]) -> str:
+    quoted = ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop)
+    return f"IN ({quoted})"
+
+
+def where_words(words: Column, condition: str) -> Column:
+    """Elements ``w`` of an array that meet an SQL condition.
+
+    Long word lists are written as SQL, which becomes one hash-set lookup per element.
+    """
+    return F.call_function("filter", words, F.expr(f"w -> {condition}"))
+
+
+def not_stop_word(stop: Sequence[str], word: str = "w") -> str:
+    """SQL condition on the column or lambda variable ``word``."""
+    return f"{word} NOT {in_list(stop)}" if stop else "true"
 
 
 def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
     """Runs of two or more letters, lowercased, without stop words, in text order."""
     found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
-    return F.filter(found, lambda t: outside(t, stop)) if stop else found
+    return where_words(found, not_stop_word(stop)) if stop else found
 
 
 def split_words(text: Column) -> Column:
@@ -75,11 +88,17 @@ def split_words(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
-def is_term(word: Column, stop: Sequence[str] = ()) -> Column:
-    """True for words that take part in the frequency ranking: long enough, no stop word."""
-    return (F.length(word) >= MIN_WORD) & (word != "None") & outside(word, stop)
+def is_term(stop: Sequence[str] = ()) -> str:
+    """SQL condition on a word ``w``: long enough for the frequency ranking and no stop word."""
+    return f"length(w) >= {MIN_WORD} AND w <> 'None' AND {not_stop_word(stop)}"
 
 
 def ranked_words(text: Column, stop: Sequence[str] = ()) -> Column:
     """Words of a text that take part in the ranking, in text order, repeats kept."""
-    return F.filter(split_words(text), lambda word: is_term(word, stop))
+    return where_words(split_words(text), is_term(stop))
+
+
+def bucketed_words(text: Column, stop: Sequence[str] = ()) -> Column:
+    """All words of a text, NULL in place of those that do not take part in the ranking."""
+    mask = F.expr(f"w -> CASE WHEN {is_term(stop)} THEN w END")
+    return F.call_function("transform", split_words(text), mask)

@@ -7,31 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.functions.text import outside
+from vakanz.functions.text import not_stop_word
 
 
 def expand(vocabulary: DataFrame, terms: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """``(intent, query_term, term, df, exact, w)`` of all vocabulary terms a query term matches.
 
     ``vocabulary(term, df)`` may be large, ``terms(intent, term, d, p, w)`` is a short table.
-    Exact terms are an equi-join. A fuzzy term is matched by an equi-join on every word length
-    it can reach, then by its fixed prefix and a bounded edit distance.
+    One equi-join on the word length: each query term is listed under every length it can
+    reach, then compared by its fixed prefix and a bounded edit distance. Exact query terms
+    pass the stop list first, as the headings did.
     """
     name = F.concat_ws("~", "q", F.concat_ws("/", F.col("d"), F.col("p")))
-    query = terms.withColumnRenamed("term", "q").withColumn("query_term", name)
-    exact = (
-        query.where((F.col("d") == 0) & outside(F.col("q"), stop))
-        .withColumn("term", F.col("q"))
-        .join(vocabulary, "term")
-    )
     reach = F.sequence(F.length("q") - F.col("d"), F.length("q") + F.col("d"))
-    fuzzy = (
-        query.where("d > 0")
+    query = (
+        terms.select("intent", F.col("term").alias("q"), "d", "p", "w")
+        .withColumn("query_term", name)
+        .where((F.col("d") > 0) | F.expr(not_stop_word(stop, "q")))
         .withColumn("word_length", F.explode(reach))
-        .join(vocabulary.withColumn("word_length", F.length("term")), "word_length")
-        .where(
-            F.expr("substring(term, 1, p) = substring(q, 1, p) AND levenshtein(term, q, d) >= 0")
-        )
     )
-    columns = ["intent", "query_term", "term", "df", (F.col("d") == 0).alias("exact"), "w"]
-    return exact.select(*columns).unionAll(fuzzy.select(*columns))
+    matches = F.expr(
+        "CASE WHEN d = 0 THEN term = q ELSE substring(term, 1, p) = substring(q, 1, p) "
+        "AND levenshtein(term, q, d) >= 0 END"
+    )
+    return (
+        vocabulary.withColumn("word_length", F.length("term"))
+        .join(query, "word_length")
+        .where(matches)
+        .select("intent", "query_term", "term", "df", (F.col("d") == 0).alias("exact"), "w")
+    )

@@ -73,7 +73,7 @@ def listing_links(pages: DataFrame) -> DataFrame:
 
 def anchor_links(pages: DataFrame, *keys: str, id_pattern: str = L.JOB_ID) -> DataFrame:
     """All links of a page in document order: ``(keys, pos, url, job_id, reason)``."""
-    tags = H.nodes(H.strip_code(F.col("html")))
+    tags = H.nodes(H.strip_code(F.col("html")), with_attrs=True)
     anchors = F.filter(tags, lambda n: n["tag"] == "a")
     hrefs = F.filter(
         F.transform(anchors, lambda n: H.attribute(n["attrs"], "href")), lambda h: h.isNotNull()

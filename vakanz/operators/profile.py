@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.functions.text import is_term, ranked_words, split_words
+from vakanz.functions.text import bucketed_words, ranked_words
 from vakanz.operators.ranking import global_rank, keep_from_cutoff, rank_slice
 
 # Word order of a hit: score (11 digits, highest first), hit key (19 digits), position (8 digits).
@@ -42,9 +42,7 @@ def term_frequency(
     together under a NULL term instead.
     """
     text = F.col(content)
-    words = ranked_words(text, stop)
-    if keep_null_bucket:
-        words = F.transform(split_words(text), lambda w: F.when(is_term(w, stop), w))
+    words = bucketed_words(text, stop) if keep_null_bucket else ranked_words(text, stop)
     seen = (F.col("_at") + F.col("_pos").cast("decimal(8,0)")).cast("decimal(38,0)")
     return (
         hits.select("intent", order.alias("_at"), F.posexplode(words).alias("_pos", "term"))

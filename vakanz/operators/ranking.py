@@ -19,11 +19,12 @@ def cutoff(
 ) -> DataFrame:
     """``(group, cutoff)``: the value at 0-based rank ``int(n * share)``, highest first.
 
-    ``value`` is BIGINT. Values are counted per group first (partial aggregation); the rank is
-    then located in two steps over histograms: by the upper bits of the value, and within the
-    one bucket found by the value itself, which has at most 65,536 rows per group.
+    ``value`` is BIGINT. Values are counted per group first (partial aggregation) and the counts
+    written once; the rank is then located in two steps over histograms: by the upper bits of
+    the value, and within the one bucket found by the value itself, which has at most 65,536
+    rows per group.
     """
-    counts = scored.groupBy(group, value).agg(F.count("*").alias("n"))
+    counts = durable(scored.groupBy(group, value).agg(F.count("*").alias("n")))
     high = F.shiftright(F.col(value), 16)
     coarse = counts.groupBy(group, high.alias("_high")).agg(F.sum("n").alias("n"))
     bucket = _at_rank(coarse, group, "_high", F.floor(F.col("_total") * F.lit(share)))

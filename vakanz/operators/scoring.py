@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz.functions.html import let
-from vakanz.functions.text import term_counts, tokens
+from vakanz.functions.text import in_list, term_counts, tokens, where_words
 from vakanz.operators.expand import expand
 from vakanz.operators.index import heading_vocabulary
 from vakanz.runtime import durable
@@ -73,10 +73,9 @@ def score(
 ) -> DataFrame:
     """``headings`` rows times the intents they match, with ``intent`` and ``score_micro``.
 
-    The expanded vocabulary is written once. While it is small, headings are scored in their
-    own row and nothing is shuffled; otherwise tokens are joined with it.
+    While the (already written) expanded vocabulary is small, headings are scored in their own
+    row and nothing is shuffled; otherwise tokens are joined with it.
     """
-    expanded = durable(expanded)
     few = expanded.limit(LOOKUP_TERMS + 1).collect()
     if len(few) <= LOOKUP_TERMS:
         return score_by_lookup(headings, few, size)
@@ -104,8 +103,6 @@ def score_by_lookup(headings: DataFrame, expanded: list, size: Collection) -> Da
         F.lit(json.dumps({intent: len(words) for intent, words in found.items()})),
         "map<string,int>",
     )
-    words = ",".join(f"'{word}'" for word in sorted(by_term))
-
     def entries(matched: Column) -> Column:
         return F.flatten(
             F.transform(
@@ -124,7 +121,7 @@ def score_by_lookup(headings: DataFrame, expanded: list, size: Collection) -> Da
 
     # Headings without a match leave at the explode below.
     matched = headings.withColumn(
-        "_m", F.expr(f"filter(array_distinct(tokens), t -> t IN ({words}))")
+        "_m", where_words(F.array_distinct("tokens"), f"w {in_list(sorted(by_term))}")
     )
     by_intent = (
         matched.withColumn("_e", entries(F.col("_m")))

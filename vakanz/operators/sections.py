@@ -21,7 +21,8 @@ MIN_LONGEST_LINE = 21
 
 def flat_description(description: Column) -> Column:
     """Description without line breaks, comments and code."""
-    return H.strip_code(F.translate(F.trim(description), "\r\n", ""))
+    one_line = F.replace(F.replace(F.trim(description), F.lit("\n")), F.lit("\r"))
+    return H.strip_code(one_line)
 
 
 def text_nodes(flat: Column) -> Column:
@@ -29,16 +30,26 @@ def text_nodes(flat: Column) -> Column:
     return F.filter(H.nodes(flat), lambda n: F.length(n["text"]) >= MIN_TEXT)
 
 
-def heading_texts(nodes: Column, tags: Sequence[str] = HEADING_TAGS) -> Column:
-    """Texts of heading elements, or of elements styled as headings when there are none."""
+def heading_texts(
+    nodes: Column, flat: Column, tags: Sequence[str] = HEADING_TAGS
+) -> Column:
+    """Texts of heading elements, or of elements styled as headings when there are none.
+
+    Attributes are read from the description only in the second case.
+    """
     by_tag = F.filter(nodes, lambda n: n["tag"].isin(*tags))
-    by_style = F.filter(
-        nodes,
-        lambda n: F.regexp_like(
+    styled = F.filter(
+        H.nodes(flat, with_attrs=True),
+        lambda n: (F.length(n["text"]) >= MIN_TEXT)
+        & F.regexp_like(
             F.coalesce(H.attribute(n["attrs"], "style"), F.lit("")), F.lit(HEADING_STYLE)
         ),
     )
-    return F.transform(F.when(F.size(by_tag) > 0, by_tag).otherwise(by_style), lambda n: n["text"])
+    chosen = H.let(
+        by_tag,
+        lambda found: F.when(F.size(found) > 0, F.transform(found, lambda n: n["text"])),
+    )
+    return F.coalesce(chosen, F.transform(styled, lambda n: n["text"]))
 
 
 def raw_sections(headings: Column, rows: Column) -> Column:
@@ -111,7 +122,7 @@ def with_sections(df, description: str, tags: Sequence[str] = HEADING_TAGS):
     return (
         df.withColumn("_flat", flat_description(F.col(description)))
         .withColumn("_nodes", text_nodes(F.col("_flat")))
-        .withColumn("_headings", heading_texts(F.col("_nodes"), tags))
+        .withColumn("_headings", heading_texts(F.col("_nodes"), F.col("_flat"), tags))
         .withColumn("_rows", F.transform("_nodes", lambda n: n["text"]))
         .withColumn("sections", finish_sections(raw_sections(F.col("_headings"), F.col("_rows"))))
         .drop("_flat", "_nodes", "_headings", "_rows")

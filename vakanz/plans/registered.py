@@ -129,8 +129,8 @@ def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_headings(spark: SparkSession, folder: str) -> DataFrame:
     flat = _pages(spark, folder).withColumn("flat", S.flat_description(F.col("html")))
-    nodes = flat.select("page_id", S.text_nodes(F.col("flat")).alias("nodes"))
-    found = S.heading_texts(F.col("nodes"), PAGE_TAGS)
+    nodes = flat.withColumn("nodes", S.text_nodes(F.col("flat")))
+    found = S.heading_texts(F.col("nodes"), F.col("flat"), PAGE_TAGS)
     return nodes.select("page_id", F.posexplode(found).alias("pos", "heading"))
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vakanz.runtime import BROADCAST_ROWS
 from vakanz.schemas import INTENT_TERMS
 
 TASKS, REQUIREMENTS, BENEFITS = "tasks", "requirements", "benefits"
@@ -88,6 +90,7 @@ def entries(spelling: str = "as_passed") -> list[tuple[str, str, int, int, float
 def intent_terms(
     spelling: str = "as_passed", rows: list[tuple[str, str, int, int, float]] | None = None
 ) -> DataFrame:
-    """The vocabulary as a table (about a hundred rows, fixed size)."""
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows or entries(spelling), INTENT_TERMS)
+    """The vocabulary as a table; marked for broadcast, as its size is known here."""
+    chosen = rows or entries(spelling)
+    table = SparkSession.active().createDataFrame(chosen, INTENT_TERMS)
+    return F.broadcast(table) if len(chosen) <= BROADCAST_ROWS else table

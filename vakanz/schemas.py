@@ -11,7 +11,7 @@ _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
 SECTION = _fields(heading=_S, content=_S)
 LOCATION = _fields(latitude=_D, longitude=_D)
-NODE = _fields(tag=_S, attrs=_S, text=_S)
+NODE = _fields(tag=_S, text=_S)
 
 PAGES = _fields(page_id=_L, url=_S, html=_S)
 RESULT_PAGES = _fields(search_term=_S, page_no=_I, html=_S)
