@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanz.runtime import durable
+from vakanz.runtime import broadcast_if_small, durable
 
 # Shares of the ranking that are kept.
 SCORE_SHARE = 0.50
@@ -46,7 +46,8 @@ def _at_rank(counts: DataFrame, group: str, value: str, rank: Column) -> DataFra
 
 def keep_from_cutoff(scored: DataFrame, group: str, value: str = "score_micro") -> DataFrame:
     """Hits at or above the cutoff of their group; ties at the cutoff stay."""
-    limits = F.broadcast(cutoff(scored, group, value))  # one row per group
+    # One row per group; groups are the intents of the vocabulary, whose size is checked.
+    limits = F.broadcast(cutoff(scored, group, value))
     return scored.join(limits, group).where(F.col(value) >= F.col("cutoff")).drop("cutoff")
 
 
@@ -59,11 +60,13 @@ def global_rank(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame
     row_id = F.monotonically_increasing_id()
     ordered = durable(df.orderBy(F.col(group), *order).withColumn("_id", row_id))
     placed = ordered.withColumn("_part", F.shiftright(F.col("_id"), 33))
-    sizes = placed.groupBy(group, "_part").agg(
-        F.count("*").alias("_n"), F.min("_id").alias("_first")
+    sizes = durable(
+        placed.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     )
     before = Window.partitionBy(group).orderBy("_part")
-    offsets = sizes.select(
+    # At most one row per partition and one per group.
+    small = broadcast_if_small(sizes)
+    offsets = small.select(
         group,
         "_part",
         "_first",
@@ -71,7 +74,7 @@ def global_rank(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame
         F.sum("_n").over(Window.partitionBy(group)).alias("entries"),
     )
     return (
-        placed.join(F.broadcast(offsets), [group, "_part"])  # bounded by the partition count
+        placed.join(offsets, [group, "_part"])
         .withColumn("rnk", F.col("_offset") + F.col("_id") - F.col("_first"))
         .drop("_id", "_part", "_first", "_offset")
     )

@@ -62,10 +62,10 @@ def _bm25(s: Column, tf: Column, length: Column, size: Collection) -> Column:
 
 
 def _coordinated(total: Column, matched: Column, found: Column) -> Column:
-    """Score in millionths; NULL when only one vocabulary term matches anything."""
-    others = F.nullif(found - 1, F.lit(0)).cast("double")
+    """Score in millionths, never NULL; ``found`` is at least two."""
+    others = (found - 1).cast("double")
     value = (total + (matched - 1) / (others * others)) * others / found
-    return F.round(value * MICRO).cast("bigint")
+    return F.coalesce(F.round(value * MICRO).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def score(
@@ -83,13 +83,18 @@ def score(
 
 
 def score_by_lookup(headings: DataFrame, expanded: list, size: Collection) -> DataFrame:
-    """Scores from a lookup in the plan; all columns of ``headings`` stay in place."""
+    """Scores from a lookup in the plan; all columns of ``headings`` stay in place.
+
+    Intents for which a single vocabulary term matches anything have no scores.
+    """
     by_term, found = defaultdict(list), defaultdict(set)
     for row in expanded:
-        by_term[row["term"]].append(
-            {"i": row["intent"], "q": row["query_term"], "x": row["exact"], "s": row["s"]}
-        )
         found[row["intent"]].add(row["term"])
+    for row in expanded:
+        if len(found[row["intent"]]) > 1:
+            by_term[row["term"]].append(
+                {"i": row["intent"], "q": row["query_term"], "x": row["exact"], "s": row["s"]}
+            )
     if not by_term:
         empty = headings.where("false")
         return empty.withColumns(
@@ -152,6 +157,7 @@ def score_by_join(
 ) -> DataFrame:
     """The same scores by joining tokens with the expanded vocabulary and aggregating per heading."""
     found = expanded.groupBy("intent").agg(F.countDistinct("term").alias("found"))
+    found = found.where("found > 1")
     scored = (
         headings.select(*keys, F.size("tokens").alias("length"), F.inline(term_counts(F.col("tokens"))))
         .join(expanded, "term")
@@ -163,7 +169,7 @@ def score_by_join(
             F.collect_set(F.when(~F.col("exact"), F.struct("query_term", "s"))).alias("fuzzy"),
             F.size(F.collect_set("term")).alias("hits"),
         )
-        .join(F.broadcast(found), "intent")  # one row per intent
+        .join(F.broadcast(found), "intent")  # one row per intent of the vocabulary
     )
     fuzzy = F.aggregate("fuzzy", F.lit(0.0), lambda acc, e: acc + e["s"])
     total = F.coalesce("exact", F.lit(0.0)) + fuzzy
@@ -202,5 +208,4 @@ def search(
             .alias("status"),
         )
     )
-    scored = score(headings, keys, expanded, size).where(F.col("score_micro").isNotNull())
-    return scored, status
+    return score(headings, keys, expanded, size), status

@@ -15,7 +15,7 @@ from vakanz.operators import postings as P
 from vakanz.operators.profile import term_profile
 from vakanz.operators.scoring import search
 from vakanz.plans.vocabulary import BENEFITS, REQUIREMENTS, TASKS, intent_terms
-from vakanz.runtime import accepted, durable, rejects
+from vakanz.runtime import accepted, broadcast_if_small, durable, rejects
 from vakanz.sources.store import Store
 
 # Report numbers and names, and the line written when there is too little data.
@@ -74,7 +74,7 @@ def run(
     if PARSE not in options:
         return
     if not use_stored_postings:
-        links = store.read_links(search_term).select("url").distinct()
+        links = broadcast_if_small(store.read_links(search_term).select("url").distinct())
         found, bad_pages = parse_pages(pages.join(links, "url", "left_semi"))
         store.write(found, search_term, "postings")
         store.write(bad_pages, search_term, "rejects/postings")
