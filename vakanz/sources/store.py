@@ -97,9 +97,9 @@ class Store:
     # Writing
 
     def _replace(self, df: DataFrame, search_term: str, stage: str, *partitions: str):
-        """Writer over evenly sized files; a large search term is spread over many tasks."""
+        """Writer over evenly sized files, whatever the size of the search term."""
         keyed = df.withColumn("search_term", F.lit(term_key(search_term)))
-        writer = keyed.hint("rebalance", "search_term").write.mode("overwrite")
+        writer = keyed.hint("rebalance").write.mode("overwrite")
         return writer.option("partitionOverwriteMode", "dynamic").partitionBy(
             "search_term", *partitions
         )
