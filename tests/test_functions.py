@@ -40,6 +40,19 @@ def test_nodes(spark):
     assert nodes[1]["attrs"] == ' class="a>b"'
 
 
+def test_late_text(spark):
+    pages = [
+        "<div><p><i>a</i>lang genug</p>tail nach p</div>",
+        "<p><br>nach br</p><p>x<br>nach br</p>",
+        "<ul><li><b>fett</b>kurz</li><li><b>fett</b>abc</li></ul>ende",
+        "<div></span>text zuerst<p>b</p></div>",
+        "<p><i>a</i>&auml;bc</p><p><i>a</i>&auml;bcd</p>",
+    ]
+    assert each(spark, lambda p: H.late_text_elements(p, 4), pages) == [[1, 0], [0], [1], [0], [2]]
+    flags = each(spark, H.may_have_late_text, [*pages, "<b>kopf</b><p>text</p>"])
+    assert flags == [True, True, True, True, True, False]
+
+
 def test_attribute(spark):
     attrs = [' href="/a?x=1&amp;y=2"', " href='b'", " data-href=x HREF = c", ' title="href=q"', " href"]
     assert each(spark, lambda a: H.attribute(a, "href"), attrs) == ["/a?x=1&y=2", "b", "c", None, ""]

@@ -60,6 +60,28 @@ def test_longest_line(spark):
     assert [len(f) for f in found] == [0, 1]
 
 
+def test_rows_without_text_of_their_own(spark):
+    late = "<p><i>ab</i>text nach dem kind</p>"
+    inner = "<p><i>kursiv</i> und text</p>"
+    found = sections(
+        spark,
+        # counts as a row, so the first section is the longer one
+        part("Erste Punkte", LONG) + late + part("Zweite Punkte", LONG),
+        part("Zweite Punkte", LONG, LONG + " b") + part("Erste Punkte", LONG) + late * 2 + part("Schluss"),
+        # the tenth row of the last section may be one without text
+        part("Letzte", *[LONG] * 9) + late + f"<p>{LONG} mehr</p>",
+        # a heading without text ends the section before it at the first such row
+        part("Anfang", LONG) + inner + f"<p>{LONG} b</p><b><i>x</i>Titel danach</b><p>{LONG} c</p>",
+        # a text in front of the child is the first text
+        part("Anfang", LONG) + f"<p>kurz<br>{LONG} d</p><p>a<i>bc</i>{LONG} e</p>",
+    )
+    assert [h for h, _ in found[0]] == ["erste punkte", "zweite punkte"]
+    assert [h for h, _ in found[1]] == ["erste punkte", "zweite punkte"]
+    assert found[2] == [("letzte", " ".join([LONG] * 9))]
+    assert found[3] == [("anfang", LONG)]
+    assert found[4] == [("anfang", f"{LONG} kurz")]
+
+
 def test_line_breaks_are_removed(spark):
     assert sections(spark, f"<b>Auf\r\ngaben</b><p>{LONG}\n</p>")[0] == [("aufgaben", LONG)]
 

@@ -17,6 +17,7 @@ _ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 START_TAG = rf"<([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
 ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?"""
 QUOTES = r"""^["']|["']$"""
+TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
 COMMENT = r"(?s)<!--.*?-->"
 RAW_TEXT = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
@@ -104,20 +105,81 @@ def nodes(page: Column, with_attrs: bool = False) -> Column:
     parts = F.arrays_zip(
         *[F.regexp_extract_all(page, F.lit(START_TAG), F.lit(g)).alias(name) for g, name in groups]
     )
-
-    def struct(tag: Column, text: Column, attrs: Column) -> Column:
-        extra = [attrs.alias("attrs")] if with_attrs else []
-        return F.struct(tag.alias("tag"), text.alias("text"), *extra)
+    lead = {"tag": F.lit("p"), "text": F.regexp_extract(page, r"^[^<]+", 0), "attrs": F.lit("")}
+    first = F.array(F.struct(*[lead[name].alias(name) for _, name in groups]))
+    none = F.slice(first, F.lit(1), F.lit(0))
 
     def element(node: Column) -> Column:
         tag = F.lower(node["tag"])
         own = F.when(tag.isin(*VOID_TAGS), F.lit("")).otherwise(decode_entities(node["text"]))
-        return struct(tag, own, node["attrs"] if with_attrs else None)
+        extra = [node["attrs"].alias("attrs")] if with_attrs else []
+        return F.struct(tag.alias("tag"), own.alias("text"), *extra)
+
+    leading = F.when(F.startswith(page, F.lit("<")), none).otherwise(first)
+    return F.transform(F.concat(leading, parts), element)
+
+
+_REFERENCE = rf"&(?:{'|'.join(ENTITIES)}|amp|#[0-9]{{1,7}}|#x[0-9A-Fa-f]{{1,6}});"
+_OPEN_ELEMENTS = "array<struct<at:int,tag:string,seen:boolean>>"
+
+
+def may_have_late_text(page: Column) -> Column:
+    """Cheap test: some tag directly follows another, and text follows an end or void tag."""
+    void = "|".join(VOID_TAGS)
+    tail = rf"(?i)<(?:/[a-z]|(?:{void})\b)[^<>]*>[^<]{{4}}"
+    return F.contains(page, F.lit("><")) & F.regexp_like(page, F.lit(tail))
+
+
+def late_text_elements(page: Column, min_length: int) -> Column:
+    """Start-tag numbers of elements whose first text comes after a child and is long enough.
+
+    One pass over the tags with the open elements as state; an end tag closes the innermost
+    open element of its name.
+    """
+    tags = F.arrays_zip(
+        *[
+            F.regexp_extract_all(page, F.lit(TAG), F.lit(group)).alias(name)
+            for group, name in ((1, "slash"), (2, "tag"), (4, "text"))
+        ]
+    )
 
-    elements = F.transform(parts, element)
-    lead = F.regexp_extract(page, r"^[^<]+", 0)
-    first = F.array(struct(F.lit("p"), decode_entities(lead), F.lit("")))
-    return F.when(F.startswith(page, F.lit("<")), elements).otherwise(F.concat(first, elements))
+    def state(at: Column, elements: Column, found: Column) -> Column:
+        return F.struct(at.alias("at"), elements.alias("open"), found.alias("found"))
+
+    def text_after(at: Column, elements: Column, found: Column, text: Column) -> Column:
+        """Text behind an end or void tag belongs to the innermost open element."""
+        top = F.try_element_at(elements, F.lit(-1))
+        others = F.slice(elements, F.lit(1), F.greatest(F.size(elements) - 1, F.lit(0)))
+        marked = F.struct(top["at"].alias("at"), top["tag"].alias("tag"), F.lit(True).alias("seen"))
+        first = (text != "") & F.coalesce(~top["seen"], F.lit(False))
+        long = F.length(F.regexp_replace(text, _REFERENCE, "x")) >= min_length
+        return F.when(
+            first,
+            state(
+                at,
+                F.array_append(others, marked),
+                F.when(long, F.array_append(found, top["at"])).otherwise(found),
+            ),
+        ).otherwise(state(at, elements, found))
+
+    def step(acc: Column, item: Column) -> Column:
+        tag = F.lower(item["tag"])
+        opened = F.struct(acc["at"].alias("at"), tag.alias("tag"), (item["text"] != "").alias("seen"))
+        names = F.reverse(F.transform(acc["open"], lambda e: e["tag"]))
+        place = F.array_position(names, tag).cast("int")
+        left = F.when(
+            place > 0, F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - place)
+        ).otherwise(acc["open"])
+        closed = let(left, lambda e: text_after(acc["at"], e, acc["found"], item["text"]))
+        void = text_after(acc["at"] + 1, acc["open"], acc["found"], item["text"])
+        return (
+            F.when(item["slash"] == "/", closed)
+            .when(tag.isin(*VOID_TAGS), void)
+            .otherwise(state(acc["at"] + 1, F.array_append(acc["open"], opened), acc["found"]))
+        )
+
+    start = state(F.lit(0), F.array().cast(_OPEN_ELEMENTS), F.array().cast("array<int>"))
+    return F.aggregate(tags, start, step, lambda acc: acc["found"])
 
 
 def json_scripts(page: Column) -> Column:

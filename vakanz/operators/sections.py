@@ -26,8 +26,24 @@ def flat_description(description: Column) -> Column:
 
 
 def text_nodes(flat: Column) -> Column:
-    """Elements that carry text."""
-    return F.filter(H.nodes(flat), lambda n: F.length(n["text"]) >= MIN_TEXT)
+    """Elements that carry text. Where the first text follows a child, ``text`` is NULL."""
+    lead = F.when(F.startswith(flat, F.lit("<")), 0).otherwise(1)
+    late = F.when(H.may_have_late_text(flat), H.late_text_elements(flat, MIN_TEXT)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def numbered(late: Column) -> Column:
+        return F.transform(
+            H.nodes(flat),
+            lambda n, i: F.struct(
+                n["tag"].alias("tag"),
+                F.when(~F.array_contains(late, i - lead), n["text"]).alias("text"),
+            ),
+        )
+
+    return F.filter(
+        H.let(late, numbered), lambda n: n["text"].isNull() | (F.length(n["text"]) >= MIN_TEXT)
+    )
 
 
 def heading_texts(
@@ -56,14 +72,16 @@ def raw_sections(headings: Column, rows: Column) -> Column:
     """``array<array<string>>``: the rows of each heading's section, in heading order.
 
     A section runs from the first row equal to its heading up to the first row equal to the next
-    heading; the last one is cut to a fixed number of rows.
+    heading; the last one is cut to a fixed number of rows. A heading without text of its own
+    has no section and ends the one before at the first row without text.
     """
 
     def section(heading: Column, index: Column) -> Column:
         start = F.array_position(rows, heading).cast("int")
         following = F.get(headings, index + 1)
-        stop = F.array_position(rows, following).cast("int")
-        length = F.when(following.isNull(), F.lit(LAST_SECTION_ROWS)).otherwise(
+        without_text = F.array_position(F.transform(rows, F.isnull), True)
+        stop = F.coalesce(F.array_position(rows, following), without_text).cast("int")
+        length = F.when(index + 1 >= F.size(headings), F.lit(LAST_SECTION_ROWS)).otherwise(
             F.greatest(stop - start, F.lit(0))
         )
         proper = F.length(heading).between(MIN_HEADING, MAX_HEADING) & (start > 0)
