@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import exact, shards
-from vakanz.llm.common import documents, ready
+from vakanz.llm import bpe, exact, shards, tokens
+from vakanz.llm.common import documents
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), VOCABULARY)
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(documents(spark, sf_dir), VOCABULARY)
 
 
 def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +30,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
+    op3_token_counts,
+    op6_bpe_round_trip,
     op7_shuffle_shards,
     op8_exact_dedup,
 )
