@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, exact, shards, tokens
+from vakanz.llm import bpe, exact, html, quality, shards, tokens
 from vakanz.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), VOCABULARY)
 
@@ -29,7 +33,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(documents(spark, sf_dir, "pages"))
+
+
 _QUERIES = (
+    op1_line_quality,
+    op10_main_text,
     op3_token_counts,
     op6_bpe_round_trip,
     op7_shuffle_shards,
