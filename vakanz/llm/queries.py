@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, exact, html, quality, shards, tokens
+from vakanz.llm import bpe, exact, html, licences, quality, secrets, shards, tokens
 from vakanz.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,10 +17,18 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), VOCABULARY)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(documents(spark, sf_dir), VOCABULARY)
 
@@ -38,6 +46,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
+    op2_licence_scan,
+    op4_secret_scan,
     op1_line_quality,
     op10_main_text,
     op3_token_counts,
