@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, exact, html, licences, quality, secrets, shards, tokens
+from vakanz.llm import bpe, exact, html, leaks, licences, quality, secrets, shards, tokens
 from vakanz.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -41,11 +41,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(documents(spark, sf_dir, "pages"))
 
 
 _QUERIES = (
+    op9_benchmark_leaks,
     op2_licence_scan,
     op4_secret_scan,
     op1_line_quality,
