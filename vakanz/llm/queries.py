@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, exact, html, leaks, licences, quality, secrets, shards, tokens
+from vakanz.llm import bpe, exact, html, leaks, licences, omh, quality, secrets, shards, tokens
 from vakanz.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_classes(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(documents(spark, sf_dir), VOCABULARY)
 
@@ -50,6 +54,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
+    op5_order_minhash,
     op9_benchmark_leaks,
     op2_licence_scan,
     op4_secret_scan,
