@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from vakanz.llm.common import ready, words_of
+from vakanz.llm.common import once, ready, words_of
 from vakanz.llm.vocab import BYTE_CHARACTERS, END, Memory, Vocabulary, read
 
 #: Where the symbols that carry the word end begin; the others are below.
@@ -115,9 +115,9 @@ class Encoder:
                 tried += 1
         return tuple(t for t, _, _ in taken)
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str, out: array) -> array:
+        """``out`` with the ids of a text added."""
         parts, get = self.vocabulary.parts(text), self.words.__getitem__
-        out = array("i")
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(self.vocabulary.special[part])
@@ -164,7 +164,7 @@ def with_ids(docs: DataFrame, path: str, text_col: str = "text", into: str = "id
     def encode(texts: pa.Array) -> pa.Array:
         encode_text, flat, ends = encoder(path).encode, array("i"), [0]
         for text in texts:
-            flat.extend(encode_text(text.as_py()))
+            encode_text(text.as_py(), flat)
             ends.append(len(flat))
         values = pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
@@ -191,7 +191,7 @@ def encoded_digests(
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     ids = with_ids(rows, path).select("doc_id", "ids")
-    return with_decoded(ids, path).select(
+    return with_decoded(once(ids), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

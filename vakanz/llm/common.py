@@ -39,6 +39,11 @@ def counted_broadcast(keys: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` as generator input, so that costly columns used twice later are computed once."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, in any letter case."""
     taken, name = {c.lower() for c in df.columns}, stem

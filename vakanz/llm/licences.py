@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import words_of
+from vakanz.llm.common import once, words_of
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -109,8 +109,7 @@ def with_licences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         for t in known
     ])
     rare = sorted({w for postings in rarest for w, _, _ in postings})
-    # As generator input the words are computed once for all that follows.
-    rows = docs.select(F.inline(F.array(F.struct(docs[id_col].alias("doc_id"), text_words(docs[text_col]).alias("words")))))
+    rows = once(docs.select(docs[id_col].alias("doc_id"), text_words(docs[text_col]).alias("words")))
     looked_up = F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(w.alias("word"), i.alias("at"))))
     hits = rows.select("doc_id", "words", F.filter(looked_up, lambda h: h.isNotNull()).alias("hits"))
 
@@ -155,7 +154,7 @@ def licence_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     The score is 1 with a base place, else the best agreement of a notice, else 0.
     """
-    found = with_licences(docs, text_col, id_col).select("doc_id", "n_words", F.expr("inline(array(struct(places)))"))
+    found = once(with_licences(docs, text_col, id_col))
     base = F.filter("places", lambda p: p["base"])
     found = found.select("doc_id", "n_words", "places", base.alias("base"))
     starts = F.transform("base", lambda p: p["place"])

@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import words_of
+from vakanz.llm.common import once, words_of
 
 #: Kinds in their order: name, pattern, and the least length of the group that counts (fixed values).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -114,8 +114,7 @@ def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "tex
             *([every(group).alias("values")] if name == "markov" else [F.transform(every(group), F.length).alias("values")]),
         )
         parts.append(F.when(F.col("text").rlike(pattern), own).alias(name))
-    # As generator input the matches of a text are found once for all that follows.
-    found = rows.select(F.inline(F.array(F.struct("doc_id", *parts))))
+    found = once(rows.select("doc_id", *parts))
     steps = found.select(
         "*", *[
             F.zip_with(F.slice(f"{n}.gaps", F.lit(1), F.size(f"{n}.sizes")), f"{n}.sizes", lambda a, b: (a + b).cast("long")).alias(f"{n}_steps")
@@ -153,8 +152,7 @@ def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "tex
 
 def secret_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a document: counts of the base kinds, the digest of base spans, and all spans."""
-    found = with_spans(docs, train(labelled_samples(docs, text_col)), text_col, id_col)
-    found = found.select(F.inline(F.array(F.struct("doc_id", "spans"))))
+    found = once(with_spans(docs, train(labelled_samples(docs, text_col)), text_col, id_col))
     base = found.select("doc_id", "spans", F.filter("spans", lambda s: s["rank"] < len(KINDS)).alias("base"))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -21,8 +21,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD = regex.compile(FILE_PATTERN.replace(r"\s", SPACE))
 END = "</w>"
-#: Words longer than this are not remembered, and a memory of this many words is emptied.
-REMEMBER_CHARS, REMEMBER_WORDS = 48, 300_000
+#: Words longer than this are not remembered; a memory holds at most twice this many.
+REMEMBER_CHARS, REMEMBER_WORDS = 48, 200_000
 #: Up to this many symbols a scan for the next merge is faster than a heap.
 SCAN_SYMBOLS = 40
 
@@ -46,21 +46,37 @@ def symbols(word: str) -> list[str]:
 
 #: Below this, no code point is unassigned in any version of Unicode in use.
 SETTLED = re.compile("[^\x00-\u0377]")
+BEYOND = re.compile("[^\x00-\uffff]")
 BYTES = {c: b for b, c in BYTE_CHARACTERS.items()}
 
 
-@functools.lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Code points that this Python's Unicode does not know: others may read them as letters."""
+def _points(kind: str, end: int) -> str:
+    """The code points below ``end`` of a Unicode category, as this Python knows it, for a pattern."""
     runs, start = [], None
-    for point in range(sys.maxunicode + 2):
-        free = point <= sys.maxunicode and unicodedata.category(chr(point)) == "Cn"
-        if free and start is None:
+    for point in range(end + 1):
+        fits = point < end and unicodedata.category(chr(point)).startswith(kind)
+        if fits and start is None:
             start = point
-        elif not free and start is not None:
+        elif not fits and start is not None:
             runs.append(f"\\U{start:08x}-\\U{point - 1:08x}")
             start = None
-    return re.compile(f"[{''.join(runs)}]")
+    return "".join(runs)
+
+
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode does not know: others may read them as letters."""
+    return re.compile(f"[{_points('Cn', sys.maxunicode + 1)}]")
+
+
+@functools.lru_cache(maxsize=1)
+def quick_words():
+    """WORD for text of assigned code points up to U+FFFF, with a faster library.
+
+    Letters and digits begin no other kind of word, so their order does not matter.
+    """
+    letters, numbers = _points("L", 0x10000), _points("N", 0x10000)
+    return re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
 
 
 class Vocabulary:
@@ -96,13 +112,18 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """The words that merges work on, normalised."""
         if not text.isascii():
-            if SETTLED.search(text) and unassigned().search(text):
-                # Only the library knows what its version of Unicode makes of these.
-                parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-                return [bytes(BYTES[c] for c in word).decode("utf-8") for word, _ in parts]
+            find = quick_words()
+            if SETTLED.search(text):
+                if unassigned().search(text):
+                    # Only the library knows what its version of Unicode makes of these.
+                    parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                    return [bytes(BYTES[c] for c in word).decode("utf-8") for word, _ in parts]
+                text = unicodedata.normalize("NFC", text)
+                if BEYOND.search(text):
+                    find = WORD.findall
             # Lower case is taken letter by letter, so a final sigma is an ordinary one.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORD.findall(text.lower())
+            return find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return quick_words()(text.lower())
 
     def merge(self, parts: list[str]) -> list[str]:
         """The tokens of one word, by merging the pair of the lowest rank, leftmost first."""
@@ -164,16 +185,22 @@ def read(path: str) -> Vocabulary:
 
 
 class Memory(dict):
-    """``word -> value`` with a bound; ``make`` gives the value of a word not yet known."""
+    """``word -> value`` with a bound; ``make`` gives the value of a word not yet known.
+
+    A full memory becomes the old one, from which words in use come back; the rest goes.
+    """
 
     def __init__(self, make, known=()):
         super().__init__(known)
-        self.make, self.known = make, dict(known)
+        self.make, self.known, self.old = make, dict(known), {}
 
     def __missing__(self, word):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER_WORDS + len(self.known):
+                self.old = dict(self)
                 self.clear()
                 self.update(self.known)
             self[word] = value
