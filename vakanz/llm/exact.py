@@ -108,9 +108,9 @@ def kept_documents(
     name = free_name(docs, "content")
     marked = docs.withColumn(name, squeezed(text_col))
     same = (
-        marked[id_col].eqNullSafe(F.col("kept_id"))
-        & digest(marked[name]).eqNullSafe(F.col("kept_hash"))
-        & (F.col("words").isNull() | (F.col("words") == marked[name]))
+        marked[id_col].eqNullSafe(kept["kept_id"])
+        & digest(marked[name]).eqNullSafe(kept["kept_hash"])
+        & (kept["words"].isNull() | (kept["words"] == marked[name]))
     )
     once, again = kept.filter("rows = 1"), kept.filter("rows > 1")
     result = marked.join(once, same, "left_semi").select(*[marked[c] for c in docs.columns])

@@ -30,6 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 STATES = len(ALPHABET) + 1  # 0 is the start of a string
 #: Least log-likelihood ratio: odds of a million against a candidate being random.
 RATIO = math.log(1e6)
+#: Weight of a character's share of all in its share after another.
+BACKOFF = 8
 #: Bound of the sample of ordinary identifiers: documents with the smallest hashes.
 SAMPLE_DOCS = 400
 #: Running sums are taken in blocks, so that their cost grows with the number of items.
@@ -78,15 +80,20 @@ def train(samples: DataFrame) -> list[float] | None:
         return None
     logs = {}
     for kind, own in counts.items():
-        after = Counter()
-        for (a, _), n in own.items():
+        after, alone = Counter(), Counter()
+        for (a, b), n in own.items():
             after[a] += n
-        logs[kind] = [math.log((own[a, b] + 1) / (after[a] + STATES)) for a in range(STATES) for b in range(STATES)]
+            alone[b] += n
+        total = sum(alone.values())
+        share = [(alone[b] + 1) / (total + STATES) for b in range(STATES)]
+        logs[kind] = [
+            math.log((own[a, b] + BACKOFF * share[b]) / (after[a] + BACKOFF)) for a in range(STATES) for b in range(STATES)
+        ]
     return [x - y for x, y in zip(logs[True], logs[False], strict=True)]
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(random, value)``: values of base secrets, and words of 8 or more characters beside them."""
+    """``(random, value)``: distinct values of base secrets, and words of 8 or more characters beside them."""
     drawn = docs.select(words_of(docs[text_col]).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_docs)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = drawn.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))).alias("value"))
@@ -97,7 +104,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int =
         for _, p, g, least in KINDS
     ]
     random = for_kind[0].unionByName(for_kind[1]).unionByName(for_kind[2])
-    return random.select(F.lit(True).alias("random"), "value").unionByName(ordinary)
+    return random.distinct().select(F.lit(True).alias("random"), "value").unionByName(ordinary)
 
 
 def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
