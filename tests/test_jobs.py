@@ -44,7 +44,7 @@ def test_whole_run(spark, store):
     assert not store.available("postings", "koch") and store.available("links", "data engineer")
     postings, paragraphs = store.open_index("data engineer")
     assert (postings.count(), paragraphs.count()) == (12, 48)
-    text = "\n".join(r["value"] for r in spark.read.text(store.path("exports")).collect())
+    text = "\n".join(r["value"] for r in spark.read.text(store.path("exports", "data engineer")).collect())
     assert text.count("Anzeigentext:") == 12 and "Titel: stelle 3" in text
 
     path = jobs.present(store, "data engineer", {0, 1, 2, 3}, ["und", "der", "mit", "ein"])
@@ -95,3 +95,47 @@ def test_result_does_not_depend_on_partitions(spark, store):
     ids = {r["posting_id"] for r in postings.collect()}
     other, _ = jobs.parse_pages(pages.orderBy(F.desc("page_id")).coalesce(1))
     assert ids == {r["posting_id"] for r in other.collect()} and len(ids) == 12
+
+
+def test_empty_results_replace_stored_ones(spark, store):
+    results, pages = landed(spark, 3)
+    broken = pages.withColumn("html", F.lit("<p>nichts</p>"))
+    # the first run finds no posting at all, then some, then none again
+    for found, count, bad in ((broken, 0, 3), (pages, 3, 0), (broken, 0, 3)):
+        jobs.run(store, "koch", {1, 2}, results.withColumn("search_term", F.lit("koch")), found)
+        assert store.read("postings", "koch").count() == count
+        assert store.read("rejects/postings", "koch").count() == bad
+        assert store.available("index/postings", "koch") == bool(count)
+        assert len(spark.read.text(store.path("exports", "koch")).head(1)) == bool(count)
+    jobs.run(store, "koch", set(), results.where("false"))
+    assert not store.available("links", "koch") and store.read_links("koch").count() == 0
+    jobs.run(store, "koch", {1}, None, pages, use_stored_links=True)
+    assert store.read("postings", "koch").count() == 0
+    lines = spark.createDataFrame([("task_frequency", 0, "a,1")], "report string, line_no long, value string")
+    for rows in (1, 0):
+        path = store.write_reports(lines.limit(rows), "koch", ["task_frequency"])
+        assert spark.read.text(path).count() == rows
+
+
+@pytest.mark.parametrize("term", ["007", "2024-01-01", "a/b", "1e5", "true", "ä ö=%"])
+def test_any_search_term(spark, store, term):
+    results, pages = landed(spark, 2)
+    assert not store.available("postings", term) and not store.available("links", term)
+    jobs.run(store, term, {1, 2}, results.withColumn("search_term", F.lit(term.upper())), pages)
+    assert not store.available("postings", "koch")
+    assert store.read("postings", term).count() == 2 and store.open_index(term)[1].count() == 8
+    assert {r["search_term"] for r in store.read_links(term).collect()} == {term}
+    assert dict(store.read("postings", term).dtypes)["posting_id"] == "string"
+
+
+def test_plan_of_requests(spark, store):
+    page = "<b>Treffer ({} Jobs gefunden)</b>"
+    first = spark.createDataFrame([("Koch ", page.format(260))], "search_term string, html string")
+    jobs.plan_requests(store, "koch", first, "https://jobs.example.org/?")
+    rows = store.read("requests", "koch").orderBy("page_no").collect()
+    assert [(r["count"], r["page_no"]) for r in rows] == [(260, 10), (260, 11)]
+    assert rows[0]["url"] == "https://jobs.example.org/?q=koch&stpage=1&page=10"
+    assert store.read("rejects/counts", "koch").count() == 0
+    jobs.plan_requests(store, "koch", first.withColumn("html", F.lit("<b>nichts</b>")), "x")
+    assert store.read("requests", "koch").count() == 0
+    assert [tuple(r) for r in store.read("rejects/counts", "koch").collect()] == [("counts", "koch", "no result count")]

@@ -4,9 +4,10 @@ import pytest
 from compare import TESTDATA, connect, difference
 
 import __spark_entry__ as entry
+from vakanz.plans import oracles, registered
 
 FOLDER = f"{TESTDATA}/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registered.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -198,3 +198,56 @@ def test_listing_links(spark):
     assert sorted(r["reason"] for r in bad.collect()) == ["no job id in link", "no link in section"]
     once = LK.first_per_id(unique, ["search_term"], ["page_no", "pos"])
     assert once.count() == unique.count()
+
+
+def test_listing_of_nested_sections_and_open_paragraphs(spark):
+    html = (
+        "<section data-jobid='1'><section class='inner'><p>x</p></section><a href='/job/aaaaaaaaa1'>x</a></section>"
+        "<section data-jobid='2'><p>a<p class='entry'>ad</p><a href='/job/aaaaaaaaa2'>x</a></section>"
+        "<section data-jobid='3'><p>a<div><p>b<p class='entry'>no ad</div><a href='/job/aaaaaaaaa3'>x</a></section>"
+        "<section data-jobid='4'><section data-jobid='5'><a href='/job/aaaaaaaaa5'>x</a></section></section>"
+        "<section data-jobid='6'></section>"
+    )
+    pages = spark.createDataFrame([("it", 1, html)], "search_term string, page_no int, html string")
+    rows = LK.listing_links(pages).orderBy("pos").collect()
+    assert [r["url"] and r["url"][-1] for r in rows] == ["1", "3", "5", "5", None]
+
+
+def test_comments_and_scripts(spark):
+    good = script(sized(2500, **FULL))
+    pages = [
+        (1, f"<!-- {script('{}')} -->{good}"),
+        (2, f"<script>a='<!--'</script>{good}<script>b='-->'</script>"),
+        (3, f"<script>'<!--'</script><div class='maincontent'><b>Ihre Aufgaben</b></div><script>'-->'</script>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    assert [r["page_id"] for r in accepted(P.parse_postings(df)).orderBy("page_id").collect()] == [1, 2]
+    from vakanz.functions import html as H
+
+    assert "Aufgaben" in df.where("page_id = 3").select(H.strip_code(F.col("html"))).first()[0]
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    twice = record(2500, **FULL).replace('"title": "Leiter IT"', '"title": "Erster", "title": "Zweiter"')
+    df = spark.createDataFrame([(1, script(twice))], "page_id long, html string")
+    assert accepted(P.parse_postings(df)).first()["title"] == "zweiter"
+
+
+def test_time_grows_with_the_page(spark):
+    import time
+
+    def took(kind, n):
+        if kind == "headings":
+            html = "".join(f"<b>Kopf {i:05d}</b><p>{LONG} {i}</p>" for i in range(n))
+            work = S.with_sections(spark.createDataFrame([(1, html)], "i int, d string"), "d").select(F.size("sections"))
+        else:
+            html = "<section data-jobid=1>" + "<div><p class='entry'>x</p></div>" * n + "<a href='/job/aaaaaaaaa1'></a></section>"
+            frame = spark.createDataFrame([("t", 1, html)], "search_term string, page_no int, html string")
+            work = LK.listing_links(frame).select("pos")
+        start = time.perf_counter()
+        assert len(work.collect()) == 1
+        return time.perf_counter() - start
+
+    for kind in ("headings", "entries"):
+        took(kind, 500)
+        assert took(kind, 16_000) < 6 * took(kind, 4_000) + 1

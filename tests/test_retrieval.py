@@ -102,25 +102,24 @@ def model_scores():
     return scores
 
 
-def test_both_ways_of_scoring(spark):
+def test_scores(spark):
     df = frame(spark, HEADINGS, "id long, h string")
     headings = SC.tokenised(df, "h", [])
     size = SC.collection(headings, len(HEADINGS))
     expanded = durable(SC.expanded_terms(headings, intent_terms(rows=TERMS), [], size.documents))
-    by_lookup = SC.score_by_lookup(headings, expanded.collect(), size)
-    by_join = SC.score_by_join(headings, ["id"], expanded, size)
-    read = lambda d: {(r["id"], r["intent"]): r["score_micro"] for r in d.collect()}
-    assert read(by_lookup) == read(by_join)
+    found = SC.score(headings, ["id"], expanded, size)
     expected = {(i, "t"): round(s * 1e6) for i, s in model_scores().items()}
-    assert read(by_lookup) == expected
+    assert {(r["id"], r["intent"]): r["score_micro"] for r in found.collect()} == expected
 
 
-def test_large_vocabularies_are_joined(spark, monkeypatch):
-    df = frame(spark, HEADINGS, "id long, h string")
-    few, _ = SC.search(df, ["id"], "h", 5, intent_terms(rows=TERMS))
-    monkeypatch.setattr(SC, "LOOKUP_TERMS", 1)
-    many, _ = SC.search(df, ["id"], "h", 5, intent_terms(rows=TERMS))
-    assert sorted(few.select(*many.columns).collect()) == sorted(many.collect())
+def test_order_of_hits_is_exact(spark):
+    """Ids with an equal beginning and paragraph numbers beyond any width."""
+    ids = ["a" * 12 + x for x in "cab"]
+    keys = [(i, n) for i in ids for n in (5_000, 4_095, 2**31 - 1)]
+    scored = frame(spark, [("t", *k, 7) for k in keys], "intent string, posting_id string, paragraph_number int, score_micro long")
+    ranked = PR.ranked_hits(scored, jobs.KEYS).orderBy("rnk").collect()
+    assert [(r["posting_id"], r["paragraph_number"]) for r in ranked] == sorted(keys)
+    assert [r["rnk"] for r in ranked] == list(range(9))
 
 
 def test_status(spark):
@@ -146,7 +145,7 @@ def test_term_frequency(spark):
         [("t", 20, 2, "zweites zweites erstes kurz"), ("t", 30, 9, "erstes drittes"), ("u", 1, 1, "erstes")],
         "intent string, score_micro long, id long, c string",
     )
-    order = PR.hit_order(F.col("score_micro"), F.col("id"))
+    order = -F.col("score_micro")
     for parts in (1, 4):
         counts = PR.term_frequency(hits.repartition(parts), "c", order)
         ranked = PR.rank_terms(counts.where("intent = 't'")).orderBy("rnk").collect()
@@ -156,12 +155,11 @@ def test_term_frequency(spark):
     assert [(r["term"], r["cnt"]) for r in rows][-1] == (None, 1) and rows[0]["entries"] == 4
 
 
-def test_hit_order_extremes(spark):
-    key = 2**63 - 1
-    df = frame(spark, [(11 * 10**9, key), (11 * 10**9, 0), (-(10**9), key)], "s long, k long")
-    rows = df.select("s", "k", PR.hit_order(F.col("s"), F.col("k")).alias("o")).orderBy("o").collect()
-    assert [(r["s"], r["k"]) for r in rows] == [(11 * 10**9, 0), (11 * 10**9, key), (-(10**9), key)]
-    assert all(r["o"] is not None for r in rows)
+def test_first_seen_holds_any_rank(spark):
+    top = 2**63 - 1
+    df = frame(spark, [("t", top, "erstes zweites"), ("t", -top, "letztes")], "intent string, k long, c string")
+    counts = PR.term_frequency(df, "c", F.col("k")).orderBy("first_seen").collect()
+    assert [r["term"] for r in counts] == ["letztes", "erstes", "zweites"]
 
 
 def test_index_tables(spark):
@@ -180,8 +178,8 @@ def test_index_tables(spark):
 def test_keep_and_broadcast(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert [tuple(r) for r in keep(df, F.col("x") > 15).collect()] == [(8, 16), (9, 18)]
-    hinted = broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
-    plain = broadcast_if_small(df, 9)._jdf.queryExecution().analyzed().toString()
+    hinted = broadcast_if_small(df, 320)._jdf.queryExecution().analyzed().toString()
+    plain = broadcast_if_small(df, 319)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
 
 

@@ -6,7 +6,8 @@ tag and the next tag. Quoted attribute values may hold ``<`` and ``>``.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ START_TAG = rf"<([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
 ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?"""
 QUOTES = r"""^["']|["']$"""
 TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
-COMMENT = r"(?s)<!--.*?-->"
-RAW_TEXT = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
-SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
+# A comment may hold scripts and a script comments: whichever starts first counts.
+COMMENT_OR_CODE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+COMMENT_OR_SCRIPT = r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script\s*>"
 LD_JSON = r"""(?i)(?:^|\s)type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?:\s|$))"""
 
 # Elements without content; text after them belongs to the surrounding element.
@@ -29,16 +30,9 @@ VOID_TAGS = (
     "source", "track", "wbr",
 )
 
-# Named entities of the HTML standard met in western European pages.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "shy": "­",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü",
-    "szlig": "ß", "agrave": "à", "acirc": "â", "ccedil": "ç", "egrave": "è", "eacute": "é",
-    "ecirc": "ê", "ntilde": "ñ", "oacute": "ó", "aacute": "á", "iacute": "í", "uacute": "ú",
-    "copy": "©", "reg": "®", "middot": "·", "sect": "§", "deg": "°", "euro": "€",
-    "ndash": "–", "mdash": "—", "bull": "•", "hellip": "…", "laquo": "«", "raquo": "»",
-    "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„",
-}
+# Named entities of the HTML standard that end in a semicolon, most frequent ones first.
+FREQUENT = ("amp", "lt", "gt", "quot", "nbsp", "auml", "ouml", "uuml", "szlig", "eacute")
+ENTITIES = {n.removesuffix(";"): c for n, c in html5.items() if n.endswith(";")}
 
 
 def let(value: Column, body) -> Column:
@@ -53,35 +47,39 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
-def _numeric(text: Column, pattern: str, mark: str, base: int) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    return F.aggregate(
-        found,
-        text,
-        lambda acc, digits: F.replace(
-            acc,
-            F.concat(F.lit(mark), digits, F.lit(";")),
-            F.coalesce(_code_point(digits, base), F.concat(F.lit(mark), digits, F.lit(";"))),
+def _character(name: Column) -> Column:
+    """What a reference stands for, without its ``&`` and ``;``; NULL when it is none."""
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    found = F.when(
+        F.startswith(name, F.lit("#")),
+        F.when(F.regexp_like(name, F.lit("^#[0-9]{1,7}$")), _code_point(F.substring(name, 2, 7), 10)).when(
+            F.regexp_like(name, F.lit("^#[xX][0-9A-Fa-f]{1,6}$")), _code_point(F.substring(name, 3, 6), 16)
         ),
     )
+    for entity in FREQUENT:
+        found = found.when(name == entity, F.lit(ENTITIES[entity]))
+    return found.otherwise(F.try_element_at(table, name))
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references to characters; ``&amp;`` comes last."""
-    named = reduce(
-        lambda acc, item: F.replace(acc, F.lit(f"&{item[0]};"), F.lit(item[1])),
-        ENTITIES.items(),
-        text,
-    )
-    decimal = let(named, lambda t: _numeric(t, r"&#([0-9]{1,7});", "&#", 10))
-    hexadecimal = let(decimal, lambda t: _numeric(t, r"&#x([0-9A-Fa-f]{1,6});", "&#x", 16))
-    decoded = F.replace(hexadecimal, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    """Named and numeric character references to characters, in one pass from left to right."""
+
+    def decoded(part: Column, at: Column) -> Column:
+        def replaced(name: Column) -> Column:
+            rest = F.substring(part, F.length(name) + 2, F.length(part))
+            return F.concat(F.when(name != "", _character(name)), rest)
+
+        name = F.regexp_extract(part, "^(#?[A-Za-z0-9]{1,32});", 1)
+        plain = F.concat(F.lit("&"), part)
+        return F.when(at == 0, part).otherwise(F.coalesce(let(name, replaced), plain))
+
+    whole = F.array_join(F.transform(F.split(text, "&", -1), decoded), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def strip_code(page: Column) -> Column:
     """Page without comments, scripts and style sheets."""
-    return F.regexp_replace(F.regexp_replace(page, COMMENT, ""), RAW_TEXT, "")
+    return F.regexp_replace(page, COMMENT_OR_CODE, "")
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -119,7 +117,7 @@ def nodes(page: Column, with_attrs: bool = False) -> Column:
     return F.transform(F.concat(leading, parts), element)
 
 
-_REFERENCE = rf"&(?:{'|'.join(ENTITIES)}|amp|#[0-9]{{1,7}}|#x[0-9A-Fa-f]{{1,6}});"
+_REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 _OPEN_ELEMENTS = "array<struct<at:int,tag:string,seen:boolean>>"
 
 
@@ -185,8 +183,8 @@ def late_text_elements(page: Column, min_length: int) -> Column:
 def json_scripts(page: Column) -> Column:
     """Texts of the structured-data scripts of a page, in document order."""
     scripts = F.arrays_zip(
-        F.regexp_extract_all(page, F.lit(SCRIPT), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(page, F.lit(SCRIPT), F.lit(2)).alias("text"),
+        F.regexp_extract_all(page, F.lit(COMMENT_OR_SCRIPT), F.lit(1)).alias("attrs"),
+        F.regexp_extract_all(page, F.lit(COMMENT_OR_SCRIPT), F.lit(2)).alias("text"),
     )
     chosen = F.filter(scripts, lambda s: F.regexp_like(s["attrs"], F.lit(LD_JSON)))
     return F.transform(chosen, lambda s: s["text"])

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from vakanz.functions import html as H
 from vakanz.functions import links as L
+from vakanz.functions.arrays import running_sums
 
 _VOID = "|".join(H.VOID_TAGS)
-_OPEN = rf"(?i)<(?!(?:{_VOID})\b)[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>"
-_CLOSE = r"(?i)</[a-zA-Z]"
+# Paragraphs cannot hold each other: one ends where the next starts, so they have no depth.
+_OPEN = rf"(?i)<(?!(?:{_VOID}|p)\b)[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>"
+_CLOSE = r"(?i)</(?!p\b)[a-zA-Z]"
 _TAG_END = r"""^((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
 _SECTION_END = r"(?i)</section\s*>"
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 
 def _attrs_of(piece: Column) -> Column:
@@ -25,26 +27,54 @@ def _attrs_of(piece: Column) -> Column:
 
 def _first_href(fragment: Column) -> Column:
     attrs = F.regexp_extract_all(fragment, F.lit(H.START_TAG), F.lit(2))
-    hrefs = F.transform(attrs, lambda a: H.attribute(a, "href"))
+    with_href = F.filter(attrs, lambda a: F.contains(F.lower(a), F.lit("href")))
+    hrefs = F.transform(with_href, lambda a: H.attribute(a, "href"))
     return F.get(F.filter(hrefs, lambda h: h.isNotNull()), F.lit(0))
 
 
 def _is_advert(body: Column) -> Column:
-    """True when an entry paragraph is a direct child: as many ends as starts before it."""
-
-    def direct_entry(parts: Column, part: Column, index: Column) -> Column:
-        before = F.array_join(F.slice(parts, F.lit(1), index), "<p")
-        return (
-            (index > 0)
-            & (H.attribute(_attrs_of(part), "class") == "entry")
-            & (_count(before, _OPEN) == _count(before, _CLOSE))
+    """True when an entry paragraph is a direct child: no other element is open before it."""
+
+    def any_entry(parts: Column) -> Column:
+        balance = F.transform(parts, lambda p: _count(p, _OPEN) - _count(p, _CLOSE))
+        entry = F.transform(
+            parts, lambda p, i: (i > 0) & F.coalesce(H.attribute(_attrs_of(p), "class") == "entry", F.lit(False))
         )
+        depth = F.zip_with(running_sums(balance), balance, lambda after, own: after - own)
+        direct = F.zip_with(entry, depth, lambda e, d: e & (d == 0))
+        return F.when(F.exists(entry, lambda e: e), F.exists(direct, lambda d: d)).otherwise(False)
+
+    return H.let(F.split(body, r"(?i)<p(?=[\s>])"), any_entry)
+
+
+def _bodies(pieces: Column) -> Column:
+    """``array<struct<body>>`` of the sections with a job id, from the text between one start tag and the next.
 
-    found = H.let(
-        F.split(body, r"(?i)<p(?=[\s>])"),
-        lambda parts: F.transform(parts, lambda part, i: direct_entry(parts, part, i)),
+    A section that closes before the next one starts ends there. Otherwise it holds the ones that
+    follow, up to the end tag of its own depth.
+    """
+
+    def section(piece: Column, index: Column) -> Column:
+        own = F.regexp_replace(piece, _TAG_END, "")
+        nested = F.slice(pieces, index + 2, F.size(pieces))
+        scan = F.aggregate(
+            nested,
+            F.struct(F.lit(1).cast("bigint").alias("depth"), F.array().cast("array<string>").alias("held")),
+            lambda acc, inner: F.when(acc["depth"] <= 0, acc).otherwise(
+                F.struct(
+                    (acc["depth"] + 1 - _count(inner, _SECTION_END)).alias("depth"),
+                    F.array_append(acc["held"], inner).alias("held"),
+                )
+            ),
+        )
+        whole = F.concat(own, F.lit("<section"), F.array_join(scan["held"], "<section"))
+        body = F.when(F.regexp_like(own, F.lit(_SECTION_END)), F.get(F.split(own, _SECTION_END, 2), F.lit(0)))
+        return F.struct(F.coalesce(body, whole).alias("body"))
+
+    wanted = F.transform(
+        pieces, lambda p, i: F.when(H.attribute(_attrs_of(p), "data-jobid").isNotNull(), section(p, i))
     )
-    return F.exists(found, lambda direct: F.coalesce(direct, F.lit(False)))
+    return F.filter(wanted, lambda s: s.isNotNull())
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
@@ -54,20 +84,8 @@ def listing_links(pages: DataFrame) -> DataFrame:
     ``reason`` is set where a section has no link or the link has no id.
     """
     pieces = F.slice(F.split(H.strip_code(F.col("html")), r"(?i)<section(?=[\s>])"), 2, 1_000_000_000)
-    parts = F.transform(
-        pieces,
-        lambda piece: F.struct(
-            _attrs_of(piece).alias("attrs"),
-            F.get(
-                F.split(F.regexp_replace(piece, _TAG_END, ""), _SECTION_END, 2), F.lit(0)
-            ).alias("body"),
-        ),
-    )
-    wanted = F.filter(
-        parts,
-        lambda s: H.attribute(s["attrs"], "data-jobid").isNotNull() & ~_is_advert(s["body"]),
-    )
-    hrefs = F.transform(wanted, lambda s: _first_href(s["body"]))
+    sections = F.filter(H.let(pieces, _bodies), lambda s: ~_is_advert(s["body"]))
+    hrefs = F.transform(sections, lambda s: _first_href(s["body"]))
     return _with_ids(pages.select("search_term", "page_no", F.posexplode(hrefs).alias("pos", "url")))
 
 
@@ -97,7 +115,15 @@ def first_per_id(links: DataFrame, group: list[str], order: list[str]) -> DataFr
 
 
 def page_plan(counts: DataFrame, *keys: str) -> DataFrame:
-    """One row per result page to request, from ``count`` announced postings."""
-    return counts.where(F.col("count").isNotNull()).select(
-        *keys, "count", F.explode(L.page_numbers(F.col("count"))).alias("page_no")
+    """One row per result page to request, from ``count`` announced postings.
+
+    ``(keys, count, page_no, reason)``: a missing count gives one row without page and a reason.
+    """
+    known = F.col("count").isNotNull()
+    pages = F.when(known, L.page_numbers(F.col("count"))).otherwise(F.array(F.lit(None).cast("int")))
+    return counts.select(
+        *keys,
+        "count",
+        F.explode(pages).alias("page_no"),
+        F.when(~known, "no result count").alias("reason"),
     )

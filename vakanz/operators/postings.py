@@ -101,10 +101,11 @@ def posting_id() -> Column:
 def distinct_postings(postings: DataFrame) -> DataFrame:
     """One row per posting content, kept under its smallest ``page_id``.
 
-    All content columns follow from ``posting_id`` and serve as grouping keys, so this is one
-    hash aggregate whose partial results collapse any number of copies before the shuffle.
+    ``postings`` should be stored, as it is read twice: the aggregate is over two narrow columns
+    and collapses any number of copies before its shuffle; the kept pages are joined back.
     """
-    return postings.groupBy("posting_id", *CONTENT).agg(F.min("page_id").alias("page_id"))
+    first = postings.groupBy("posting_id").agg(F.min("page_id").alias("page_id"))
+    return postings.join(first.select("page_id"), "page_id", "left_semi")
 
 
 def first_copy(df: DataFrame, key: str, columns: list[Column]) -> DataFrame:

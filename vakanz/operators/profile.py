@@ -10,23 +10,14 @@ from pyspark.sql import functions as F
 from vakanz.functions.text import bucketed_words, ranked_words
 from vakanz.operators.ranking import global_rank, keep_from_cutoff, rank_slice
 
-# Word order of a hit: score (11 digits, highest first), hit key (19 digits), position (8 digits).
-_SCORE_TOP = 5 * 10**10
-_SCORE_UNIT, _KEY_UNIT = "1" + "0" * 27, "1" + "0" * 8
+# A word's place: rank of its hit (BIGINT), then its place in the hit (INT, up to ten digits).
+_PLACES = "1" + "0" * 10
 
 
-def hit_order(score: Column, key: Column) -> Column:
-    """Start of a hit's words in first-seen order, as one DECIMAL(38,0).
-
-    A fixed-width number keeps the term aggregation a hash aggregation. ``key`` is a
-    non-negative BIGINT that orders hits of equal score.
-    """
-    rank = (F.lit(_SCORE_TOP) - score).cast("decimal(11,0)")
-    place = key.cast("decimal(19,0)")
-    return (
-        rank * F.lit(_SCORE_UNIT).cast("decimal(28,0)")
-        + place * F.lit(_KEY_UNIT).cast("decimal(9,0)")
-    ).cast("decimal(38,0)")
+def ranked_hits(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``scored`` with ``rnk``, the exact place of a hit: highest score first, then its keys."""
+    order = [F.col("score_micro").desc(), *map(F.col, keys)]
+    return global_rank(scored, "intent", order).drop("entries")
 
 
 def term_frequency(
@@ -38,12 +29,13 @@ def term_frequency(
 ) -> DataFrame:
     """``(intent, term, cnt, first_seen)`` over the contents of all hits.
 
-    Words that do not qualify are dropped in the row. With ``keep_null_bucket`` they are counted
-    together under a NULL term instead.
+    ``order`` is a BIGINT that orders the hits of an intent. Words that do not qualify are
+    dropped in the row. With ``keep_null_bucket`` they are counted together under a NULL term.
     """
     text = F.col(content)
     words = bucketed_words(text, stop) if keep_null_bucket else ranked_words(text, stop)
-    seen = (F.col("_at") + F.col("_pos").cast("decimal(8,0)")).cast("decimal(38,0)")
+    place = F.col("_at").cast("decimal(19,0)") * F.lit(_PLACES).cast("decimal(11,0)")
+    seen = (place + F.col("_pos").cast("decimal(10,0)")).cast("decimal(32,0)")
     return (
         hits.select("intent", order.alias("_at"), F.posexplode(words).alias("_pos", "term"))
         .groupBy("intent", "term")
@@ -58,16 +50,24 @@ def rank_terms(counts: DataFrame) -> DataFrame:
     )
 
 
+def kept_contents(scored: DataFrame, paragraphs: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
+    """The better half of the hits in their exact order, with their contents.
+
+    Only the keys are ranked; contents are read for the hits that are kept.
+    """
+    kept = ranked_hits(keep_from_cutoff(scored, "intent"), keys)
+    return kept.join(paragraphs.select(*keys, content), list(keys))
+
+
 def term_profile(
     scored: DataFrame,
+    paragraphs: DataFrame,
+    keys: Sequence[str],
     content: str,
-    key: Column,
     stop: Sequence[str] = (),
     keep_null_bucket: bool = False,
 ) -> DataFrame:
     """``(intent, term, cnt, rnk)``: the middle ranks of the terms in the better half of the hits."""
-    kept = keep_from_cutoff(scored, "intent")
-    counts = term_frequency(
-        kept, content, hit_order(F.col("score_micro"), key), stop, keep_null_bucket
-    )
+    hits = kept_contents(scored, paragraphs, keys, content)
+    counts = term_frequency(hits, content, F.col("rnk"), stop, keep_null_bucket)
     return rank_slice(rank_terms(counts)).select("intent", "term", "cnt", "rnk")

@@ -19,7 +19,7 @@ def cutoff(
 ) -> DataFrame:
     """``(group, cutoff)``: the value at 0-based rank ``int(n * share)``, highest first.
 
-    ``value`` is BIGINT. Values are counted per group first (partial aggregation) and the counts
+    ``value`` is BIGINT and takes some million distinct values a group at most, as scores do. Values are counted per group first (partial aggregation) and the counts
     written once; the rank is then located in two steps over histograms: by the upper bits of
     the value, and within the one bucket found by the value itself, which has at most 65,536
     rows per group.
@@ -29,7 +29,7 @@ def cutoff(
     coarse = counts.groupBy(group, high.alias("_high")).agg(F.sum("n").alias("n"))
     bucket = _at_rank(coarse, group, "_high", F.floor(F.col("_total") * F.lit(share)))
     bucket = bucket.select(group, "_high", (F.col("_rank") - F.col("_before")).alias("_rest"))
-    inside = counts.withColumn("_high", high).join(F.broadcast(bucket), [group, "_high"])
+    inside = counts.withColumn("_high", high).join(bucket, [group, "_high"])  # one row a group
     return _at_rank(inside, group, value, F.col("_rest")).select(group, F.col(value).alias("cutoff"))
 
 
@@ -46,8 +46,8 @@ def _at_rank(counts: DataFrame, group: str, value: str, rank: Column) -> DataFra
 
 def keep_from_cutoff(scored: DataFrame, group: str, value: str = "score_micro") -> DataFrame:
     """Hits at or above the cutoff of their group; ties at the cutoff stay."""
-    # One row per group; groups are the intents of the vocabulary, whose size is checked.
-    limits = F.broadcast(cutoff(scored, group, value))
+    # One row per group.
+    limits = broadcast_if_small(durable(cutoff(scored, group, value)))
     return scored.join(limits, group).where(F.col(value) >= F.col("cutoff")).drop("cutoff")
 
 

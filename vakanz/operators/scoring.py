@@ -6,16 +6,13 @@ of the terms found at all gain (coordination). The collection is postings plus p
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.functions.html import let
-from vakanz.functions.text import in_list, term_counts, tokens, where_words
+from vakanz.functions.text import term_counts, tokens
 from vakanz.operators.expand import expand
 from vakanz.operators.index import heading_vocabulary
 from vakanz.runtime import durable
@@ -24,10 +21,6 @@ from vakanz.runtime import durable
 K1, B = 1.2, 0.75
 MICRO = 1_000_000
 
-# Largest expanded vocabulary that is put into the plan as a lookup; beyond it a join is used.
-LOOKUP_TERMS = 20_000
-
-
 @dataclass(frozen=True)
 class Collection:
     """Sizes the score needs: documents of either kind, and mean heading length over them."""
@@ -71,91 +64,12 @@ def _coordinated(total: Column, matched: Column, found: Column) -> Column:
 def score(
     headings: DataFrame, keys: Sequence[str], expanded: DataFrame, size: Collection
 ) -> DataFrame:
-    """``headings`` rows times the intents they match, with ``intent`` and ``score_micro``.
-
-    While the (already written) expanded vocabulary is small, headings are scored in their own
-    row and nothing is shuffled; otherwise tokens are joined with it.
-    """
-    few = expanded.limit(LOOKUP_TERMS + 1).collect()
-    if len(few) <= LOOKUP_TERMS:
-        return score_by_lookup(headings, few, size)
-    return score_by_join(headings, keys, expanded, size)
-
-
-def score_by_lookup(headings: DataFrame, expanded: list, size: Collection) -> DataFrame:
-    """Scores from a lookup in the plan; all columns of ``headings`` stay in place.
+    """``(keys, intent, score_micro)`` of the headings that match.
 
-    Intents for which a single vocabulary term matches anything have no scores.
+    Tokens are counted in the row of their heading, joined with the (written) expanded vocabulary
+    and aggregated per heading; contents take no part. ``keys`` identify a heading: rows of equal
+    keys are one heading. Intents for which a single vocabulary term matches have no scores.
     """
-    by_term, found = defaultdict(list), defaultdict(set)
-    for row in expanded:
-        found[row["intent"]].add(row["term"])
-    for row in expanded:
-        if len(found[row["intent"]]) > 1:
-            by_term[row["term"]].append(
-                {"i": row["intent"], "q": row["query_term"], "x": row["exact"], "s": row["s"]}
-            )
-    if not by_term:
-        empty = headings.where("false")
-        return empty.withColumns(
-            {"intent": F.lit(None).cast("string"), "score_micro": F.lit(None).cast("bigint")}
-        )
-    lookup = F.from_json(
-        F.lit(json.dumps(by_term, ensure_ascii=False)),
-        "map<string,array<struct<i:string,q:string,x:boolean,s:double>>>",
-    )
-    totals = F.from_json(
-        F.lit(json.dumps({intent: len(words) for intent, words in found.items()})),
-        "map<string,int>",
-    )
-    def entries(matched: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                matched,
-                lambda t: let(
-                    F.size(F.filter("tokens", lambda x: x == t)),
-                    lambda tf: F.transform(
-                        F.element_at(lookup, t),
-                        lambda e: F.struct(
-                            *[e[c].alias(c) for c in "iqxs"], t.alias("t"), tf.alias("tf")
-                        ),
-                    ),
-                ),
-            )
-        )
-
-    # Headings without a match leave at the explode below.
-    matched = headings.withColumn(
-        "_m", where_words(F.array_distinct("tokens"), f"w {in_list(sorted(by_term))}")
-    )
-    by_intent = (
-        matched.withColumn("_e", entries(F.col("_m")))
-        .withColumn("intent", F.explode(F.array_distinct(F.transform("_e", lambda e: e["i"]))))
-        .withColumn("_e", F.filter("_e", lambda e: e["i"] == F.col("intent")))
-    )
-    length = F.size("tokens")
-    exact = F.aggregate(
-        F.filter("_e", lambda e: e["x"]),
-        F.lit(0.0),
-        lambda acc, e: acc + _bm25(e["s"], e["tf"], length, size),
-    )
-    fuzzy = F.aggregate(
-        F.array_distinct(
-            F.transform(F.filter("_e", lambda e: ~e["x"]), lambda e: F.struct(e["q"], e["s"].alias("s")))
-        ),
-        F.lit(0.0),
-        lambda acc, e: acc + e["s"],
-    )
-    hits = F.size(F.array_distinct(F.transform("_e", lambda e: e["t"])))
-    return by_intent.withColumn(
-        "score_micro", _coordinated(exact + fuzzy, hits, F.element_at(totals, F.col("intent")))
-    ).drop("_m", "_e")
-
-
-def score_by_join(
-    headings: DataFrame, keys: Sequence[str], expanded: DataFrame, size: Collection
-) -> DataFrame:
-    """The same scores by joining tokens with the expanded vocabulary and aggregating per heading."""
     found = expanded.groupBy("intent").agg(F.countDistinct("term").alias("found"))
     found = found.where("found > 1")
     scored = (
@@ -173,10 +87,9 @@ def score_by_join(
     )
     fuzzy = F.aggregate("fuzzy", F.lit(0.0), lambda acc, e: acc + e["s"])
     total = F.coalesce("exact", F.lit(0.0)) + fuzzy
-    scores = scored.select(
+    return scored.select(
         *keys, "intent", _coordinated(total, F.col("hits"), F.col("found")).alias("score_micro")
     )
-    return headings.join(scores, list(keys))
 
 
 def search(
@@ -187,12 +100,21 @@ def search(
     terms: DataFrame,
     stop: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Scored paragraphs, and one status row per intent.
+    """``(keys, intent, score_micro)`` of scored paragraphs, and one status row per intent.
+
+    Headings are tokenised once; the tokens are written with their keys.
 
     ``status`` is ``ok``, ``insufficient`` (a single vocabulary term matches anything, so the
     coordination is undefined) or ``empty``.
     """
-    headings = tokenised(paragraphs, heading, stop)
+    headings = durable(tokenised(paragraphs, heading, stop).select(*keys, "tokens"))
+    return search_tokens(headings, keys, postings, terms, stop)
+
+
+def search_tokens(
+    headings: DataFrame, keys: Sequence[str], postings: int, terms: DataFrame, stop: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """``search`` over stored ``(keys, tokens)``."""
     size = collection(headings, postings)
     expanded = durable(expanded_terms(headings, terms, stop, size.documents))
     found = expanded.groupBy("intent").agg(F.countDistinct("term").alias("found"))

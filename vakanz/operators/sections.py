@@ -1,4 +1,4 @@
-"""Headed sections of a description, assembled inside the row: no shuffle, any page size."""
+"""Headed sections of a description, assembled inside the row by sorting: no shuffle."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vakanz.functions import html as H
+from vakanz.functions.arrays import running_maxima
 from vakanz.functions.text import sanitize
 
 # What counts as a heading, and the size rules of sections.
@@ -33,13 +34,13 @@ def text_nodes(flat: Column) -> Column:
     )
 
     def numbered(late: Column) -> Column:
-        return F.transform(
+        return F.when(F.size(late) == 0, H.nodes(flat)).otherwise(F.transform(
             H.nodes(flat),
             lambda n, i: F.struct(
                 n["tag"].alias("tag"),
                 F.when(~F.array_contains(late, i - lead), n["text"]).alias("text"),
             ),
-        )
+        ))
 
     return F.filter(
         H.let(late, numbered), lambda n: n["text"].isNull() | (F.length(n["text"]) >= MIN_TEXT)
@@ -68,6 +69,46 @@ def heading_texts(
     return F.coalesce(chosen, F.transform(styled, lambda n: n["text"]))
 
 
+def _key(text: Column, kind: int, at: Column) -> Column:
+    return F.struct(text.alias("text"), F.lit(kind).alias("kind"), at.alias("at"))
+
+
+def first_places(headings: Column, rows: Column) -> Column:
+    """For each heading the index of the first row equal to it, NULL when there is none.
+
+    Rows and headings are sorted together, so that a heading follows the rows equal to it; the
+    begin of its run is carried along.
+    """
+    both = F.concat(
+        F.transform(rows, lambda r, i: _key(r, 0, i)), F.transform(headings, lambda h, i: _key(h, 1, i))
+    )
+
+    def bound(ordered: Column) -> Column:
+        begins = F.transform(
+            ordered,
+            lambda e, k: F.when(
+                (k == 0) | ~F.get(ordered, k - 1)["text"].eqNullSafe(e["text"]), k.cast("bigint")
+            ).otherwise(F.lit(0).cast("bigint")),
+        )
+        placed = F.zip_with(
+            ordered,
+            running_maxima(begins),
+            lambda e, begin: F.when(
+                e["kind"] == 1,
+                F.struct(
+                    e["at"].alias("heading"),
+                    H.let(
+                        F.get(ordered, begin.cast("int")),
+                        lambda first: F.when((first["kind"] == 0) & first["text"].isNotNull(), first["at"]),
+                    ).alias("row"),
+                ),
+            ),
+        )
+        return F.transform(F.array_sort(F.filter(placed, lambda p: p.isNotNull())), lambda p: p["row"])
+
+    return H.let(F.array_sort(both), bound)
+
+
 def raw_sections(headings: Column, rows: Column) -> Column:
     """``array<array<string>>``: the rows of each heading's section, in heading order.
 
@@ -75,21 +116,21 @@ def raw_sections(headings: Column, rows: Column) -> Column:
     heading; the last one is cut to a fixed number of rows. A heading without text of its own
     has no section and ends the one before at the first row without text.
     """
+    without_text = F.array_position(F.transform(rows, F.isnull), True).cast("int") - 1
 
-    def section(heading: Column, index: Column) -> Column:
-        start = F.array_position(rows, heading).cast("int")
-        following = F.get(headings, index + 1)
-        without_text = F.array_position(F.transform(rows, F.isnull), True)
-        stop = F.coalesce(F.array_position(rows, following), without_text).cast("int")
-        length = F.when(index + 1 >= F.size(headings), F.lit(LAST_SECTION_ROWS)).otherwise(
-            F.greatest(stop - start, F.lit(0))
-        )
-        proper = F.length(heading).between(MIN_HEADING, MAX_HEADING) & (start > 0)
-        return F.when(proper, F.slice(rows, start, length)).otherwise(
-            F.array().cast("array<string>")
-        )
+    def cut(places: Column) -> Column:
+        def section(start: Column, index: Column) -> Column:
+            heading, last = F.get(headings, index), index + 1 >= F.size(headings)
+            following = F.when(F.get(headings, index + 1).isNull(), without_text).otherwise(
+                F.coalesce(F.get(places, index + 1), F.lit(-1))
+            )
+            length = F.when(last, F.lit(LAST_SECTION_ROWS)).otherwise(F.greatest(following - start, F.lit(0)))
+            proper = F.length(heading).between(MIN_HEADING, MAX_HEADING) & start.isNotNull()
+            return F.when(proper, F.slice(rows, start + 1, length)).otherwise(F.array().cast("array<string>"))
+
+        return F.transform(places, section)
 
-    return F.transform(headings, section)
+    return H.let(first_places(headings, rows), cut)
 
 
 def finish_sections(raw: Column) -> Column:
@@ -123,16 +164,35 @@ def finish_sections(raw: Column) -> Column:
 
 
 def _latest_per_heading(pairs: Column) -> Column:
-    names = F.array_distinct(F.transform(pairs, lambda p: p["heading"]))
-    return F.transform(
-        names,
-        lambda name: F.struct(
-            name.alias("heading"),
-            F.element_at(F.filter(pairs, lambda p: p["heading"] == name), -1)["content"].alias(
-                "content"
+    """The last content of each heading, in the order of their first ones."""
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["heading"].alias("heading"), i.alias("at"), p["content"].alias("content")))
+
+    def merged(ordered: Column) -> Column:
+        begins = F.transform(
+            ordered,
+            lambda p, k: F.when((k == 0) | ~F.get(ordered, k - 1)["heading"].eqNullSafe(p["heading"]), k.cast("bigint"))
+            .otherwise(F.lit(0).cast("bigint")),
+        )
+        runs = F.zip_with(running_maxima(begins), F.sequence(F.lit(0), F.size(ordered) - 1), lambda b, k: F.struct(b.alias("begin"), k.alias("k")))
+        ends = F.filter(
+            runs,
+            lambda r: (r["k"] + 1 == F.size(ordered))
+            | ~F.get(ordered, r["k"] + 1)["heading"].eqNullSafe(F.get(ordered, r["k"])["heading"]),
+        )
+        kept = F.transform(
+            ends,
+            lambda r: F.struct(
+                F.get(ordered, r["begin"].cast("int"))["at"].alias("at"),
+                F.get(ordered, r["k"])["heading"].alias("heading"),
+                F.get(ordered, r["k"])["content"].alias("content"),
             ),
-        ),
-    )
+        )
+        by_first = F.transform(
+            F.array_sort(kept), lambda p: F.struct(p["heading"].alias("heading"), p["content"].alias("content"))
+        )
+        return F.when(F.size(ordered) > 0, by_first).otherwise(pairs)
+
+    return H.let(F.array_sort(numbered), merged)
 
 
 def with_sections(df, description: str, tags: Sequence[str] = HEADING_TAGS):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRUCTURED_FROM = 300
+# One document in five is laid out as a plain body, one in twenty without usable data.
+PLAIN_EVERY, BROKEN_EVERY = 5, 20
 HEADING_CHARS = 30
 
 
@@ -34,10 +35,12 @@ def _script(body: Column) -> Column:
 
 
 def posting_pages(documents: DataFrame) -> DataFrame:
-    """Posting pages: structured data for longer documents, a plain body for short ones.
+    """Posting pages: structured data, or for one document in five a plain body.
 
     The description holds a bold heading and a paragraph per line. German documents carry two
-    scripts, French ones a plain string as industry.
+    scripts, French ones a plain string as industry. A comment before the data holds a script, a
+    script before it comment signs. One structured document in twenty is malformed, one has
+    no description and one has no usable data.
     """
     text = F.col("text")
     size = F.length(text)
@@ -76,29 +79,48 @@ def posting_pages(documents: DataFrame) -> DataFrame:
         F.lit("{" + padding + ","), _inner(F.col("_industry")), F.lit(","),
         _inner(F.col("_record")), F.lit("}"),
     )
+    at = F.coalesce(F.col("doc_id") % BROKEN_EVERY, F.lit(1))
+    data = (
+        F.when(at == 6, F.concat(F.lit("{broken "), F.lit("x" * 2000)))
+        .when(at == 7, F.lit("{" + padding + "}"))
+        .when(at == 8, F.lit('{"pad":"' + "x" * 1990 + '"}'))
+        .otherwise(json)
+    )
     other = F.when(F.col("lang") == "de", _script(F.lit("{" + padding + "}"))).otherwise(F.lit(""))
     return (
         documents.withColumns(
             {
-                "_record": F.when(size >= STRUCTURED_FROM, F.to_json(record)),
+                "_record": F.when(F.coalesce(F.col("doc_id") % PLAIN_EVERY, F.lit(1)) != 0, F.to_json(record)),
                 "_industry": F.when(F.col("lang") == "fr", one).otherwise(many),
                 "_body": body,
             }
         )
         .withColumn(
-            "_inner", F.coalesce(F.concat(other, _script(json)), F.col("_body"))
+            "_inner", F.coalesce(F.concat(other, _script(data)), F.col("_body"))
         )
         .select(
             F.col("doc_id").alias("page_id"),
             F.concat(
-                F.lit("<html><head><!-- p --><script>var a=1;</script></head><body>"),
+                F.lit("<html><head><!-- <script type='application/ld+json'>{}</script> -->"),
+                F.lit("<script>var a='<!--';</script></head><body>"),
                 "_inner",
-                F.lit("</body></html>"),
+                F.lit("<script>var b='-->';</script></body></html>"),
             ).alias("html"),
         )
     )
 
 
+def styled_pages(documents: DataFrame) -> DataFrame:
+    """Pages that mark the heading of each line by its style only."""
+    part = lambda line: F.concat(
+        F.lit('<div><span style="color:red; font-weight:bold">'), escape(F.substring(line, 1, HEADING_CHARS)),
+        F.lit("</span></div><p>"), escape(line), F.lit("</p>"),
+    )
+    return documents.select(
+        F.col("doc_id").alias("page_id"), F.array_join(F.transform(lines(F.col("text")), part), "").alias("html")
+    )
+
+
 def result_page(doc: str = "text") -> Column:
     """A result page with one section per line of the document.
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vakanz.functions.links import result_count, result_url
 from vakanz.functions.render import report_line
 from vakanz.operators import index as I
 from vakanz.operators import links as L
@@ -31,10 +32,21 @@ TOO_LITTLE = "Für diese Anfrage waren zu wenig Dokumente vorhanden,0"
 PARSE, INDEX = 1, 2
 
 
-def paragraph_key() -> Column:
-    """Order of hits with the same score: 48 bits of the posting id, then the paragraph."""
-    head = F.conv(F.substring("posting_id", 1, 12), 16, 10).cast("bigint")
-    return head * 4096 + F.least(F.col("paragraph_number"), F.lit(4095))
+KEYS = ["posting_id", "paragraph_number"]
+
+
+def plan_requests(store: Store, search_term: str, first_pages: DataFrame, base: str) -> None:
+    """From first result pages ``(search_term, html)`` to the result pages to request.
+
+    A page that names no count of results is a reject.
+    """
+    wanted = first_pages.where(F.lower(F.trim("search_term")) == search_term.strip().lower())
+    counts = wanted.select(result_count(F.col("html")).cast("bigint").alias("count"))
+    tagged = durable(L.page_plan(counts))
+    url = result_url(F.lit(base), F.lit(search_term.strip()), F.lit(1), F.col("page_no"))
+    store.write(accepted(tagged).withColumn("url", url), search_term, "requests")
+    bad = tagged.withColumn("key", F.lit(search_term.strip().lower()))
+    store.write(rejects(bad, "counts", "key"), search_term, "rejects/counts")
 
 
 def gather_links(result_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +86,11 @@ def run(
     if PARSE not in options:
         return
     if not use_stored_postings:
-        links = broadcast_if_small(store.read_links(search_term).select("url").distinct())
+        links = broadcast_if_small(durable(store.read_links(search_term).select("url").distinct()))
         found, bad_pages = parse_pages(pages.join(links, "url", "left_semi"))
         store.write(found, search_term, "postings")
         store.write(bad_pages, search_term, "rejects/postings")
-    postings = store.read("postings", search_term).drop("search_term")
+    postings = store.read("postings", search_term)
     store.export_postings(postings, search_term)
     if INDEX in options and (re_index or not store.available("index/postings", search_term)):
         store.write_index(I.posting_table(postings), I.paragraph_table(postings), search_term)
@@ -93,14 +105,9 @@ def frequency_lines(
 ) -> DataFrame:
     """``(report, line_no, value)`` of the three term reports."""
     scored, status = search(
-        paragraphs,
-        ["posting_id", "paragraph_number"],
-        "paragraph_heading",
-        postings.count(),
-        terms or intent_terms(),
-        stop,
+        paragraphs, KEYS, "paragraph_heading", postings.count(), terms or intent_terms(), stop
     )
-    profile = term_profile(scored, "paragraph_content", paragraph_key(), stop, keep_null_bucket)
+    profile = term_profile(scored, paragraphs, KEYS, "paragraph_content", stop, keep_null_bucket)
     return report_lines(profile, status)
 
 
@@ -145,4 +152,5 @@ def present(
     reports = frames[0]
     for frame in frames[1:]:
         reports = reports.unionByName(frame)
-    return store.write_reports(reports, search_term)
+    names = [REPORTS[n] for n in sorted(options) if n in REPORTS]
+    return store.write_reports(durable(reports), search_term, names)

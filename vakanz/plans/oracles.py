@@ -95,7 +95,7 @@ headings AS (SELECT page_id AS id, row_number() OVER (PARTITION BY page_id ORDER
 _DOC_SECTIONS = f"""WITH doc_lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS ord
-  FROM documents WHERE length(text) >= 300),
+  FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 20 NOT IN (6, 7, 8)),
 parts AS (
   SELECT doc_id, 2 * ord AS ord, 'b' AS tag, substr(line, 1, 30) AS text FROM doc_lines
   UNION ALL SELECT doc_id, 2 * ord + 1, 'p', line FROM doc_lines),
@@ -210,7 +210,7 @@ sliced AS (
 
 _LINES = """paragraphs AS (
   SELECT doc_id, unnest(range(len(l))) AS paragraph_number, unnest(l) AS paragraph_heading
-  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 20) AS l FROM documents))"""
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
 _INDEX_COUNTS = f"""{_LINES},
 c AS (SELECT (SELECT count(*) FROM documents) AS postings, (SELECT count(*) FROM paragraphs) AS paragraphs),
@@ -248,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_suppkey, n, CAST(page_no AS INTEGER) AS page_no,
                    'https://jobs.example.org/?q=Supplier ' || l_suppkey || '&stpage=1&page=' || page_no AS url
             FROM c, range(41) AS pages(page_no)
-            WHERE page_no >= least(n // 25, 10) AND page_no <= least(CAST(ceil(n / 25.0) AS BIGINT), 40)""",
+            WHERE n BETWEEN 10 AND 9999 AND page_no >= least(n // 25, 10) AND page_no <= least(CAST(ceil(n / 25.0) AS BIGINT), 40)""",
         "page_nodes": f"""WITH {_PAGE_NODES}
             SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS INTEGER) AS pos, tag, text
             FROM nodes""",
@@ -266,8 +266,39 @@ def oracle_sql() -> dict[str, str]:
             SELECT id AS page_id, CAST(section_no AS INTEGER) AS section_no, heading, content
             FROM sections JOIN usable USING (id)""",
         "posting_rejects": f"""{_DOC_SECTIONS}
-            SELECT 'postings' AS stage, CAST(doc_id AS VARCHAR) AS key, 'fewer than two sections' AS reason
+            SELECT 'postings' AS stage, CAST(doc_id AS VARCHAR) AS key,
+                   CASE WHEN doc_id % 20 IN (6, 7, 8) AND lang = 'de' THEN 'no usable structured data'
+                        WHEN doc_id % 20 = 6 THEN 'malformed structured data'
+                        WHEN doc_id % 20 = 7 THEN 'no description'
+                        WHEN doc_id % 20 = 8 THEN 'no usable structured data'
+                        ELSE 'fewer than two sections' END AS reason
             FROM documents WHERE doc_id NOT IN (SELECT id FROM usable)""",
+        "paragraph_rows": f"""{_DOC_SECTIONS}
+            SELECT CAST(id AS VARCHAR) AS posting_id, CAST(section_no AS INTEGER) AS paragraph_number,
+                   heading AS paragraph_heading, content AS paragraph_content
+            FROM sections JOIN usable USING (id)""",
+        "styled_headings": """
+            WITH l AS (
+              SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                     unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents)
+            SELECT doc_id AS page_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS pos,
+                   substr(line, 1, 30) AS heading
+            FROM l WHERE length(substr(line, 1, 30)) > 3""",
+        "stored_links": f"""{_LISTING}
+            SELECT CASE search_term WHEN 'de' THEN '007' WHEN 'en' THEN 'a/b' WHEN 'es' THEN '2024-01-01' ELSE 'koch' END AS search_term, url
+            FROM (SELECT * FROM found WHERE job_id IS NOT NULL
+                  QUALIFY row_number() OVER (PARTITION BY search_term, job_id ORDER BY page_no, pos) = 1)""",
+        "stored_postings": f"""{_DOC_SECTIONS},
+            f AS (SELECT doc_id, lang, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id)
+            SELECT url, title FROM f WHERE lang <> 'de' GROUP BY url, title, lang, organization""",
+        "stored_index": f"""{_DOC_SECTIONS},
+            f AS (SELECT doc_id, lang, n_sections, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id),
+            u AS (SELECT any_value(n_sections) AS n FROM f GROUP BY url, title, lang, organization)
+            SELECT count(*) AS postings, CAST(sum(n) AS BIGINT) AS paragraphs,
+                   round_even(CAST(sum(n) AS DOUBLE) / count(*), 2) AS avg_paragraphs FROM u""",
+        "result_rejects": """
+            SELECT 'counts' AS stage, CAST(o_custkey AS VARCHAR) AS key, 'no result count' AS reason
+            FROM orders GROUP BY o_custkey HAVING count(*) NOT BETWEEN 10 AND 9999""",
         "posting_dedup": f"""{_DOC_SECTIONS},
             f AS (SELECT doc_id, lang, n_sections, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id)
             SELECT min(doc_id) AS page_id, url, title, CAST(any_value(n_sections) AS INTEGER) AS n_sections
@@ -348,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
                    ELSE 'benefits_frequency' END, 0, 'Für diese Anfrage waren zu wenig Dokumente vorhanden,0'
             FROM found WHERE total = 1""",
     }
+    found["stored_reports"] = f"SELECT report, unnest(string_split(value, chr(10))) AS value FROM ({found['report_lines']})"
     for intent in ("tasks", "requirements", "benefits"):
         found[f"{intent}_profile"] = (
             f"WITH {_COUNTED}, {_RANKED} SELECT term, cnt, rnk FROM sliced WHERE intent = '{intent}'"

@@ -24,8 +24,8 @@ from vakanz.operators.expand import expand
 from vakanz.plans import derived as D
 from vakanz.plans import jobs
 from vakanz.plans.vocabulary import intent_terms
-from vakanz.runtime import accepted, items, rejects, spread
-from vakanz.sources.store import export_name, read_stop_words
+from vakanz.runtime import accepted, durable, items, rejects, stage_folder
+from vakanz.sources.store import Store, export_name, read_stop_words
 
 STOP = BUILT_IN
 PAGE_TAGS = ("h1", "b")
@@ -36,11 +36,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(_table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+    return _table(spark, folder, "documents").select("doc_id", *columns)
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(_table(spark, folder, "pages"), "page_id")
+    return _table(spark, folder, "pages")
 
 
 def _headed(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,19 +100,29 @@ def listing_first_links(spark: SparkSession, folder: str) -> DataFrame:
     return unique
 
 
+def _announced(n: Column) -> Column:
+    """The count that a result page names in its text."""
+    page = F.concat(F.lit("<p>(7) Stellen</p><b>Treffer ("), n.cast("string"), F.lit(" Jobs gefunden)</b>"))
+    return L.result_count(page)
+
+
 def result_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = _table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    page = F.concat(F.lit("<b>Treffer ("), F.col("n").cast("string"), F.lit(" Jobs gefunden)</b>"))
-    return counts.select("o_custkey", L.result_count(page).alias("found"))
+    return counts.select("o_custkey", _announced(F.col("n")).alias("found"))
+
+
+def result_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Result pages that name no usable count."""
+    counts = result_counts(spark, folder).withColumn("count", F.col("found").cast("bigint"))
+    return rejects(LK.page_plan(counts, "o_custkey"), "counts", "o_custkey")
 
 
 def page_plan(spark: SparkSession, folder: str) -> DataFrame:
-    counts = (
-        _table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("count"))
-    )
+    counts = _table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    counts = counts.select("l_suppkey", _announced(F.col("n")).cast("bigint").alias("count"))
     term = F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"))
     url = L.result_url(F.lit("https://jobs.example.org/?"), term, F.lit(1), F.col("page_no"))
-    return LK.page_plan(counts, "l_suppkey").select(
+    return accepted(LK.page_plan(counts, "l_suppkey")).select(
         "l_suppkey", F.col("count").alias("n"), "page_no", url.alias("url")
     )
 
@@ -141,6 +151,15 @@ def page_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def styled_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings known by their style alone, in pages made from the documents."""
+    pages = D.styled_pages(_documents(spark, folder, "text"))
+    flat = pages.withColumn("flat", S.flat_description(F.col("html")))
+    nodes = flat.withColumn("nodes", S.text_nodes(F.col("flat")))
+    found = S.heading_texts(F.col("nodes"), F.col("flat"))
+    return nodes.select("page_id", F.posexplode(found).alias("pos", "heading"))
+
+
 # Postings
 
 
@@ -167,8 +186,14 @@ def posting_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return rejects(_parsed(spark, folder), "postings", "page_id")
 
 
+def paragraph_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraph table of the postings, under their page ids."""
+    found = accepted(_parsed(spark, folder))
+    return I.paragraph_table(found.withColumn("posting_id", F.col("page_id").cast("string")))
+
+
 def posting_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    unique = P.distinct_postings(accepted(_parsed(spark, folder)))
+    unique = P.distinct_postings(accepted(durable(_parsed(spark, folder))))
     return unique.select("page_id", "url", "title", F.size("sections").alias("n_sections"))
 
 
@@ -243,8 +268,8 @@ def term_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _line_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of a document with more than twenty characters as its paragraphs."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 20)
+    """The lines of a document as its paragraphs."""
+    lines = F.split("text", "\n", -1)
     return _documents(spark, folder, "text").select(
         "doc_id", F.posexplode(lines).alias("paragraph_number", "paragraph_heading")
     )
@@ -301,9 +326,8 @@ def median_cut(spark: SparkSession, folder: str) -> DataFrame:
 
 def _term_counts(spark: SparkSession, folder: str, keep_null_bucket: bool) -> DataFrame:
     scored, _ = _search(spark, folder)
-    kept = RK.keep_from_cutoff(scored, "intent")
-    order = PR.hit_order(F.col("score_micro"), F.col("doc_id"))
-    return PR.term_frequency(kept, "content", order, STOP, keep_null_bucket)
+    hits = PR.kept_contents(scored, _headed(spark, folder), ["doc_id"], "content")
+    return PR.term_frequency(hits, "content", F.col("rnk"), STOP, keep_null_bucket)
 
 
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,7 +340,7 @@ def term_counts_null_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 def term_profile(spark: SparkSession, folder: str) -> DataFrame:
     scored, _ = _search(spark, folder)
-    return PR.term_profile(scored, "content", F.col("doc_id"), STOP)
+    return PR.term_profile(scored, _headed(spark, folder), ["doc_id"], "content", STOP)
 
 
 def _one_intent(intent: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -325,7 +349,7 @@ def _one_intent(intent: str) -> Callable[[SparkSession, str], DataFrame]:
         postings = _table(spark, folder, "documents").count()
         terms = intent_terms().where(F.col("intent") == intent)
         scored, _ = SC.search(headed, ["doc_id"], "heading", postings, terms, STOP)
-        return PR.term_profile(scored, "content", F.col("doc_id"), STOP).drop("intent")
+        return PR.term_profile(scored, headed, ["doc_id"], "content", STOP).drop("intent")
 
     return query
 
@@ -333,26 +357,70 @@ def _one_intent(intent: str) -> Callable[[SparkSession, str], DataFrame]:
 def rank_slice(spark: SparkSession, folder: str) -> DataFrame:
     """Rank slice over the words of all documents of a language."""
     hits = _documents(spark, folder, "text", "lang").withColumnRenamed("lang", "intent")
-    order = PR.hit_order(F.lit(0), F.col("doc_id"))
-    ranked = PR.rank_terms(PR.term_frequency(hits, "text", order, STOP))
+    ranked = PR.rank_terms(PR.term_frequency(hits, "text", F.col("doc_id"), STOP))
     return RK.rank_slice(ranked).select(F.col("intent").alias("lang"), "term", "cnt", "rnk")
 
 
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
     scored, status = _search(spark, folder)
-    profile = PR.term_profile(scored, "content", F.col("doc_id"), STOP)
+    profile = PR.term_profile(scored, _headed(spark, folder), ["doc_id"], "content", STOP)
     return jobs.report_lines(profile, status)
 
 
+# Stored stages: written to a fresh folder of the shared one and read back
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, stage_folder(spark))
+
+
+def stored_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Unique links, stored by search term; one of the terms looks like a number."""
+    store, found = _store(spark), durable(listing_first_links(spark, folder))
+    names = {"de": "007", "en": "a/b", "es": "2024-01-01", "fr": " Koch "}
+    frames = []
+    for lang, term in names.items():
+        store.write_links(found.where(F.col("search_term") == lang), term, "page_no", "pos")
+        frames.append(store.read_links(term))
+    return frames[0].unionAll(frames[1]).unionAll(frames[2]).unionAll(frames[3])
+
+
+def stored_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings stored twice under one term, the second time fewer, and read back."""
+    store = _store(spark)
+    found, bad = jobs.parse_pages(D.posting_pages(_documents(spark, folder, "text", "lang", "source")))
+    store.write(found, "007", "postings")
+    store.write(found.where("educational_requirements <> 'de'"), "007", "postings")
+    store.write(bad.where("false"), "007", "rejects/postings")
+    assert not store.available("rejects/postings", "007")
+    return store.read("postings", "007").select("url", "title")
+
+
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark)
+    found, _ = jobs.parse_pages(D.posting_pages(_documents(spark, folder, "text", "lang", "source")))
+    store.write_index(I.posting_table(found), I.paragraph_table(found), "koch")
+    return I.index_counts(*store.open_index("koch"))
+
+
+def stored_reports(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark)
+    lines = durable(report_lines(spark, folder))
+    path = store.write_reports(lines, "koch", [jobs.REPORTS[n] for n in (1, 2, 3)])
+    return spark.read.text(path).select("report", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         link_extract, link_rejects, link_first_per_id, page_url_ids, listing_links,
-        listing_first_links, result_counts, page_plan, page_nodes, page_headings, page_sections,
+        listing_first_links, result_counts, result_rejects, page_plan, page_nodes, page_headings,
+        styled_headings, page_sections, paragraph_rows,
         postings_parsed, posting_sections, posting_rejects, posting_dedup, posting_export,
         content_dedup, json_fields, line_sanitize, analyzer_tokens, word_filter, stop_word_join,
         inverted_index, term_stats, headings_by_doc, field_exists, index_counts, index_info,
         fuzzy_expand, ranked_search, search_status, score_cutoff, median_cut, term_counts,
-        term_counts_null_bucket, term_profile, rank_slice, report_lines,
+        term_counts_null_bucket, term_profile, rank_slice, report_lines, stored_links,
+        stored_postings, stored_index, stored_reports,
     ]
     found = {query.__name__: query for query in named}
     for intent in ("tasks", "requirements", "benefits"):

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vakanz.runtime import BROADCAST_ROWS
+from vakanz.runtime import BROADCAST_BYTES
 from vakanz.schemas import INTENT_TERMS
 
 TASKS, REQUIREMENTS, BENEFITS = "tasks", "requirements", "benefits"
@@ -93,4 +93,5 @@ def intent_terms(
     """The vocabulary as a table; marked for broadcast, as its size is known here."""
     chosen = rows or entries(spelling)
     table = SparkSession.active().createDataFrame(chosen, INTENT_TERMS)
-    return F.broadcast(table) if len(chosen) <= BROADCAST_ROWS else table
+    size = sum(64 + 4 * (len(row[0]) + len(row[1])) for row in chosen)
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
+#: Bytes of values that a broadcast may hold.
+BROADCAST_BYTES = 32 << 20
 
 
 def session(app: str = "vakanz", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +22,8 @@ def session(app: str = "vakanz", master: str | None = None, **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Of repeated keys in structured data the last one counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -26,7 +31,8 @@ def session(app: str = "vakanz", master: str | None = None, **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; a private one only in local mode."""
+    """Use the folder named by ``spark.checkpoint.dir``; a private one only in local mode, where
+    driver and executors are one process, and only if the setting is missing (as in tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -38,24 +44,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """``df`` written once as Parquet to the shared checkpoint folder and read back.
 
     Used where one result is read more than once and must be the same rows each time, also
-    after executors were lost.
+    after executors were lost. Later readers get only the columns they use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = stage_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values: text by its length, other simple values as sixteen bytes each."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = F.lit(16 * len(df.columns))
+    for name in text:
+        size = size + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the (already materialised) frame is known to be small.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when the frame, of simple columns, is measured to be small.
 
-    A larger frame is returned without hint, so that the join is planned from statistics.
+    ``df`` is read once to measure it, so it should be stored or cheap. A larger frame is
+    returned without hint, so that the join is planned from statistics.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if value_bytes(df) <= max_bytes else df
 
 
 def items(array: Column | str) -> Column:
@@ -92,11 +113,3 @@ def rejects(tagged: DataFrame, stage: str, key: str) -> DataFrame:
         "reason",
     )
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one partition per core for a small table stored in few files.
-
-    A table that already has enough partitions is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -11,11 +11,7 @@ _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
 SECTION = _fields(heading=_S, content=_S)
 LOCATION = _fields(latitude=_D, longitude=_D)
-NODE = _fields(tag=_S, text=_S)
-
 PAGES = _fields(page_id=_L, url=_S, html=_S)
-RESULT_PAGES = _fields(search_term=_S, page_no=_I, html=_S)
-LINKS = _fields(search_term=_S, page_no=_I, pos=_I, url=_S, job_id=_S)
 POSTINGS = _fields(
     posting_id=_S,
     url=_S,
@@ -34,3 +30,24 @@ PARAGRAPHS = _fields(
 )
 INTENT_TERMS = _fields(intent=_S, term=_S, d=_I, p=_I, w=_D)
 REJECTS = _fields(stage=_S, key=_S, reason=_S)
+POSTING_INDEX = _fields(
+    posting_id=_S,
+    url=_S,
+    title=_S,
+    organization=_S,
+    educational_requirements=_S,
+    employment_type=_S,
+    industry=_S,
+    experience_requirements=_S,
+)
+
+# Stored tables by stage.
+STAGES = {
+    "rejects/links": REJECTS,
+    "rejects/postings": REJECTS,
+    "rejects/counts": REJECTS,
+    "requests": _fields(count=_L, page_no=_I, url=_S),
+    "postings": POSTINGS,
+    "index/postings": POSTING_INDEX,
+    "index/paragraphs": PARAGRAPHS,
+}

@@ -1,13 +1,15 @@
 """Stored stages: pages, links, postings, index, stop words, reports.
 
-Every stage lives under one root folder and is partitioned by ``search_term``; a write replaces
-the partitions it holds rows for and leaves other terms alone.
+Every stage lives under one root folder, with a folder for each search term. A write replaces all
+that the term had in the stage, also by nothing, and leaves other terms alone; what is read has
+the stage's own types, whatever a term looks like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +18,7 @@ from pyspark.sql import types as T
 
 from vakanz.functions.render import file_name, posting_text
 from vakanz.functions.stopwords import BUILT_IN
-from vakanz.schemas import PAGES
-
-# A stop list up to this size is put into the plan; a larger one is joined.
-STOP_LIST_ROWS = 50_000
+from vakanz.schemas import PAGES, STAGES
 
 
 def term_key(search_term: str) -> str:
@@ -43,11 +42,8 @@ def read_stop_words(spark: SparkSession, paths: Iterable[str] = ()) -> DataFrame
 
 
 def stop_word_list(words: DataFrame) -> list[str]:
-    """The stop words as a list, refused when it would not fit into a plan."""
-    rows = words.limit(STOP_LIST_ROWS + 1).collect()
-    if len(rows) > STOP_LIST_ROWS:
-        raise ValueError("stop list too long for the plan; use drop_stop_words on exploded words")
-    return sorted(row["term"] for row in rows)
+    """The words of one or a few list files; they become one hash set in the plan."""
+    return sorted(row["term"] for row in words.collect())
 
 
 @dataclass(frozen=True)
@@ -57,31 +53,24 @@ class Store:
     spark: SparkSession
     root: str
 
-    def path(self, stage: str) -> str:
-        return f"{self.root.rstrip('/')}/{stage}"
+    def path(self, stage: str, search_term: str) -> str:
+        return f"{self.root.rstrip('/')}/{stage}/term={quote(term_key(search_term), safe='')}"
 
     # Reading
 
     def read(self, stage: str, search_term: str) -> DataFrame:
-        """Rows of one search term; only its partition is scanned."""
-        table = self.spark.read.parquet(self.path(stage))
-        return table.where(F.col("search_term") == term_key(search_term))
+        """Rows of one search term, with the columns of the stage."""
+        return self.spark.read.schema(STAGES[stage]).parquet(self.path(stage, search_term))
 
     def read_links(self, search_term: str) -> DataFrame:
-        """``(search_term, url)``, stripped."""
-        lines = self.spark.read.schema("value string, search_term string").text(self.path("links"))
-        return lines.where(F.col("search_term") == term_key(search_term)).select(
-            "search_term", F.trim("value").alias("url")
-        )
+        """``(search_term, url)``, stripped, in any order."""
+        lines = self.spark.read.text(self.path("links", search_term))
+        return lines.select(F.lit(term_key(search_term)).alias("search_term"), F.trim("value").alias("url"))
 
     def available(self, stage: str, search_term: str) -> bool:
-        """Is there a stored result of this stage for the term?"""
+        """Is there a stored result with rows of this stage for the term?"""
         try:
-            rows = (
-                self.read_links(search_term)
-                if stage == "links"
-                else self.read(stage, search_term)
-            )
+            rows = self.read_links(search_term) if stage == "links" else self.read(stage, search_term)
             return not rows.isEmpty()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
@@ -91,31 +80,21 @@ class Store:
     def open_index(self, search_term: str) -> tuple[DataFrame, DataFrame]:
         """Posting and paragraph tables; FileNotFoundError when there is no index."""
         if not self.available("index/postings", search_term):
-            raise FileNotFoundError(self.path("index"))
+            raise FileNotFoundError(self.path("index/postings", search_term))
         return self.read("index/postings", search_term), self.read("index/paragraphs", search_term)
 
     # Writing
 
-    def _replace(self, df: DataFrame, search_term: str, stage: str, *partitions: str):
-        """Writer over evenly sized files, whatever the size of the search term."""
-        keyed = df.withColumn("search_term", F.lit(term_key(search_term)))
-        writer = keyed.hint("rebalance").write.mode("overwrite")
-        return writer.option("partitionOverwriteMode", "dynamic").partitionBy(
-            "search_term", *partitions
-        )
-
     def write(self, df: DataFrame, search_term: str, stage: str) -> None:
-        self._replace(df, search_term, stage).parquet(self.path(stage))
+        """Evenly sized files, whatever the size of the search term; no rows leave none behind."""
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in STAGES[stage]]
+        rows = df.select(*columns).hint("rebalance")
+        rows.write.mode("overwrite").parquet(self.path(stage, search_term))
 
     def write_links(self, links: DataFrame, search_term: str, *order: str) -> None:
         """One URL per line, in the given order."""
         lines = links.orderBy(*order) if order else links
-        keyed = lines.select(
-            F.col("url").alias("value"), F.lit(term_key(search_term)).alias("search_term")
-        )
-        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "search_term"
-        ).text(self.path("links"))
+        lines.select(F.col("url").alias("value")).write.mode("overwrite").text(self.path("links", search_term))
 
     def write_index(self, postings: DataFrame, paragraphs: DataFrame, search_term: str) -> None:
         self.write(postings, search_term, "index/postings")
@@ -124,18 +103,19 @@ class Store:
     def export_postings(self, postings: DataFrame, search_term: str) -> None:
         """Readable postings, each introduced by its file name; any number per file."""
         text = F.concat_ws("\n", export_name(), posting_text())
-        self._replace(postings.select(text.alias("value")), search_term, "exports").text(
-            self.path("exports")
-        )
-
-    def write_reports(self, reports: DataFrame, search_term: str) -> str:
-        """Report lines (``report``, ``line_no``, ``value``) as text, one folder per report."""
-        ordered = reports.orderBy("report", "line_no").select("report", "value")
-        keyed = ordered.withColumn("search_term", F.lit(term_key(search_term)))
-        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "search_term", "report"
-        ).text(self.path("reports"))
-        return self.path("reports")
+        rows = postings.select(text.alias("value")).hint("rebalance")
+        rows.write.mode("overwrite").text(self.path("exports", search_term))
+
+    def write_reports(self, reports: DataFrame, search_term: str, names: Iterable[str]) -> str:
+        """Report lines (``report``, ``line_no``, ``value``) as text, a folder ``report=`` for each name.
+
+        Every named report is replaced, one without lines by an empty one; others stay.
+        """
+        folder = self.path("reports", search_term)
+        for name in names:
+            lines = reports.where(F.col("report") == name).orderBy("line_no").select("value")
+            lines.write.mode("overwrite").text(f"{folder}/report={name}")
+        return folder
 
 
 def export_name() -> Column:
