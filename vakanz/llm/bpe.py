@@ -20,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
-from vakanz.llm.common import once, ready, words_of
+from vakanz.llm.common import mapped_texts, ready
 from vakanz.llm.vocab import BYTE_CHARACTERS, END, Memory, Vocabulary, read
 
 #: Where the symbols that carry the word end begin; the others are below.
 ENDED = 0x1000
 #: Remembered pairs of the compatibility table, and tokens decoded at once.
-PAIRS, DECODE_TOKENS = 1_000_000, 1 << 16
+PAIRS, DECODE_TOKENS = 200_000, 1 << 16
 _TABLE = {b: ord(c) for b, c in BYTE_CHARACTERS.items()}
 
 
@@ -156,21 +156,24 @@ def decoder(path: str) -> Decoder:
     return Decoder(read(path))
 
 
-def with_ids(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each text."""
-    ready(docs.sparkSession)
+def _ids_array(texts: list[str], path: str) -> pa.Array:
+    encode, flat, ends = encoder(path).encode, array("i"), [0]
+    for text in texts:
+        encode(text, flat)
+        ends.append(len(flat))
+    values = pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
 
-    @F.arrow_udf(ArrayType(IntegerType(), False))
-    def encode(texts: pa.Array) -> pa.Array:
-        encode_text, flat, ends = encoder(path).encode, array("i"), [0]
-        for text in texts:
-            encode_text(text.as_py(), flat)
-            ends.append(len(flat))
-        values = pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
-        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind)
+def _decoded_array(ids: pa.Array, path: str) -> pa.Array:
+    decode = decoder(path).decode
+    own = [r.values for r in ids]
+    return pa.array(["" if x is None else decode(x.to_numpy(zero_copy_only=False)) for x in own], pa.string())
 
-    return docs.withColumn(into, encode(words_of(text_col)))
+
+def encoded(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of each text in its place."""
+    return mapped_texts(docs, text_col, f"`{into}` array<int>", lambda texts: [_ids_array(texts, path)])
 
 
 def with_decoded(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -179,19 +182,27 @@ def with_decoded(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "
 
     @F.arrow_udf(StringType())
     def decode(rows: pa.Array) -> pa.Array:
-        decode_ids = decoder(path).decode
-        return pa.array(["" if x is None else decode_ids(x.to_numpy(zero_copy_only=False)) for x in (r.values for r in rows)], pa.string())
+        return _decoded_array(rows, path)
 
     return docs.withColumn(into, decode(ids_col))
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of each text, and what they decode to, in its place."""
+
+    def make(texts: list[str]) -> list[pa.Array]:
+        own = _ids_array(texts, path)
+        return [own, _decoded_array(own, path)]
+
+    return mapped_texts(docs, text_col, f"`{ids}` array<int>, `{decoded}` string", make)
+
+
 def encoded_digests(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    ids = with_ids(rows, path).select("doc_id", "ids")
-    return with_decoded(once(ids), path).select(
+    return round_trip(rows, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vakanz.runtime import ensure_checkpoint_dir
 
 #: Rows of at most 64 bytes that a broadcast may hold: 32 MB.
 BROADCAST_IDS = 500_000
+#: Bytes of text that a worker turns into results at once.
+SLICE_BYTES = 1 << 20
 
 
 def words_of(text: Column | str) -> Column:
@@ -39,11 +45,53 @@ def counted_broadcast(keys: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def without_keys(
+    rows: DataFrame, keys: DataFrame, same: Callable[[DataFrame], Column], columns: list[str]
+) -> DataFrame:
+    """``rows`` without those of the written ``keys``; where a key ``stays``, one of its rows is kept."""
+    left = rows.join(counted_broadcast(keys), same(keys), "left_anti")
+    again = keys.filter("stays")
+    if again.isEmpty():
+        return left
+    # Rows that agree in ``columns`` are repeated: one of them stays.
+    return left.unionByName(rows.join(counted_broadcast(again), same(again), "left_semi").dropDuplicates(columns))
+
+
 def once(df: DataFrame) -> DataFrame:
     """``df`` as generator input, so that costly columns used twice later are computed once."""
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def mapped_texts(
+    docs: DataFrame, text_col: str, added: str, make: Callable[[list[str]], list[pa.Array]]
+) -> DataFrame:
+    """``docs`` with the columns ``added`` in place of its text, made from some texts at a time.
+
+    ``make`` gets texts of ``SLICE_BYTES`` or one longer text, and its results are passed on at
+    once, so a worker holds little more than a batch of its input. A null text is an empty one.
+    """
+    ready(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    others = [i for i in range(len(docs.columns)) if i != place]
+    schema = StructType([docs.schema.fields[i] for i in others] + StructType.fromDDL(added).fields)
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+            low = 0
+            while low < len(sizes):
+                high, total = low, 0
+                while high < len(sizes) and (high == low or total + sizes[high] <= SLICE_BYTES):
+                    total += sizes[high]
+                    high += 1
+                part = batch.slice(low, high - low)
+                made = make([t or "" for t in part.column(place).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], *made], names=schema.names)
+                low = high
+
+    return docs.mapInArrow(run, schema)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, in any letter case."""
     taken, name = {c.lower() for c in df.columns}, stem

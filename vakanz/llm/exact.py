@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import counted_broadcast, free_name, staged, words_of
+from vakanz.llm.common import counted_broadcast, free_name, staged, without_keys, words_of
 
 
 def squeezed(text: Column | str) -> Column:
@@ -97,25 +97,24 @@ def kept_documents(
     text_col: str = "text",
     digest: Callable[[Column], Column] = md5_128,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Only narrow rows are shuffled."""
+    """The rows of ``docs`` that stay, with their columns.
+
+    The keys of rows that go are joined, not those that stay: they are few, and broadcast if counted so.
+    """
     found = _grouped(docs, id_col, text_col, digest)
     stays = F.col("members").isNull() | (F.col("keep.row") == F.col("row"))
-    kept = staged(
-        found.groupBy("id", "hash", "words")
-        .agg(F.count("*").alias("rows"), F.max(stays).alias("stays"))
-        .filter("stays").select(F.col("id").alias("kept_id"), F.col("hash").alias("kept_hash"), "words", "rows")
+    keys = (
+        found.groupBy("id", "hash", "words").agg(F.count("*").alias("rows"), F.max(stays).alias("stays"))
+        .filter("NOT stays OR rows > 1").select(F.col("id").alias("key_id"), "hash", "words", "stays")
     )
     name = free_name(docs, "content")
     marked = docs.withColumn(name, squeezed(text_col))
-    same = (
-        marked[id_col].eqNullSafe(kept["kept_id"])
-        & digest(marked[name]).eqNullSafe(kept["kept_hash"])
-        & (kept["words"].isNull() | (kept["words"] == marked[name]))
-    )
-    once, again = kept.filter("rows = 1"), kept.filter("rows > 1")
-    result = marked.join(once, same, "left_semi").select(*[marked[c] for c in docs.columns])
-    if again.isEmpty():
-        return result
-    # Rows of one id and text are repeated: one of them stays.
-    repeated = marked.join(again, same, "left_semi").dropDuplicates([id_col, name])
-    return result.unionByName(repeated.select(*docs.columns))
+
+    def same(keys: DataFrame) -> Column:
+        return (
+            marked[id_col].eqNullSafe(keys["key_id"])
+            & digest(marked[name]).eqNullSafe(keys["hash"])
+            & (keys["words"].isNull() | (keys["words"] == marked[name]))
+        )
+
+    return without_keys(marked, staged(keys), same, [id_col, name]).select(*docs.columns)

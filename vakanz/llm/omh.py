@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import counted_broadcast, free_name, ready, staged, words_of
+from vakanz.llm.common import counted_broadcast, free_name, ready, staged, without_keys, words_of
 from vakanz.llm.components import roots
 from vakanz.llm.vocab import Memory
 
@@ -359,19 +359,17 @@ def near_classes(
 def kept_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR
 ) -> DataFrame:
-    """One row of ``docs`` of each class, that of the least id, with its columns."""
+    """One row of ``docs`` of each class, that of the least id, with its columns.
+
+    The keys of rows that go are joined, not those that stay: they are few, and broadcast if counted so.
+    """
     found = _classes(docs, id_col, text_col, similar)
-    kept = staged(
-        found.groupBy("id", "text_hash").agg(F.count("*").alias("rows"), F.max(F.col("rep.row") == F.col("row")).alias("kept"))
-        .filter("kept").select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "rows")
+    keys = (
+        found.groupBy("id", "text_hash")
+        .agg(F.count("*").alias("rows"), F.max(F.col("rep.row") == F.col("row")).alias("stays"))
+        .filter("NOT stays OR rows > 1").select(F.col("id").alias("key_id"), F.col("text_hash").alias("key_hash"), "stays")
     )
     name = free_name(docs, "text_hash")
     marked = docs.withColumn(name, F.xxhash64(words_of(text_col)))
-    same = marked[id_col].eqNullSafe(kept["kept_id"]) & (marked[name] == kept["kept_hash"])
-    result = marked.join(kept.filter("rows = 1"), same, "left_semi").select(*docs.columns)
-    again = kept.filter("rows > 1")
-    if again.isEmpty():
-        return result
-    # Rows of one id and text are repeated: one of them stays.
-    repeated = marked.join(again, same, "left_semi").dropDuplicates([id_col, name])
-    return result.unionByName(repeated.select(*docs.columns))
+    same = lambda keys: marked[id_col].eqNullSafe(keys["key_id"]) & (marked[name] == keys["key_hash"])
+    return without_keys(marked, staged(keys), same, [id_col, name]).select(*docs.columns)

@@ -22,7 +22,7 @@ FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD = regex.compile(FILE_PATTERN.replace(r"\s", SPACE))
 END = "</w>"
 #: Words longer than this are not remembered; a memory holds at most twice this many.
-REMEMBER_CHARS, REMEMBER_WORDS = 48, 200_000
+REMEMBER_CHARS, REMEMBER_WORDS = 48, 60_000
 #: Up to this many symbols a scan for the next merge is faster than a heap.
 SCAN_SYMBOLS = 40
 
