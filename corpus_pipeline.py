@@ -40,9 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every document that is left."""
     rows = docs.select(docs["doc_id"], docs["text"])
-    encoded = bpe.with_ids(rows, VOCABULARY).select("doc_id", "ids")
-    decoded = bpe.with_decoded(encoded, VOCABULARY)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe.round_trip(rows, VOCABULARY).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = (
