@@ -57,6 +57,17 @@ def without_keys(
     return left.unionByName(rows.join(counted_broadcast(again), same(again), "left_semi").dropDuplicates(columns))
 
 
+def among_least(hashed: Column, total: int, wanted: int) -> Column:
+    """A condition that some four times ``wanted`` of ``total`` different hashes meet.
+
+    With it, taking the ``wanted`` least ones gathers a bounded number of rows in one task,
+    whatever the number of tasks.
+    """
+    if total <= 4 * wanted:
+        return F.lit(True)
+    return hashed < F.lit(-(2**63) + 2**64 * 4 * wanted // total)
+
+
 def once(df: DataFrame) -> DataFrame:
     """``df`` as generator input, so that costly columns used twice later are computed once."""
     return df.select(F.inline(F.array(F.struct(*df.columns))))

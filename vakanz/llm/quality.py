@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from vakanz.llm.common import free_name, ready, words_of
+from vakanz.llm.common import among_least, free_name, ready, staged, words_of
 
 #: Bounds of the training sample: ids of each class, and lines of a document in it.
 TRAIN_DOCS, TRAIN_LINES = 1200, 400
@@ -201,10 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         .groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
         .filter("label = other")
     )
-    draw = [F.xxhash64("doc_id"), F.col("doc_id")]
+    usable = staged(usable.select("doc_id", "label"))
+    hashed = F.xxhash64("doc_id")
     chosen = None
     for label in (0, 1):
-        part = usable.filter(F.col("label") == label).orderBy(*draw).limit(train_docs).select("doc_id", "label")
+        own = usable.filter(F.col("label") == label)
+        own = own.filter(among_least(hashed, own.count(), train_docs))
+        part = own.orderBy(hashed, "doc_id").limit(train_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     # A repeated id counts once: the sample stays bounded.
     texts = (

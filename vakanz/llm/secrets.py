@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import once, words_of
+from vakanz.llm.common import among_least, once, words_of
 
 #: Kinds in their order: name, pattern, and the least length of the group that counts (fixed values).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,7 +32,7 @@ STATES = len(ALPHABET) + 1  # 0 is the start of a string
 RATIO = math.log(1e6)
 #: Weight of a character's share of all in its share after another.
 BACKOFF = 8
-#: Bound of the sample of ordinary identifiers: documents with the smallest hashes.
+#: Bound of the sample of ordinary identifiers: different texts, those with the least hashes.
 SAMPLE_DOCS = 400
 #: Running sums are taken in blocks, so that their cost grows with the number of items.
 BLOCK = 256
@@ -94,11 +94,13 @@ def train(samples: DataFrame) -> list[float] | None:
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``(random, value)``: distinct values of base secrets, and words of 8 or more characters beside them."""
-    drawn = docs.select(words_of(docs[text_col]).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    texts = docs.select(words_of(docs[text_col]).alias("text"))
+    hashed = F.xxhash64("text")
+    total = texts.select(hashed.alias("hash")).distinct().count()
+    drawn = texts.filter(among_least(hashed, total, sample_docs)).distinct().orderBy(hashed, "text").limit(sample_docs)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = drawn.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))).alias("value"))
-    text = words_of(docs[text_col])
-    secret = docs.select(text.alias("text")).filter(F.col("text").rlike("|".join((ASSIGN, ACCESS, HEX))))
+    secret = texts.filter(F.col("text").rlike("|".join((ASSIGN, ACCESS, HEX))))
     for_kind = [
         secret.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("value")).filter(F.length("value") >= least)
         for _, p, g, least in KINDS
