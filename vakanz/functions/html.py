@@ -40,41 +40,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    """Character for a code point written in ``base``; out-of-range numbers give NULL."""
-    number = F.conv(digits, base, 10).cast("bigint")
-    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-
-
-def _character(name: Column) -> Column:
-    """What a reference stands for, without its ``&`` and ``;``; NULL when it is none."""
-    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
-    found = F.when(
-        F.startswith(name, F.lit("#")),
-        F.when(F.regexp_like(name, F.lit("^#[0-9]{1,7}$")), _code_point(F.substring(name, 2, 7), 10)).when(
-            F.regexp_like(name, F.lit("^#[xX][0-9A-Fa-f]{1,6}$")), _code_point(F.substring(name, 3, 6), 16)
-        ),
+def _code_point(number: str) -> str:
+    """SQL for the character of a code point; out-of-range numbers give NULL."""
+    return (
+        f"CASE WHEN {number} BETWEEN 1 AND {0xD7FF} OR {number} BETWEEN {0xE000} AND {0x10FFFF} "
+        f"THEN decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32') END"
     )
-    for entity in FREQUENT:
-        found = found.when(name == entity, F.lit(ENTITIES[entity]))
-    return found.otherwise(F.try_element_at(table, name))
 
 
-def decode_entities(text: Column) -> Column:
-    """Named and numeric character references to characters, in one pass from left to right."""
+def _reference_sql() -> str:
+    """SQL for what the reference ``n``, without ``&`` and ``;``, stands for; NULL when it is none."""
+    table = json.dumps(ENTITIES).replace("'", "\\u0027")
+    frequent = " ".join(f"WHEN n = '{name}' THEN r'{ENTITIES[name]}'" for name in FREQUENT)
+    decimal = _code_point("CAST(conv(substring(n, 2, 7), 10, 10) AS BIGINT)")
+    hexadecimal = _code_point("CAST(conv(substring(n, 3, 6), 16, 10) AS BIGINT)")
+    return (
+        f"CASE WHEN n = '' THEN NULL {frequent} WHEN NOT startswith(n, '#') "
+        f"THEN try_element_at(from_json(r'{table}', 'map<string,string>'), n) "
+        f"WHEN n RLIKE '^#[0-9]{{1,7}}$' THEN {decimal} "
+        f"WHEN n RLIKE '^#[xX][0-9A-Fa-f]{{1,6}}$' THEN {hexadecimal} END"
+    )
 
-    def decoded(part: Column, at: Column) -> Column:
-        def replaced(name: Column) -> Column:
-            rest = F.substring(part, F.length(name) + 2, F.length(part))
-            return F.concat(F.when(name != "", _character(name)), rest)
 
-        name = F.regexp_extract(part, "^(#?[A-Za-z0-9]{1,32});", 1)
-        plain = F.concat(F.lit("&"), part)
-        return F.when(at == 0, part).otherwise(F.coalesce(let(name, replaced), plain))
+# One pass over the parts between ampersands; written as SQL, which is one step to build.
+_DECODE = (
+    "t -> CASE WHEN contains(t, '&') THEN array_join(transform(split(t, '&', -1), (p, i) -> "
+    "CASE WHEN i = 0 THEN p ELSE coalesce(get(transform("
+    "array(regexp_extract(p, '^(#?[A-Za-z0-9]{1,32});', 1)), "
+    f"n -> concat({_reference_sql()}, substring(p, length(n) + 2, length(p)))), 0), concat('&', p)) END), '') "
+    "ELSE t END"
+)
 
-    whole = F.array_join(F.transform(F.split(text, "&", -1), decoded), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references to characters, in one pass from left to right."""
+    return F.get(F.call_function("transform", F.array(text), F.expr(_DECODE)), F.lit(0))
 
 
 def strip_code(page: Column) -> Column:
