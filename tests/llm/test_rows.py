@@ -79,14 +79,6 @@ def test_secrets(spark):
     assert secrets.secret_scan(empty(docs)).count() == 0
 
 
-def test_running_sums_over_blocks(spark):
-    rng = random.Random(1)
-    lists = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
-    rows = spark.createDataFrame([(x,) for x in lists], "items array<bigint>").select("items", secrets.running_sums("items").alias("sums"))
-    for row in rows.collect():
-        assert row.sums == np.cumsum(row["items"]).tolist()
-
-
 PAGES = [
     ("<html><body><nav><a href=/>Home</a></nav><article><h1>Title, one</h1><p>First &amp; best,\n  text.<br>More<p><b>Bold<p>Last</article><footer>foot</footer>", "Title, one\nFirst & best, text. More\nBold\nLast"),
     ("<div class='cookie-notice'>We use cookies, many, many.</div><div id=main><p>Long enough paragraph, with commas, and words.</p><p>Another, long one.</p></div><div class=comments><p>Nice, very, nice, comment, here.</p></div>", "Long enough paragraph, with commas, and words.\nAnother, long one."),

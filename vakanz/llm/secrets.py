@@ -17,6 +17,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vakanz.functions.arrays import running_sums
 from vakanz.llm.common import among_least, once, words_of
 
 #: Kinds in their order: name, pattern, and the least length of the group that counts (fixed values).
@@ -34,27 +35,6 @@ RATIO = math.log(1e6)
 BACKOFF = 8
 #: Bound of the sample of ordinary identifiers: different texts, those with the least hashes.
 SAMPLE_DOCS = 400
-#: Running sums are taken in blocks, so that their cost grows with the number of items.
-BLOCK = 256
-
-
-def _sums(items: Column) -> Column:
-    return F.slice(
-        F.aggregate(items, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)),
-        2, F.size(items),
-    )
-
-
-def running_sums(items: str) -> Column:
-    """Running sums of an array column of longs."""
-    blocks = F.ceil(F.size(items) / F.lit(BLOCK)).cast("int")
-    numbers = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda b: F.slice(F.col(items), b * BLOCK + 1, F.lit(BLOCK))
-    totals = F.transform(numbers, lambda b: F.aggregate(block(b), F.lit(0).cast("long"), lambda a, x: a + x))
-    offsets = F.concat(F.array(F.lit(0).cast("long")), _sums(totals))
-    return F.flatten(
-        F.zip_with(numbers, F.slice(offsets, F.lit(1), blocks), lambda b, o: F.transform(_sums(block(b)), lambda s: s + o))
-    )
 
 
 def _codes(text: Column) -> Column:
@@ -130,7 +110,7 @@ def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "tex
             for n, *_ in kinds
         ]
     )
-    ends = steps.select("*", *[running_sums(f"{n}_steps").alias(f"{n}_ends") for n, *_ in kinds])
+    ends = steps.select("*", *[running_sums(F.col(f"{n}_steps")).alias(f"{n}_ends") for n, *_ in kinds])
     table = None if ratios is None else F.split(F.lit(",".join(repr(x) for x in ratios)), ",").cast("array<double>")
 
     def ratio(value: Column) -> Column:
