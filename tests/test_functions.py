@@ -176,3 +176,17 @@ def test_vocabulary():
     written = vocabulary.entries("as_written")
     assert ("benefits", "geboten", 0, 0, 1.5) in written and ("benefits", "freuen", 0, 0, 1.0) in written
     assert len(written) == len(rows) + 5
+
+
+def test_running_values_over_blocks(spark):
+    import random
+    from itertools import accumulate
+
+    from vakanz.functions import arrays as A
+
+    rng = random.Random(1)
+    lists = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    rows = spark.createDataFrame([(x,) for x in lists], "v array<bigint>")
+    found = rows.select("v", A.running_sums(F.col("v")).alias("sums"), A.running_maxima(F.col("v")).alias("most"))
+    for row in found.collect():
+        assert row["sums"] == list(accumulate(row["v"])) and row["most"] == list(accumulate(row["v"], max))
