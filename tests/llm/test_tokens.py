@@ -18,12 +18,15 @@ TEXTS = [
 ]
 
 
+COUNTER = tokens.Counter(PATH, tokens.whole_words(PATH))
+
+
 def agree(text):
     encoded = LIBRARY.encode(text, add_special_tokens=False)
     own = bpe.encoder(PATH)
     ids = own.encode(text, bpe.array("i"))
     assert list(ids) == encoded.ids
-    assert tokens.Counter(PATH, tokens.whole_words(PATH)).count(text) == len(encoded.ids)
+    assert COUNTER.count(text) == len(encoded.ids)
     assert bpe.decoder(PATH).decode(np.array(ids, np.int32)) == LIBRARY.decode(encoded.ids, skip_special_tokens=False)
 
 

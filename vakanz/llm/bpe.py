@@ -11,7 +11,6 @@ empty results; other columns stay.
 
 from __future__ import annotations
 
-import functools
 from array import array
 from itertools import chain
 
@@ -146,14 +145,12 @@ class Decoder:
         return b"".join(out)[:-1].decode("utf-8")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(read(path))
+    return read(path).tool(Encoder)
 
 
-@functools.lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
-    return Decoder(read(path))
+    return read(path).tool(Decoder)
 
 
 def _ids_array(texts: list[str], path: str) -> pa.Array:

@@ -20,6 +20,21 @@ BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 20
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives, kept in this process until something else is: one model at a time.
+
+    Workers serve one stage after another; without this they would keep the models of all.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def words_of(text: Column | str) -> Column:
     """``text`` with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -98,7 +113,9 @@ def mapped_texts(
                 part = batch.slice(low, high - low)
                 made = make([t or "" for t in part.column(place).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], *made], names=schema.names)
+                del part, made
                 low = high
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import counted_broadcast, free_name, ready, staged, without_keys, words_of
+from vakanz.llm.common import counted_broadcast, free_name, held, ready, staged, without_keys, words_of
 from vakanz.llm.components import roots
 from vakanz.llm.vocab import Memory
 
@@ -50,13 +50,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_codes = Memory(lambda word: xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")))
+def _code(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def word_codes(text: str) -> np.ndarray:
     """A 32-bit code for each word."""
     words = WORD.findall(text.lower())
-    return np.fromiter(map(_codes.__getitem__, words), np.uint32, len(words))
+    codes = held("word codes", lambda: Memory(_code))
+    return np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -293,8 +295,8 @@ def _rest(stars: DataFrame, label: DataFrame, sequences: DataFrame, similar: flo
     def search(batches):
         key, rows = None, []
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("centre", "i", "j", "side", "node", "root", "codes")]
-            for centre, i, j, *row in zip(*columns, strict=True):
+            columns = [batch[c] for c in ("centre", "i", "j", "side", "node", "root", "codes")]
+            for centre, i, j, *row in zip(*[(x.as_py() for x in c) for c in columns], strict=True):
                 if key != (centre, i, j):
                     yield from judged(key, rows)
                     key, rows = (centre, i, j), []

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vakanz.llm.common import ready, words_of
-from vakanz.llm.vocab import BYTES, END, Memory, read, symbols
+from vakanz.llm.common import held, ready, words_of
+from vakanz.llm.vocab import BYTES, END, Memory, Vocabulary, read, symbols
 
 
 @functools.lru_cache(maxsize=2)
@@ -36,7 +36,7 @@ class Counter:
     """Counts the tokens of texts."""
 
     def __init__(self, path: str, whole):
-        self.vocabulary = read(path)
+        self.vocabulary = Vocabulary(path)
         self.sizes = Memory(lambda w: len(self.vocabulary.merge(symbols(w))), dict.fromkeys(whole, 1))
 
     def count(self, text: str) -> int:
@@ -44,13 +44,8 @@ class Counter:
         return len(parts) // 2 + sum(sum(map(size, self.vocabulary.words(p))) for p in parts[::2])
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _counter(path: str, whole) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path, whole.value)
-    return _counters[path]
+    return held(("counter", path), lambda: Counter(path, whole.value))
 
 
 def with_token_counts(

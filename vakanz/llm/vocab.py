@@ -15,6 +15,8 @@ import unicodedata
 import regex
 from tokenizers import Tokenizer
 
+from vakanz.llm.common import held
+
 #: White space as the file's pattern means it (fixed values of the Unicode property).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pattern of the file, which ``read`` checks, and the same with SPACE spelled out.
@@ -98,6 +100,7 @@ class Vocabulary:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")")
         self.starts = tuple({s[0] for s in by_length})
         self.path = path
+        self.tools: dict = {}
 
     def parts(self, text: str) -> list[str]:
         """Plain text at even places, special strings at odd ones."""
@@ -105,6 +108,12 @@ class Vocabulary:
             return self.special_split.split(text)
         return [text]
 
+    def tool(self, make):
+        """What ``make`` builds from this vocabulary, once."""
+        if make not in self.tools:
+            self.tools[make] = make(self)
+        return self.tools[make]
+
     @functools.cached_property
     def library(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
@@ -178,10 +187,9 @@ class Vocabulary:
         return found
 
 
-@functools.lru_cache(maxsize=2)
 def read(path: str) -> Vocabulary:
-    """The vocabulary, once a process."""
-    return Vocabulary(path)
+    """The vocabulary, once a process while it is in use."""
+    return held(("vocabulary", path), lambda: Vocabulary(path))
 
 
 class Memory(dict):
