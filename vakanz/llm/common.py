@@ -30,11 +30,16 @@ def held(key, make: Callable):
     """
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[key] = make()
     return _held[key]
 
 
+def give_back() -> None:
+    """Return what the batch before has left unused to the system; called once a batch."""
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column | str) -> Column:
     """``text`` with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -115,7 +120,7 @@ def mapped_texts(
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], *made], names=schema.names)
                 del part, made
                 low = high
-        pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

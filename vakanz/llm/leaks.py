@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from vakanz.llm.common import free_name, ready, words_of
+from vakanz.llm.common import free_name, give_back, ready, words_of
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -263,6 +263,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", in
     def column(index) -> Column:
         @F.arrow_udf(LEAK)
         def search(texts: pa.Array) -> pa.Array:
+            give_back()
             return pa.array([index.value.find(t.as_py()) for t in texts], kind)
 
         return search(words_of(text_col))

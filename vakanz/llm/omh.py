@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.llm.common import counted_broadcast, free_name, held, ready, staged, without_keys, words_of
+from vakanz.llm.common import counted_broadcast, free_name, give_back, held, ready, staged, without_keys, words_of
 from vakanz.llm.components import roots
 from vakanz.llm.vocab import Memory
 
@@ -177,6 +177,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.arrow_udf("content binary, shingles int, sketch array<bigint>")
     def describe(texts: pa.Array) -> pa.Array:
+        give_back()
         content, counts, flat, ends = [], [], [], [0]
         for text in texts:
             codes = word_codes(text.as_py())
@@ -205,6 +206,7 @@ def _sequences(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
     @F.arrow_udf("content binary, codes binary")
     def read(texts: pa.Array) -> pa.Array:
+        give_back()
         codes = [word_codes(t.as_py()).tobytes() for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([xxhash.xxh3_128_digest(c) for c in codes], pa.binary()), pa.array(codes, pa.binary())], ["content", "codes"]
@@ -225,6 +227,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similar: float) -> DataFra
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([similarity(_codes_of(x.as_py()), _codes_of(y.as_py()), similar) > 0 for x, y in zip(left, right, strict=True)], pa.bool_())
 
     left = sequences.select(F.col("node").alias("a"), F.col("codes").alias("left"))

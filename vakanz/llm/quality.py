@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from vakanz.llm.common import among_least, free_name, ready, staged, words_of
+from vakanz.llm.common import among_least, free_name, give_back, ready, staged, words_of
 
 #: Bounds of the training sample: ids of each class, and lines of a document in it.
 TRAIN_DOCS, TRAIN_LINES = 1200, 400
@@ -240,6 +240,7 @@ def with_score(docs: DataFrame, chain: Chain | None, text_col: str = "text", int
 
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
+        give_back()
         out, low, sizes = [], 0, pc.binary_length(texts).to_pylist()
         while low < len(sizes):  # some texts at once, so memory is bounded by CHUNK_CHARS or one text
             high, chars = low, 0
