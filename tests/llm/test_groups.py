@@ -113,6 +113,24 @@ def test_near_classes_are_those_of_brute_force(spark):
     assert sizes[1] > 150 and expected[704] == 703 and len({expected[i] for i in range(500, 540)}) == 40
 
 
+def test_near_classes_of_short_texts_are_those_of_brute_force(spark):
+    rows = []
+    for n in range(7, 48):
+        for k in range(6):
+            text = prose(5000 + 10 * n + k, n)
+            at = (n, 0, n - 1, n // 2, n, n - 1)[k]
+            words = text.split()
+            words[at : at + (k == 5)] = [f"added{n}x{k}"]
+            rows += [(len(rows), text), (len(rows) + 1, " ".join(words))]
+    tail = prose(4, 12)  # a common line that many texts end in, none of them similar
+    rows += [(len(rows) + i, prose(9000 + i, 12) + " " + tail) for i in range(60)]
+    found = {r.doc_id: r.class_id for r in omh.near_classes(documents(spark, rows)).collect()}
+    expected = brute_classes(rows)
+    assert found == expected
+    lengths = {len(rows[a][1].split()) for b, a in expected.items() if a != b}
+    assert set(range(8, 20)) <= lengths
+
+
 def test_near_classes_of_odd_tables(spark):
     docs = documents(spark, odd_rows())
     found = omh.near_classes(docs).collect()

@@ -3,7 +3,10 @@
 A text is the sequence of its five-word shingles (words ``\\w+`` in lower case; fewer words are one
 shingle). Each of ``SKETCHES`` hash functions takes the ``MINIMA`` least occurrence-labelled
 shingles and keeps them in text order, so a sketch agrees for texts that share shingles in the same
-order. Texts that agree in a sketch are candidates. The similarity of two texts is the length of
+order. Texts that agree in a sketch are candidates. Few shingles give few different sketches, so
+texts of fewer than ``EXACT`` shingles are found by prefix filter instead: shingles are put in one
+order, rare ones first, and two similar texts always share one of the first few of each. Only texts
+long enough to have a similar text of ``EXACT`` or more have sketches. The similarity of two texts is the length of
 the longest common subsequence of their shingles over the number of shingles in either (an
 ordered Jaccard similarity); two texts are linked from ``SIMILAR`` on. Classes are the connected
 components of the links.
@@ -22,11 +25,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz.llm.common import counted_broadcast, free_name, give_back, held, ready, staged, without_keys, words_of
@@ -36,6 +40,10 @@ from vakanz.llm.vocab import Memory
 WORD = re.compile(r"\w+")
 SHINGLE, SKETCHES, MINIMA = 5, 32, 6
 SIMILAR = 0.8
+#: Texts of fewer shingles are candidates by prefix filter, which misses none of their pairs.
+EXACT = 40
+#: Counters that tell rare shingles of such texts from common ones; a power of two.
+COUNTERS = 1 << 16
 #: Nodes of a block, two of which meet in a task.
 BLOCK = 256
 #: Shingles hashed at once, and columns of a block's incidence matrix at once.
@@ -116,6 +124,19 @@ def sketch(marks: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def prefix(marks: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """Bucket values of a text's rarest labelled shingles, enough to meet every similar text.
+
+    Of n shingles a similar text shares ``similar * n`` or more, so in any order that holds for all
+    texts the first ones of both, as many as may be missing and one more, have one in common.
+    """
+    n = len(marks)
+    if n < similar * (n + 1) - 1e-6:  # so short that only equal texts are similar
+        return np.empty(0, np.int64)
+    order = np.lexsort((marks, counts[marks & np.uint64(COUNTERS - 1)]))
+    return _mix(marks[order[: n - ceil(similar * n - 1e-6) + 1]] + _PRIME).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """The ordered similarity of two shingle sequences if it is ``least`` or more, else 0."""
     n, m = len(a), len(b)
@@ -171,29 +192,39 @@ def _aligned(a: np.ndarray, b: np.ndarray, edits: int) -> int:
     return int(row[:-1].max())
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, id, text_hash, content, shingles, sketch``, written; null content without words."""
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
+def sketched(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR
+) -> DataFrame:
+    """``row, id, text_hash, content, shingles, sketch, marks``, written; null content without words.
+
+    ``marks`` are the labelled shingles of texts of fewer than ``EXACT``; texts whose similar texts
+    are all so short have an empty ``sketch``.
+    """
     ready(docs.sparkSession)
 
-    @F.arrow_udf("content binary, shingles int, sketch array<bigint>")
+    @F.arrow_udf("content binary, shingles int, sketch array<bigint>, marks array<bigint>")
     def describe(texts: pa.Array) -> pa.Array:
         give_back()
-        content, counts, flat, ends = [], [], [], [0]
+        content, counts, sketches, short = [], [], [], []
+        none = np.empty(0, np.int64)
         for text in texts:
             codes = word_codes(text.as_py())
             hashes = shingles(codes)
-            counts.append(len(hashes))
-            if len(hashes):
-                content.append(xxhash.xxh3_128_digest(codes.tobytes()))
-                flat.append(sketch(labelled(hashes)))
-                ends.append(ends[-1] + SKETCHES)
-            else:
-                content.append(None)
-                ends.append(ends[-1])
-        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
+            n = len(hashes)
+            marks = labelled(hashes)
+            counts.append(n)
+            content.append(xxhash.xxh3_128_digest(codes.tobytes()) if n else None)
+            sketches.append(sketch(marks).ravel() if n and n >= similar * EXACT - 1e-6 else none)
+            short.append(marks.view(np.int64) if n < EXACT else none)
         return pa.StructArray.from_arrays(
-            [pa.array(content, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-            ["content", "shingles", "sketch"],
+            [pa.array(content, pa.binary()), pa.array(counts, pa.int32()), _lists(sketches), _lists(short)],
+            ["content", "shingles", "sketch", "marks"],
         )
 
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col]).alias("text"))
@@ -201,6 +232,25 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return staged(found.select(F.monotonically_increasing_id().alias("row"), "id", "text_hash", "d.*"))
 
 
+def _prefixes(rows: DataFrame, similar: float) -> Column:
+    """``prefix`` of the marks of ``rows``, by counts of all marks in ``COUNTERS`` counters."""
+    counter = F.col("mark").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")
+    counts = np.zeros(COUNTERS, np.int64)
+    for at, count in rows.select(F.explode("marks").alias("mark")).groupBy(counter).count().collect():
+        counts[at] = count
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    @F.arrow_udf("array<bigint>")
+    def rarest(marks: pa.Array) -> pa.Array:
+        give_back()
+        counts = shared.value
+        flat = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        ends = np.cumsum([0, *marks.value_lengths().to_pylist()])
+        return _lists([prefix(flat[a:b], counts, similar) for a, b in zip(ends, ends[1:], strict=False)])
+
+    return rarest("marks")
+
+
 def _sequences(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """``node, codes`` of the nodes in ``wanted(node, text_hash, content)``, written."""
 
@@ -319,10 +369,10 @@ def _rest(stars: DataFrame, label: DataFrame, sequences: DataFrame, similar: flo
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     """``row, id, text_hash, root, rep (id, row), members`` for every row."""
-    rows = sketched(docs, id_col, text_col)
+    rows = sketched(docs, id_col, text_col, similar)
     copies = staged(rows.filter("content is not null").groupBy("content").agg(F.min("row").alias("node")))
     bands = rows.join(copies.select(F.col("node").alias("row")), "row", "left_semi").select(
-        F.col("row").alias("node"), F.explode("sketch").alias("value")
+        F.col("row").alias("node"), F.explode(F.concat("sketch", _prefixes(rows, similar))).alias("value")
     )
     shared = bands.groupBy("value").agg(F.count("*").alias("company")).filter("company > 1")
     members = staged(bands.join(shared, "value"))
