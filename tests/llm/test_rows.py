@@ -100,6 +100,17 @@ def test_pages(spark):
     assert html.extracted(empty(pages)).count() == 0
 
 
+def test_attributes_are_whole_names():
+    for tag in (
+        'a href="/the-hidden-cost"', 'a title="Hidden gems" href=/x', 'a href="/p?id=related"', "a href=/p?class=ad", 'a data-hidden="false"',
+        "a title='role=\"banner\"'", 'a data-class="ad" data-id=nav', "a title = 'id=nav hidden'", 'a x-role="search" data-style="display:none"',
+    ):
+        assert html.main_text(f"<p>One, two <{tag}>words of it</a> and, three.</p>") == "One, two words of it and, three.", tag
+    assert html.main_text('<div data-hidden="false"><p>All, of it.</p></div>') == "All, of it."
+    for tag in ("div hidden", "div x=1 HIDDEN=''", "div a='>' Role = banner", 'div style="x:y; display: none"', "div/hidden", "div aria-hidden=true"):
+        assert html.main_text(f"<{tag}>Not, this</div><p>This, one.</p>") == "This, one.", tag
+
+
 def test_page_time_grows_with_its_length():
     import time
 
