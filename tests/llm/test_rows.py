@@ -111,6 +111,22 @@ def test_attributes_are_whole_names():
         assert html.main_text(f"<{tag}>Not, this</div><p>This, one.</p>") == "This, one.", tag
 
 
+def test_names_do_not_drop_the_page():
+    body = "<p>The first paragraph, with commas, and words.</p><p>The second one, also with words.</p>"
+    text = "The first paragraph, with commas, and words.\nThe second one, also with words."
+    for name in ("content has-sidebar", "elementor-widget elementor-widget-text-editor", "search-result", "page-with-nav", "page-with-comments", "site-header-fixed"):
+        around = '<div class="menu"><a href=/>Home</a></div>{}<div class="ad"><p>Buy, buy.</p></div><div>Small print</div>'
+        assert html.main_text(around.format(f'<div class="{name}">{body}</div>')) == text, name
+        assert html.main_text(f'<div id="{name}"><div class="sidebar"><p>Other, things.</p></div><article>{body}</article></div>') == text, name
+        assert html.main_text(f'<div class="{name}">{body}</div>') == text, name
+    parts = "".join(f'<div class="widget"><p>{t}</p></div>' for t in text.split("\n"))
+    assert html.main_text(f"<div>{parts}<div class=share>Share, this</div></div><p>By us</p>").startswith("The first paragraph")
+    comments = '<div id="comments">' + "<article class='comment'><p>A long, long, comment, of many, words.</p></article>" * 9 + "</div>"
+    assert html.main_text(f"<div>{body}</div>{comments}") == text
+    assert html.main_text(f'<div class="page-with-comments"><div>{body}</div>{comments}</div>') == text
+    assert html.main_text("<div class=notice>All, of the page</div>") == "All, of the page"
+
+
 def test_page_time_grows_with_its_length():
     import time
 

@@ -4,15 +4,20 @@ A page becomes a tree of elements. Each block of text gives points, for its leng
 the elements above it; an element's points are discounted by the share of its text that is link
 text. The best element, widened to the article or main element around it, is kept with those
 siblings that score well too. Elements that are never article text (menus, forms, scripts, notices
-and the like, by element, role, class or id) are left out beforehand.
+and the like, by element, role, class or id) are left out beforehand. A class or id only suggests
+this: what holds the article or main element with most text stays, and where elements left out by
+class or id hold more paragraph text than the rest of the page, or all of its text, those with most
+of it are read again.
 
-Null and empty pages give an empty text, as do pages without text outside such elements; repeated
+Null and empty pages give an empty text, as do pages without text outside hidden elements and
+elements left out by their tag or role; repeated
 pages give repeated rows; an empty table gives an empty result. Whole pages are read.
 """
 
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -65,40 +70,51 @@ ASIDE_NAMES = set(
     "recommendations newsletter subscribe subscription signup login search toolbar widget copyright skip".split()
 )
 HEADER_NAMES = {"header", "topbar"}
+#: Names of what is written in paragraphs and yet not the article.
+COMMENT_NAMES = set("comment comments commentlist disqus replies respond discussion".split())
+#: Beside them, parts of names that tell of what an element has around or within.
+HOLDER_NAMES = set("with has page layout".split())
+#: Elements of paragraph text, and the unlinked characters from which text of another counts as such.
+PARAGRAPH, LONG = {"p", "pre", "blockquote"}, 140
 NEVER_ASIDE = {"html", "body", "article", "main"}
 #: Parts of a block's points for the elements above it, from the nearest on.
 SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 
-def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
+def _is_aside(name: str, found: dict[str, str], in_article: bool) -> bool:
     if name in ASIDE_TAGS or name == "header" and not in_article:
         return True
-    if not attrs or name in NEVER_ASIDE:
+    if name in NEVER_ASIDE:
         return False
+    return (
+        "hidden" in found
+        or found.get("aria-hidden", "").lower() == "true"
+        or found.get("role", "").lower() in ASIDE_ROLES
+        or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+    )
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by name in lower case; of repeated names the first counts."""
+    found: dict[str, str] = {}
     for key, *values in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), "".join(values)
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.lower() in ASIDE_ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id"):
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            if parts & ASIDE_NAMES or not in_article and parts & HEADER_NAMES:
-                return True
-    return False
+        found.setdefault(key.lower(), "".join(values))
+    return found
+
+
+def _names(found: dict[str, str]) -> set[str]:
+    """The parts of an element's class and id."""
+    return {p.lower() for key in ("class", "id") for p in NAME_PART.findall(found.get(key, ""))}
 
 
 class Page:
     """Elements of a page in page order, and its blocks of text outside of asides."""
 
     def __init__(self, html: str):
-        self.parent, self.name = [-1], ["#page"]
-        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links in it
-        self._pieces: list[str] = []
-        self._linked = 0
-        self._read(html)
+        self._read(html, set())
+        left_out = self._left_out()
+        if left_out:
+            self._read(html, left_out)
 
     def _text(self, raw: str, node: int, in_link: bool) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -113,7 +129,60 @@ class Page:
                 self.blocks.append((node, text, min(self._linked, len(text))))
             self._pieces, self._linked = [], 0
 
-    def _read(self, html: str) -> None:
+    def _left_out(self) -> set[int]:
+        """Begins of the elements that are left out by class or id."""
+        n = len(self.parent)
+        if not self.named:
+            return set()
+        plain, prose = [0] * n, [0] * n
+        for node, text, links in self.blocks:
+            own = len(text) - links
+            plain[node] += own
+            if self.name[node] in PARAGRAPH or own >= LONG:
+                prose[node] += own
+        for node in range(n - 1, 0, -1):
+            plain[self.parent[node]] += plain[node]
+            prose[self.parent[node]] += prose[node]
+        around, within = [0] * n, {0: []}  # the next named element around each, and those next within
+        for node in range(1, n):
+            up = self.parent[node]
+            around[node] = up if up in self.named else around[up]
+            if node in self.named:
+                within[node] = []
+                within[around[node]].append(node)
+        read = {0}  # what stays
+        chief = max(self.articles, key=lambda i: (prose[i], plain[i], -i), default=0)
+        while chief:
+            chief = around[chief]
+            read.add(chief)
+        out, opened = set(), [0]
+        while opened:
+            for node in within[opened.pop()]:
+                (opened.append if node in read else out.add)(node)
+        for weight, every in ((prose, False), (plain, True)):
+            kept = weight[0] - sum(weight[i] for i in out)
+            order = [(-weight[i], i) for i in out if every or not self.named[i][1]]
+            lost = -sum(w for w, _ in order)
+            heapify(order)
+            while order and (not kept and lost if every else lost > kept):
+                _, node = heappop(order)
+                out.remove(node)
+                kept, lost = kept + weight[node], lost - weight[node]
+                for inner in within[node]:
+                    out.add(inner)
+                    kept -= weight[inner]
+                    if every or not self.named[inner][1]:
+                        lost += weight[inner]
+                        heappush(order, (-weight[inner], inner))
+        return {self.named[i][0] for i in out}
+
+    def _read(self, html: str, left_out: set[int]) -> None:
+        self.parent, self.name = [-1], ["#page"]
+        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links in it
+        self.named: dict[int, tuple[int, bool]] = {}  # elements named as asides: begin, whether as comments
+        self.articles: list[int] = []  # article and main elements that are not comments
+        self._pieces: list[str] = []
+        self._linked = 0
         stack: list[tuple[str, int]] = [("#page", 0)]
         containers = [0]  # block elements that are open, innermost last
         opened: dict[str, int] = {}
@@ -190,10 +259,19 @@ class Page:
             stack.append((name, node))
             opened[name] = opened.get(name, 0) + 1
             if not aside_from:
-                if _is_aside(name, attrs, bool(opened.get("article") or opened.get("main"))):
+                in_article = bool(opened.get("article") or opened.get("main"))
+                values = _attributes(attrs) if attrs else {}
+                if found.start() in left_out or _is_aside(name, values, in_article):
                     aside_from = len(stack)
-                elif name in BLOCK:
+                    continue
+                if name in BLOCK:
                     containers.append(node)
+                names = _names(values)
+                if name in ("article", "main"):
+                    if not names & COMMENT_NAMES:
+                        self.articles.append(node)
+                elif name not in NEVER_ASIDE and (names & ASIDE_NAMES or not in_article and names & HEADER_NAMES):
+                    self.named[node] = found.start(), bool(names & COMMENT_NAMES) and not names & HOLDER_NAMES
         pop_to(1)
         self._flush(0)
 
