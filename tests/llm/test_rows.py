@@ -43,6 +43,24 @@ def test_licences(spark):
     assert licences.licence_scan(empty(docs)).count() == 0
 
 
+def test_licences_at_the_first_word(spark):
+    known = [t for t in licences.templates() if not t.base]
+    assert all(t.key_at < licences.BEFORE for t in known) and any(t.key_at for t in known)
+    cuts = [t.words[lead:] for t in known for lead in range(t.key_at + 1)]
+    rows = [(i, " ".join(c)) for i, c in enumerate(cuts)]
+    rows += [(1000 + i, "zebras graze quietly near rivers " * 6 + text) for i, text in rows] + [(5000 + i, prose(i, 30)) for i in range(200)]
+    found = {r.doc_id: r for r in licences.licence_scan(documents(spark, rows)).collect()}
+    for i in range(len(cuts)):
+        a, b = found[i], found[1000 + i]
+        assert (a.labels, a.n_base) == (b.labels, b.n_base) and abs(a.score - b.score) < 1e-9, cuts[i]
+    at = {" ".join(c): i for i, c in enumerate(cuts)}
+    for t in known:
+        assert t.label in found[at[" ".join(t.words)]].labels.split(",")
+    assert found[at["creative commons attribution 4 0 international license"]].labels == "cc-by"
+    assert found[at["gnu lesser general public license as published by the free software foundation"]].labels == "lgpl"
+    assert sum(t.key_at > 0 and t.label in found[at[" ".join(t.words[t.key_at :])]].labels.split(",") for t in known) > 1
+
+
 def brute_secrets(text):
     kinds = ((*secrets.KINDS[0],), (*secrets.KINDS[1],), ("hex", "[0-9a-f]+", 0, 16))
     spans = sorted(

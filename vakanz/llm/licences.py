@@ -5,7 +5,8 @@ template has mandatory key phrases; of the words of a key phrase the two that ar
 documents (highest IDF) are its postings, with their places. A text's words that have postings are
 looked up; a template is a candidate where both postings agree on where it would begin. It is found
 if its key phrases stand there word by word and the words that agree hold enough of its IDF. Every
-place of a key phrase has both its rare words, so no place is missed.
+place of a key phrase has both its rare words, so no place is missed. A template may begin before
+the text does: its words before the text agree with nothing, as if other words stood there.
 
 A null text is an empty one; texts without licences have empty labels, null places and score 0;
 repeated rows give repeated rows; an empty table gives an empty result.
@@ -46,8 +47,8 @@ NOTICES = (
 )
 #: Share of a notice's IDF whose words must agree.
 AGREE = 0.6
-#: Begins of templates are packed as template * PLACE + place.
-PLACE = 1 << 40
+#: Begins of templates are packed as template * PLACE + BEFORE + place; a place is no less than -BEFORE.
+PLACE, BEFORE = 1 << 40, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -90,13 +91,13 @@ def with_licences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     known = templates()
     vocabulary = sorted({w for t in known for w in t.words})
     weight = idf(docs, vocabulary, text_col)
-    rarest: list[list[tuple[str, int, int]]] = [[], []]
+    rarest: list[list[tuple[str, int, int, int]]] = [[], []]
     for number, t in enumerate(known):
         places = sorted(range(len(t.key)), key=lambda i: (-weight[t.key[i]], i))
         for postings, place in zip(rarest, places[:2], strict=True):
-            postings.append((t.key[place], number, t.key_at + place))
+            postings.append((t.key[place], number, t.key_at + place, place))
     index = [
-        F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("template"), F.lit(p).alias("place")) for w, n, p in postings])
+        F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("template"), F.lit(p).alias("place"), F.lit(k).alias("in_key")) for w, n, p, k in postings])
         for postings in rarest
     ]
     forms = F.array(*[
@@ -108,15 +109,15 @@ def with_licences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         )
         for t in known
     ])
-    rare = sorted({w for postings in rarest for w, _, _ in postings})
+    rare = sorted({w for postings in rarest for w, *_ in postings})
     rows = once(docs.select(docs[id_col].alias("doc_id"), text_words(docs[text_col]).alias("words")))
     looked_up = F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(w.alias("word"), i.alias("at"))))
     hits = rows.select("doc_id", "words", F.filter(looked_up, lambda h: h.isNotNull()).alias("hits"))
 
     def begins(postings: Column) -> Column:
         of_hit = lambda h: F.transform(
-            F.filter(postings, lambda p: (p["word"] == h["word"]) & (h["at"] >= p["place"])),
-            lambda p: p["template"] * F.lit(PLACE) + h["at"] - p["place"],
+            F.filter(postings, lambda p: (p["word"] == h["word"]) & (h["at"] >= p["in_key"])),
+            lambda p: p["template"] * F.lit(PLACE) + F.lit(BEFORE) + h["at"] - p["place"],
         )
         return F.flatten(F.transform("hits", of_hit))
 
@@ -124,15 +125,17 @@ def with_licences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     found = hits.select("doc_id", "words", agreed.alias("agreed")).select(
         "doc_id", "words",
         F.transform("agreed", lambda b: F.struct(
-            F.floor(b / F.lit(PLACE)).cast("int").alias("template"), (b % F.lit(PLACE)).cast("int").alias("place")
+            F.floor(b / F.lit(PLACE)).cast("int").alias("template"), (b % F.lit(PLACE) - F.lit(BEFORE)).cast("int").alias("place")
         )).alias("candidates"),
     )
     words = F.col("words")
 
     def judged(c: Column) -> Column:
         form, place = F.element_at(forms, c["template"] + 1), c["place"]
+        before = F.greatest(-place, F.lit(0))
+        here = F.size(form["words"]) - before
         agrees = F.zip_with(
-            F.slice(words, place + 1, F.size(form["words"])), F.arrays_zip(form["words"], form["weights"]),
+            F.slice(words, place + before + 1, here), F.slice(F.arrays_zip(form["words"], form["weights"]), before + 1, here),
             lambda w, t: F.when(w == t["words"], t["weights"]).otherwise(F.lit(0.0)),
         )
         score = F.aggregate(agrees, F.lit(0.0), lambda a, x: a + x) / form["total"]
