@@ -195,6 +195,15 @@ def test_written_shards_hold_whole_records(spark, tmp_path):
     shards.write_shards(empty(docs), str(tmp_path / "none"))
 
 
+def test_assigned_shards_are_those_written(spark, tmp_path):
+    # Many more buckets by bytes of records than by a fixed size a row.
+    docs = documents(spark, [(i, prose(i, 60)) for i in range(200)]).select("doc_id", "text")
+    shards.write_shards(docs, str(tmp_path / "out"), bucket_bytes=2000)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda rows: sorted((r.doc_id, r.shard, r.slot) for r in rows.collect())
+    assert key(shards.assign_shards(docs, bucket_bytes=2000)) == key(written)
+
+
 def test_pipeline_agrees_with_its_operators(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels, benchmark = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("labels", "benchmark"))

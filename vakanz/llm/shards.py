@@ -6,16 +6,21 @@ one array, permutes it with ``shuffle`` (Fisher-Yates) and lays the buckets end
 takes the positions of its share: row counts of shards are at most one apart (law ``rows``).
 
 Null ids and texts count as values of their own, a null text has no bytes; an empty table gives
-an empty result; extra columns are not looked at by ``assign_shards`` and carried by ``sharded``.
+an empty result; extra columns are not looked at by ``assign_shards`` and carried by
+``write_shards``. ``assign_shards`` writes the records and tells what stands in the written shards.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from vakanz.llm.common import free_name, staged, words_of
+from vakanz.runtime import ensure_checkpoint_dir
 
 #: Bytes of the records of one bucket, far below the memory of one task.
 BUCKET_BYTES = 16 << 20
@@ -73,17 +78,20 @@ def assign_shards(
     text_col: str = "text",
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row; texts stay put."""
-    text = words_of(docs[text_col])
-    rows = docs.select(
-        docs[id_col].alias("doc_id"), record_size(docs[text_col]).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    mixed = staged(_permuted(rows, F.lit(64), seed, bucket_bytes, shards))
-    return _placed(mixed, shards).select(
-        "record.doc_id", "record.size", "record.text_crc32", F.lit("rows").alias("law"),
-        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every record as written.
+
+    The id and text of each record are written to shards in the shared checkpoint folder.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    write_shards(rows, path, shards, seed, bucket_bytes=bucket_bytes)
+    schema = StructType([*rows.schema.fields, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    written = spark.read.schema(schema).parquet(path)
+    return written.select(
+        "doc_id", record_size("text").alias("size"), F.crc32(words_of("text").cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
