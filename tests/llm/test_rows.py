@@ -242,6 +242,19 @@ def test_leaks_are_all_that_brute_force_finds(spark):
     assert leaks.leak_report(empty(docs), benchmark).count() == 0
 
 
+def test_leaks_of_items_with_a_short_or_edited_end():
+    own = [prose(3000 + i, 9 + i) + (". " + prose(4000 + i, 1 + i % 5) if i % 3 else "") for i in range(60)]
+    frequency = Counter(w for t in own for w in set(leaks.words(t)))
+    built = leaks.build(list(enumerate(own)), frequency, len(own), np.mean([len(leaks.words(t)) for t in own]))
+    for i, item in enumerate(own):
+        item = leaks.words(item)
+        for there in (item, item[:-1], [*item[:-1], "altered"]):
+            text = " ".join([prose(5000 + i, 40), *there, prose(6000 + i, 40)])
+            assert i in [x["item_id"] for x in built.find(text)], (own[i], there)
+    marked = leaks.build([(1, prose(7, 30) + "? Sylvania")], Counter(leaks.words(prose(7, 30) + " Sylvania")), 1, 31)
+    assert not marked.find(prose(7, 30)) and marked.find(prose(7, 30) + " sylvania")
+
+
 def test_question_and_answer():
     assert leaks.question_and_answer("Who? Me.") == (["who"], ["me"])
     assert leaks.question_and_answer("A b. C d.") == (["a", "b"], ["c", "d"])

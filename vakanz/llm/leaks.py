@@ -9,7 +9,9 @@ searched by WAND. All items at or above the threshold are retrieved, and leak if
 of their question and of their answer stand in the window.
 
 Words are ``\\w+`` in lower case. The answer is what follows the last question mark, else the last
-sentence, else the last third. Null texts are empty; items and texts without words match nothing;
+sentence, else the last third; without a question mark it is lengthened to ``ANSWER_WORDS`` words
+or a third of the item, but not beyond its half, so that it has several runs and one edited or
+missing word does not decide. Null texts are empty; items and texts without words match nothing;
 repeated items are all reported; null item ids stay null; empty tables give no leaks.
 """
 
@@ -34,6 +36,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Length of the word runs of a question and an answer, and the share of them in the passage.
 QUESTION_RUN, ANSWER_RUN, OVERLAP = 5, 3, 0.5
+#: Words that an answer without a mark has at least, where the item is long enough.
+ANSWER_WORDS = 8
 BLOCK_ITEMS = 8
 #: What the commonest words may add to a score without being looked up for the first bound.
 SLACK = 0.1
@@ -51,7 +55,8 @@ def words(text: str) -> list[str]:
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The words of an item before and in its answer."""
     cut = text.rfind("?") + 1
-    if not words(text[cut:]) or not words(text[:cut]):
+    marked = bool(words(text[cut:]) and words(text[:cut]))
+    if not marked:
         ends = [m.end() for m in re.finditer(r"[.!\n](?=\s|$)|\n", text.rstrip().rstrip(".!"))]
         cut = ends[-1] if ends else 0
     question, answer = words(text[:cut]), words(text[cut:])
@@ -59,6 +64,11 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
         own = words(text)
         third = max(1, len(own) // 3)
         question, answer = own[:-third] or own, own[-third:]
+    if not marked:
+        own = words(text)
+        least = min(max(ANSWER_WORDS, len(own) // 3), len(own) // 2)
+        if len(answer) < least:
+            question, answer = own[:-least], own[-least:]
     return question, answer
 
 
