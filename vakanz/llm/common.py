@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vakanz.runtime import ensure_checkpoint_dir
+from vakanz.runtime import stage_folder
 
 #: Rows of at most 64 bytes that a broadcast may hold: 32 MB.
 BROADCAST_IDS = 500_000
@@ -50,11 +49,20 @@ def staged(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: what is read later is the same whatever executors were lost meanwhile.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``staged``, with the folder, for those who ``remove`` it when it is read no more."""
+    path = stage_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written stage, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def counted_broadcast(keys: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries of the operators, and SQL for those that SQL can express."""
+"""Registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, exact, html, leaks, licences, omh, quality, secrets, shards, tokens
+from vakanz.llm import bpe, centroids, exact, html, leaks, licences, omh, quality, runs, secrets, shards, tokens
 from vakanz.llm.common import documents
+from vakanz.llm.oracles import oracle_sql  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -53,6 +54,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(documents(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.with_planted_runs(documents(spark, sf_dir)))
+
+
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(documents(spark, sf_dir, "embeddings"))
+
+
 _QUERIES = (
     op5_order_minhash,
     op9_benchmark_leaks,
@@ -64,27 +73,10 @@ _QUERIES = (
     op6_bpe_round_trip,
     op7_shuffle_shards,
     op8_exact_dedup,
+    op11_periodic_runs,
+    op12_heap_clusters,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in _QUERIES}
-
-
-EXACT_SQL = r"""
-WITH texts AS (
-  SELECT doc_id, coalesce(text, '') AS t,
-         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n
-  FROM documents),
-ranked AS (
-  SELECT doc_id, n,
-         first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
-         count(*) OVER (PARTITION BY n) AS group_size
-  FROM texts)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256
-FROM ranked
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_SQL}
