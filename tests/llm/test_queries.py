@@ -4,7 +4,7 @@ from compare import connect, difference
 from vakanz.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS = {"op10": "pages"}
+ROWS = {"op10": "pages", "op12": "embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))

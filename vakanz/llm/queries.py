@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vakanz.llm import bpe, centroids, exact, html, leaks, licences, omh, quality, runs, secrets, shards, tokens
+from vakanz.llm import bpe, centroids, exact, html, leaks, licences, omh, quality, runs, secrets, shards, tokens, toxicity
 from vakanz.llm.common import documents
 from vakanz.llm.oracles import oracle_sql  # noqa: F401
 
@@ -62,6 +62,10 @@ def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(documents(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 _QUERIES = (
     op5_order_minhash,
     op9_benchmark_leaks,
@@ -75,6 +79,7 @@ _QUERIES = (
     op8_exact_dedup,
     op11_periodic_runs,
     op12_heap_clusters,
+    op13_toxicity,
 )
 
 
