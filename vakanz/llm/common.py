@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Callable
 
@@ -17,6 +19,9 @@ from vakanz.runtime import stage_folder
 BROADCAST_IDS = 500_000
 #: Bytes of text that a worker turns into results at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that go to a worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 _held: dict = {}
@@ -37,6 +42,8 @@ def held(key, make: Callable):
 def give_back() -> None:
     """Return what the batch before has left unused to the system; called once a batch."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words_of(text: Column | str) -> Column:
@@ -142,10 +149,12 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers on machines that share this folder import the package.
+    """Let Python workers on machines that share this folder import the package, and bound their batches.
 
-    On other clusters the package is shipped with ``--py-files``.
+    A batch lies in the worker, in the pipe and twice in the executor; a setting of the caller's stays. On other clusters the package is shipped with ``--py-files``.
     """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
