@@ -4,35 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakanz.functions.text import not_stop_word
+from vakanz.functions.text import deletions, not_stop_word
+
+
+def _shape(term: Column, edits: Column, prefix: Column) -> Column:
+    """A way of matching: edits, length of the fixed prefix, and the prefix itself."""
+    return F.concat_ws("/", edits, prefix, F.substring(term, 1, prefix))
+
+
+def _keys(term: Column, edits: Column, prefix: Column, most: int) -> Column:
+    """What is left of the term behind its prefix when up to ``edits`` letters are deleted."""
+    return deletions(F.substring(term, prefix + 1, F.length(term)), edits, most)
 
 
 def expand(vocabulary: DataFrame, terms: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """``(intent, query_term, term, df, exact, w)`` of all vocabulary terms a query term matches.
 
-    ``vocabulary(term, df)`` may be large, ``terms(intent, term, d, p, w)`` is a short table.
-    One equi-join on the word length: each query term is listed under every length it can
-    reach, then compared by its fixed prefix and a bounded edit distance. Exact query terms
-    pass the stop list first, as the headings did.
+    ``vocabulary(term, df)`` may be large, ``terms(intent, term, d, p, w)`` is a short table, of
+    which the driver reads the different pairs of edits ``d`` and prefix length ``p``. Two words
+    within d edits of each other have a common rest after d deletions or fewer in each, and letters
+    that are equal in front need none. So both sides list such rests and are joined on prefix and
+    rest; candidates are those that share one, and the edit distance confirms them. Vocabulary
+    terms whose prefix no query term has list nothing. Exact query terms (no edits) pass the stop
+    list first, as the headings did.
     """
-    name = F.concat_ws("~", "q", F.concat_ws("/", F.col("d"), F.col("p")))
-    reach = F.sequence(F.length("q") - F.col("d"), F.length("q") + F.col("d"))
+    name = F.concat_ws("~", "q", F.concat_ws("/", "d", "p"))
+    shapes = sorted({(row["d"], row["p"]) for row in terms.select("d", "p").collect()})
+    most = max((d for d, _ in shapes), default=0)
     query = (
         terms.select("intent", F.col("term").alias("q"), "d", "p", "w")
         .withColumn("query_term", name)
         .where((F.col("d") > 0) | F.expr(not_stop_word(stop, "q")))
-        .withColumn("word_length", F.explode(reach))
+        .withColumn("shape", _shape(F.col("q"), F.col("d"), F.col("p")))
     )
-    matches = F.expr(
-        "CASE WHEN d = 0 THEN term = q ELSE substring(term, 1, p) = substring(q, 1, p) "
-        "AND levenshtein(term, q, d) >= 0 END"
+    ways = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(p).alias("p")) for d, p in shapes])
+    reachable = (
+        vocabulary.withColumn("way", F.explode(ways))
+        .select("term", "df", "way.d", "way.p")
+        .withColumn("shape", _shape(F.col("term"), F.col("d"), F.col("p")))
+        .join(query.select("shape").distinct(), "shape", "left_semi")
     )
-    return (
-        vocabulary.withColumn("word_length", F.length("term"))
-        .join(query, "word_length")
-        .where(matches)
-        .select("intent", "query_term", "term", "df", (F.col("d") == 0).alias("exact"), "w")
+    rests = reachable.select("term", "df", "shape", F.explode(_keys(F.col("term"), F.col("d"), F.col("p"), most)).alias("rest"))
+    sought = query.withColumn("rest", F.explode(_keys(F.col("q"), F.col("d"), F.col("p"), most)))
+    candidates = rests.join(sought, ["shape", "rest"]).select("intent", "query_term", "q", "d", "w", "term", "df").distinct()
+    return candidates.where("levenshtein(term, q, d) >= 0").select(
+        "intent", "query_term", "term", "df", (F.col("d") == 0).alias("exact"), "w"
     )
