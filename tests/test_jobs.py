@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from vakanz.operators.scoring import search
 from vakanz.plans import jobs
 from vakanz.sources.store import Store, read_pages, read_stop_words, stop_word_list
 
@@ -139,3 +142,95 @@ def test_plan_of_requests(spark, store):
     jobs.plan_requests(store, "koch", first.withColumn("html", F.lit("<b>nichts</b>")), "x")
     assert store.read("requests", "koch").count() == 0
     assert [tuple(r) for r in store.read("rejects/counts", "koch").collect()] == [("counts", "koch", "no result count")]
+
+
+def test_a_write_that_dies_leaves_what_was_there(spark, store):
+    results, pages = landed(spark, 3)
+    jobs.run(store, "koch", {1, 2}, results.withColumn("search_term", F.lit("koch")), pages)
+    before = sorted(map(tuple, store.read("index/paragraphs", "koch").collect()))
+    dying = store.read("index/paragraphs", "koch").repartition(4).withColumn(
+        "paragraph_heading", F.when(F.col("paragraph_number") == 3, F.raise_error(F.lit("lost"))).otherwise(F.lit("new"))
+    )
+    versions = store.versions("index/paragraphs")
+    with pytest.raises(Exception, match="lost"):
+        store.write(dying, "koch", "index/paragraphs")
+    with pytest.raises(Exception, match="lost"):
+        store.write_terms(dying.withColumn("search_term", F.lit("koch")), spark.createDataFrame([("koch",)], "term string"), "index/paragraphs")
+    assert store.versions("index/paragraphs") == versions
+    assert sorted(map(tuple, store.read("index/paragraphs", "koch").collect())) == before
+    lines = spark.createDataFrame([("task_frequency", 0, "a,1")], "report string, line_no long, value string")
+    path = store.write_reports(lines, "koch", ["task_frequency"])
+    with pytest.raises(Exception, match="lost"):
+        store.write_reports(lines.withColumn("value", F.raise_error(F.lit("lost"))), "koch", ["task_frequency"])
+    assert store.path("reports", "koch") == path and spark.read.text(path).count() == 1
+
+
+def test_old_versions_are_removed(spark, store):
+    rows = spark.createDataFrame([("links", "k", "r")], "stage string, key string, reason string")
+    for term in ("a", "b", "a", "a"):
+        store.write(rows, term, "rejects/links")
+    store.write(rows, "b", "rejects/links", adds=True)
+    assert len(store.versions("rejects/links")) == 5
+    store.clean("rejects/links")
+    assert len(store.versions("rejects/links")) == 3
+    assert store.read("rejects/links", "a").count() == 1 and store.read("rejects/links", "b").count() == 2
+
+
+def test_many_terms_in_one_plan(spark, store):
+    results, pages = landed(spark, 6)
+    names = ["007", "2024-01-01", "a/b", " Ä ö "]
+    listings = results.where("page_no = 10").limit(1)
+    listings = listings.withColumn("search_term", F.explode(F.array(*map(F.lit, names))))
+    terms = spark.createDataFrame([(n,) for n in [*names, "none"]], "search_term string")
+    jobs.run_terms(store, terms, listings, pages)
+    for name in names:
+        assert store.read("postings", name).count() == 6 and store.read_links(name).count() == 6
+    assert store.read("postings", "none").count() == 0 and not store.available("links", "none")
+    wanted = spark.createDataFrame([("007",), ("ä ö",)], "term string")
+    rows = store.read_terms("postings", wanted)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert {(r["search_term"], r["count"]) for r in rows.groupBy("search_term").count().collect()} == {("007", 6), ("ä ö", 6)}
+    links = store.read_links_of(wanted)
+    assert "dynamicpruning" in links._jdf.queryExecution().executedPlan().toString() and links.count() == 12
+    # A later run replaces one of the terms only.
+    jobs.run_terms(store, terms.limit(1), listings.where("false"), pages)
+    assert store.read("postings", "007").count() == 0 and store.read("postings", "a/b").count() == 6
+
+
+def test_later_runs_add_what_is_new(spark, store):
+    results, pages = landed(spark, 8)
+    few, some = pages.where("page_id < 5"), pages.where("page_id < 8")
+    links, _ = jobs.gather_links(results.where("page_no = 10").withColumn("search_term", F.lit("koch")).limit(1))
+    assert jobs.add_links(store, "koch", links.limit(3), "pos").count() == 3
+    assert jobs.add_links(store, "koch", links, "pos").count() == 5 and store.read_links("koch").count() == 8
+    assert jobs.add_links(store, "koch", links, "pos").count() == 0 and len(store.versions("links")) == 2
+    assert jobs.add_postings(store, "koch", jobs.parse_pages(few)[0]).count() == 5
+    assert jobs.add_postings(store, "koch", jobs.parse_pages(some)[0]).count() == 3
+    assert jobs.add_postings(store, "koch", jobs.parse_pages(some)[0]).count() == 0
+    rows = store.read("postings", "koch")
+    assert rows.count() == 8 and rows.select("posting_id").distinct().count() == 8
+    known = store.known("postings", "koch", ["0", "1", "2"])
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[slice#\d+ IN \(0,1,2\)", plan) and known.count() <= 8
+
+
+def test_reports_read_the_stored_index_only(spark, store):
+    results, pages = landed(spark)
+    stop = read_stop_words(spark)
+    jobs.run(store, "koch", {1, 2}, results.withColumn("search_term", F.lit("koch")), pages, stop=stop)
+    scored, status = jobs.search_stored(store, "koch", jobs.intent_terms())
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "GreaterThanOrEqual(term" in plan
+    headings = store.read("index/paragraphs", "koch")
+    again, expected = search(headings, jobs.KEYS, "paragraph_heading", 12, jobs.intent_terms(), stop_word_list(stop))
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, again.collect())) and scored.count()
+    assert sorted(map(tuple, status.collect())) == sorted(map(tuple, expected.collect()))
+    lines = []
+    for words in (stop, stop_word_list(stop)):
+        path = jobs.present(store, "koch", {1, 2, 3}, words)
+        lines.append(sorted(spark.read.text(path).collect(), key=lambda r: r["report"]))
+    assert lines[0] == lines[1] and lines[0]
+    buckets = [jobs.present(store, "koch", {1}, words, keep_null_bucket=True) for words in (stop, stop_word_list(stop))]
+    one, other = ([r["value"] for r in spark.read.text(b).where("report = 'task_frequency'").collect()] for b in buckets)
+    assert one == other

@@ -190,3 +190,27 @@ def test_no_python_workers(spark, name):
 
     plan = entry.queries()[name](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(before[j] + (x != y), before[j + 1] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_expansion_by_deletions_finds_what_comparing_all_finds(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abä") for _ in range(rng.randrange(0, 8)))
+    vocabulary = sorted({word() for _ in range(400)})
+    queries = set()
+    for _ in range(60):
+        d = rng.randrange(0, 4)
+        queries.add(("i", word() or "a", d, rng.randrange(0, 5) if d else 0, 1.0))
+    terms = spark.createDataFrame(sorted(queries), "intent string, term string, d int, p int, w double")
+    words = spark.createDataFrame([(w, 1) for w in vocabulary], "term string, df long")
+    found = sorted((r["query_term"], r["term"]) for r in expand(words, terms).collect())
+    near = lambda q, d, p, w: w == q if d == 0 else w[:p] == q[:p] and _distance(q, w) <= d
+    assert found == sorted((f"{q}~{d}/{p}", w) for _, q, d, p, _ in queries for w in vocabulary if near(q, d, p, w))

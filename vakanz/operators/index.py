@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vakanz.functions.render import mean2
@@ -51,6 +51,20 @@ def inverted_index(
     return df.select(*keys, F.inline(term_counts(found))).select("term", *keys, "tf")
 
 
+def heading_terms(
+    paragraphs: DataFrame, keys: Sequence[str], heading: str, stop_words: DataFrame | None = None
+) -> DataFrame:
+    """``(term, keys, tf, length)``: the inverted index of headings, with the tokens of each heading.
+
+    Stop words, a table of any length, are dropped after counting and before lengths are taken.
+    """
+    found = inverted_index(paragraphs, keys, heading)
+    if stop_words is not None:
+        found = drop_stop_words(found, "term", stop_words)
+    length = F.sum("tf").over(Window.partitionBy(*keys)).cast("int")
+    return found.withColumn("tf", F.col("tf").cast("int")).withColumn("length", length)
+
+
 def term_stats(index: DataFrame) -> DataFrame:
     """Documents and occurrences per term."""
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

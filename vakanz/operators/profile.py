@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz.functions.text import bucketed_words, ranked_words
+from vakanz.operators.index import drop_stop_words
 from vakanz.operators.ranking import global_rank, keep_from_cutoff, rank_slice
+from vakanz.runtime import broadcast_if_small
 
 # A word's place: rank of its hit (BIGINT), then its place in the hit (INT, up to ten digits).
 _PLACES = "1" + "0" * 10
@@ -43,6 +45,18 @@ def term_frequency(
     )
 
 
+def drop_stop_terms(counts: DataFrame, stop_words: DataFrame, keep_null_bucket: bool = False) -> DataFrame:
+    """``term_frequency`` without the words of a table of any length, which meets the counts only.
+
+    With ``keep_null_bucket`` they are counted with the NULL term of their intent.
+    """
+    if not keep_null_bucket:
+        return drop_stop_words(counts, "term", stop_words)
+    stop = broadcast_if_small(stop_words.select("term", F.lit(True).alias("_stop")))
+    kept = counts.join(stop, "term", "left").withColumn("term", F.when(F.col("_stop").isNull(), F.col("term")))
+    return kept.groupBy("intent", "term").agg(F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen"))
+
+
 def rank_terms(counts: DataFrame) -> DataFrame:
     """Terms by count, ties in first-seen order: adds ``rnk`` and ``entries``."""
     return global_rank(
@@ -64,10 +78,16 @@ def term_profile(
     paragraphs: DataFrame,
     keys: Sequence[str],
     content: str,
-    stop: Sequence[str] = (),
+    stop: Sequence[str] | DataFrame = (),
     keep_null_bucket: bool = False,
 ) -> DataFrame:
-    """``(intent, term, cnt, rnk)``: the middle ranks of the terms in the better half of the hits."""
+    """``(intent, term, cnt, rnk)``: the middle ranks of the terms in the better half of the hits.
+
+    ``stop`` is a list that becomes part of the plan, or a table of any length.
+    """
     hits = kept_contents(scored, paragraphs, keys, content)
-    counts = term_frequency(hits, content, F.col("rnk"), stop, keep_null_bucket)
+    table = isinstance(stop, DataFrame)
+    counts = term_frequency(hits, content, F.col("rnk"), () if table else stop, keep_null_bucket)
+    if table:
+        counts = drop_stop_terms(counts, stop, keep_null_bucket)
     return rank_slice(rank_terms(counts)).select("intent", "term", "cnt", "rnk")

@@ -6,8 +6,10 @@ of the terms found at all gain (coordination). The collection is postings plus p
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from vakanz.runtime import durable
 # The usual BM25 constants, and the precision scores are compared at.
 K1, B = 1.2, 0.75
 MICRO = 1_000_000
+# Ranges of terms that a search reads.
+RANGES = 64
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -42,9 +47,16 @@ def tokenised(paragraphs: DataFrame, heading: str, stop: Sequence[str]) -> DataF
 
 def expanded_terms(
     headings: DataFrame, terms: DataFrame, stop: Sequence[str], documents: int
+) -> DataFrame:
+    """``weighed_terms`` of the vocabulary of tokenised headings."""
+    return weighed_terms(heading_vocabulary(headings, "tokens"), terms, stop, documents)
+
+
+def weighed_terms(
+    vocabulary: DataFrame, terms: DataFrame, stop: Sequence[str], documents: int
 ) -> DataFrame:
     """Expanded vocabulary with ``s``: weight times idf for exact terms, weight for fuzzy ones."""
-    found = expand(heading_vocabulary(headings, "tokens"), terms, stop)
+    found = expand(vocabulary, terms, stop)
     idf = F.log(F.lit(float(documents)) / (F.col("df") + 1)) + 1
     return found.withColumn("s", F.when(F.col("exact"), F.col("w") * idf).otherwise(F.col("w")))
 
@@ -63,18 +75,25 @@ def _coordinated(total: Column, matched: Column, found: Column) -> Column:
 
 def score(
     headings: DataFrame, keys: Sequence[str], expanded: DataFrame, size: Collection
+) -> DataFrame:
+    """``score_terms`` of tokenised headings, whose tokens are counted in their row."""
+    rows = headings.select(*keys, F.size("tokens").alias("length"), F.inline(term_counts(F.col("tokens"))))
+    return score_terms(rows, keys, expanded, size)
+
+
+def score_terms(
+    index: DataFrame, keys: Sequence[str], expanded: DataFrame, size: Collection
 ) -> DataFrame:
     """``(keys, intent, score_micro)`` of the headings that match.
 
-    Tokens are counted in the row of their heading, joined with the (written) expanded vocabulary
-    and aggregated per heading; contents take no part. ``keys`` identify a heading: rows of equal
+    ``index(term, keys, tf, length)`` is joined with the (written) expanded vocabulary and
+    aggregated per heading; contents take no part. ``keys`` identify a heading: rows of equal
     keys are one heading. Intents for which a single vocabulary term matches have no scores.
     """
     found = expanded.groupBy("intent").agg(F.countDistinct("term").alias("found"))
     found = found.where("found > 1")
     scored = (
-        headings.select(*keys, F.size("tokens").alias("length"), F.inline(term_counts(F.col("tokens"))))
-        .join(expanded, "term")
+        index.join(expanded, "term")
         .groupBy(*keys, "intent")
         .agg(
             F.sum(
@@ -117,8 +136,13 @@ def search_tokens(
     """``search`` over stored ``(keys, tokens)``."""
     size = collection(headings, postings)
     expanded = durable(expanded_terms(headings, terms, stop, size.documents))
+    return score(headings, keys, expanded, size), search_status(expanded, terms)
+
+
+def search_status(expanded: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(intent, status)`` of all intents of ``terms``."""
     found = expanded.groupBy("intent").agg(F.countDistinct("term").alias("found"))
-    status = (
+    return (
         terms.select("intent")
         .distinct()
         .join(found, "intent", "left")
@@ -130,4 +154,32 @@ def search_tokens(
             .alias("status"),
         )
     )
-    return score(headings, keys, expanded, size), status
+
+
+def term_ranges(expanded: DataFrame) -> list[tuple[str, str]]:
+    """Least and greatest term of at most ``RANGES`` ranges that hold all expanded terms.
+
+    Terms that begin alike are one range; one row for each two first letters reaches the driver.
+    """
+    found = expanded.groupBy(F.substring("term", 1, 2)).agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    rows = sorted((row["low"], row["high"]) for row in found.collect())
+    step = -(-len(rows) // RANGES) or 1
+    return [(rows[i][0], rows[min(i + step, len(rows)) - 1][1]) for i in range(0, len(rows), step)]
+
+
+def in_ranges(term: str, ranges: Sequence[tuple[str, str]]) -> Column:
+    """A condition that file statistics can decide."""
+    within = [(F.col(term) >= low) & (F.col(term) <= high) for low, high in ranges]
+    return reduce(operator.or_, within, F.lit(False))
+
+
+def search_index(
+    index: DataFrame, vocabulary: DataFrame, keys: Sequence[str], size: Collection, terms: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``search`` over a stored ``index(term, keys, tf, length)`` without stop words, sorted by term.
+
+    Nothing is tokenised; of the index the ranges of the expanded terms are read.
+    """
+    expanded = durable(weighed_terms(vocabulary, terms, (), size.documents))
+    wanted = index.where(in_ranges("term", term_ranges(expanded)))
+    return score_terms(wanted, keys, expanded, size), search_status(expanded, terms)

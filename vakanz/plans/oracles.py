@@ -291,6 +291,16 @@ def oracle_sql() -> dict[str, str]:
         "stored_postings": f"""{_DOC_SECTIONS},
             f AS (SELECT doc_id, lang, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id)
             SELECT url, title FROM f WHERE lang <> 'de' GROUP BY url, title, lang, organization""",
+        "added_postings": f"""{_DOC_SECTIONS},
+            f AS (SELECT doc_id, lang, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id)
+            SELECT url, title, CAST(CASE WHEN lang <> 'de' THEN 0 ELSE 1 END AS INTEGER) AS run
+            FROM f GROUP BY url, title, lang, organization""",
+        "stage_reuse": f"""{_DOC_SECTIONS},
+            f AS (SELECT doc_id, lang, n_sections, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id WHERE lang = 'de'),
+            u AS (SELECT any_value(n_sections) AS n FROM f GROUP BY url, title, lang, organization)
+            SELECT 'links' AS stage, count(*) AS n FROM documents WHERE lang = 'de'
+            UNION ALL SELECT 'postings', count(*) FROM u
+            UNION ALL SELECT 'paragraphs', CAST(sum(n) AS BIGINT) FROM u""",
         "stored_index": f"""{_DOC_SECTIONS},
             f AS (SELECT doc_id, lang, n_sections, {_POSTING_FIELDS} FROM documents JOIN usable ON id = doc_id),
             u AS (SELECT any_value(n_sections) AS n FROM f GROUP BY url, title, lang, organization)
@@ -380,6 +390,7 @@ def oracle_sql() -> dict[str, str]:
             FROM found WHERE total = 1""",
     }
     found["stored_reports"] = f"SELECT report, unnest(string_split(value, chr(10))) AS value FROM ({found['report_lines']})"
+    found["stored_search"], found["job_reports"] = found["ranked_search"], found["stored_reports"]
     for intent in ("tasks", "requirements", "benefits"):
         found[f"{intent}_profile"] = (
             f"WITH {_COUNTED}, {_RANKED} SELECT term, cnt, rnk FROM sliced WHERE intent = '{intent}'"

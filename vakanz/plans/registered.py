@@ -25,7 +25,7 @@ from vakanz.plans import derived as D
 from vakanz.plans import jobs
 from vakanz.plans.vocabulary import intent_terms
 from vakanz.runtime import accepted, durable, items, rejects, stage_folder
-from vakanz.sources.store import Store, export_name, read_stop_words
+from vakanz.sources.store import Store, export_name, read_stop_words, term_column
 
 STOP = BUILT_IN
 PAGE_TAGS = ("h1", "b")
@@ -375,14 +375,13 @@ def _store(spark: SparkSession) -> Store:
 
 
 def stored_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Unique links, stored by search term; one of the terms looks like a number."""
+    """Unique links of all search terms, written and read in one plan each; terms look like anything."""
     store, found = _store(spark), durable(listing_first_links(spark, folder))
-    names = {"de": "007", "en": "a/b", "es": "2024-01-01", "fr": " Koch "}
-    frames = []
-    for lang, term in names.items():
-        store.write_links(found.where(F.col("search_term") == lang), term, "page_no", "pos")
-        frames.append(store.read_links(term))
-    return frames[0].unionAll(frames[1]).unionAll(frames[2]).unionAll(frames[3])
+    names = F.create_map(*[F.lit(x) for x in ("de", "007", "en", "a/b", "es", "2024-01-01", "fr", " Koch ")])
+    found = found.withColumn("search_term", F.element_at(names, F.col("search_term")))
+    terms = found.select(term_column("search_term").alias("term")).distinct()
+    store.write_links_of(found, terms, "page_no", "pos")
+    return store.read_links_of(terms)
 
 
 def stored_postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -396,6 +395,31 @@ def stored_postings(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("postings", "007").select("url", "title")
 
 
+def added_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings gathered in three runs that overlap, and the run that added each."""
+    store = _store(spark)
+    found, _ = jobs.parse_pages(D.posting_pages(_documents(spark, folder, "text", "lang", "source")))
+    found = durable(found)
+    runs = (found.where("educational_requirements <> 'de'"), found, found)
+    added = [jobs.add_postings(store, "koch", run).select("posting_id", F.lit(n).alias("run")) for n, run in enumerate(runs)]
+    by_run = added[0].unionAll(added[1]).unionAll(added[2])
+    return store.read("postings", "koch").join(by_run, "posting_id").select("url", "title", "run")
+
+
+def stage_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """What a job finds stored of each stage, after runs that leave some stages out."""
+    store, documents = _store(spark), _documents(spark, folder, "text", "lang", "source")
+    pages = D.posting_pages(documents).withColumn("url", F.col("page_id").cast("string"))
+    results = D.result_pages(documents).where("search_term = 'de'")
+    jobs.run(store, "de", set(), results, None)
+    store.write_links(pages.join(documents.where("lang = 'de'"), F.col("page_id") == F.col("doc_id")), "de", "page_id")
+    jobs.run(store, "de", {jobs.PARSE}, None, pages, use_stored_links=True)
+    jobs.run(store, "de", {jobs.PARSE, jobs.INDEX}, None, None, use_stored_links=True, use_stored_postings=True)
+    postings, paragraphs = store.open_index("de")
+    sizes = [("links", store.read_links("de").count()), ("postings", postings.count()), ("paragraphs", paragraphs.count())]
+    return spark.createDataFrame(sizes, "stage string, n long")
+
+
 def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark)
     found, _ = jobs.parse_pages(D.posting_pages(_documents(spark, folder, "text", "lang", "source")))
@@ -403,6 +427,29 @@ def stored_index(spark: SparkSession, folder: str) -> DataFrame:
     return I.index_counts(*store.open_index("koch"))
 
 
+def _indexed(spark: SparkSession, folder: str) -> Store:
+    """A store whose index holds each document as a posting of one paragraph."""
+    store, key = _store(spark), F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("posting_id")
+    paragraphs = _headed(spark, folder).select(
+        key, F.lit(0).alias("paragraph_number"), F.col("heading").alias("paragraph_heading"), F.col("content").alias("paragraph_content")
+    )
+    others = [F.lit(None).alias(c) for c in I.INDEXED if c != "posting_id"]
+    store.write_index(_documents(spark, folder).select(key, *others), paragraphs, "koch", read_stop_words(spark))
+    return store
+
+
+def stored_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the headings as a stored index has them; nothing is tokenised again."""
+    scored, _ = jobs.search_stored(_indexed(spark, folder), "koch", intent_terms())
+    return scored.select(F.col("posting_id").cast("bigint").alias("doc_id"), "intent", _score())
+
+
+def job_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports that a job writes from a stored index, with stop words as a table."""
+    path = jobs.present(_indexed(spark, folder), "koch", {1, 2, 3}, read_stop_words(spark))
+    return spark.read.text(path).select("report", "value")
+
+
 def stored_reports(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark)
     lines = durable(report_lines(spark, folder))
@@ -421,6 +468,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fuzzy_expand, ranked_search, search_status, score_cutoff, median_cut, term_counts,
         term_counts_null_bucket, term_profile, rank_slice, report_lines, stored_links,
         stored_postings, stored_index, stored_reports,
+        stored_search, job_reports, added_postings, stage_reuse,
     ]
     found = {query.__name__: query for query in named}
     for intent in ("tasks", "requirements", "benefits"):

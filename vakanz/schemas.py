@@ -41,6 +41,10 @@ POSTING_INDEX = _fields(
     experience_requirements=_S,
 )
 
+HEADING_TERMS = _fields(term=_S, posting_id=_S, paragraph_number=_I, tf=_I, length=_I)
+VOCABULARY = _fields(term=_S, df=_L)
+STATISTICS = _fields(postings=_L, paragraphs=_L, tokens=_L)
+
 # Stored tables by stage.
 STAGES = {
     "rejects/links": REJECTS,
@@ -50,4 +54,11 @@ STAGES = {
     "postings": POSTINGS,
     "index/postings": POSTING_INDEX,
     "index/paragraphs": PARAGRAPHS,
+    "index/terms": HEADING_TERMS,
+    "index/vocabulary": VOCABULARY,
+    "index/statistics": STATISTICS,
 }
+
+# Stages whose rows have a fingerprint, and how many of its first characters make a range.
+SLICED = {"postings": "posting_id"}
+SLICE_CHARS = 1
