@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,9 @@ from vakanz.functions import html as H
 from vakanz.functions import links as L
 from vakanz.functions import render as R
 from vakanz.functions import text as X
+from vakanz.functions.arrays import matching_ends
 from vakanz.functions.stopwords import BUILT_IN, ENGLISH, GERMAN
+from vakanz.operators import links as LK
 from vakanz.plans import vocabulary
 
 
@@ -190,3 +194,47 @@ def test_running_values_over_blocks(spark):
     found = rows.select("v", A.running_sums(F.col("v")).alias("sums"), A.running_maxima(F.col("v")).alias("most"))
     for row in found.collect():
         assert row["sums"] == list(accumulate(row["v"])) and row["most"] == list(accumulate(row["v"], max))
+
+
+def _random_page(rng):
+    out = []
+    for _ in range(rng.randrange(1, 25)):
+        name = rng.choice(["div", "b", "p", "i"])
+        out.append(rng.choice([f"<{name}>", f"</{name}>", f"<{name}>", "<br>", "long text", "x", "</em>", f"<{name}>long</{name}>"]))
+    return "".join(out)
+
+
+def test_late_text_by_depth_is_that_read_in_turn(spark):
+    rng = random.Random(3)
+    pages = [(i, _random_page(rng)) for i in range(400)]
+    tags, pairs, steps = F.col("tags"), F.col("pairs"), F.col("steps")
+    found = (
+        spark.createDataFrame(pages, "id long, page string")
+        .withColumn("tags", H.tags(F.col("page")))
+        .withColumn("pairs", H.tag_pairs(tags))
+        .withColumn("steps", H.pair_steps(pairs))
+        .withColumn("nested", matching_ends(steps))
+        .withColumn("depths", H.tag_depths(tags, steps))
+        .select(H.crossing(pairs, F.col("nested")).alias("crossing"), H.late_by_depth(tags, F.col("depths"), 4).alias("a"), H.late_in_turn(tags, 4).alias("b"))
+        .collect()
+    )
+    assert all(r["a"] == r["b"] for r in found if not r["crossing"])
+    assert 5 < sum(r["crossing"] for r in found) < 200 and sum(any(r["b"]) for r in found) > 50
+
+
+def test_matching_ends(spark):
+    events = [("a", 0, 1), ("b", 1, 1), ("a", 2, -1), ("b", 3, -1), ("a", 4, -1), ("a", 5, 1), ("c", 6, -1), ("a", 7, 1), ("a", 8, -1)]
+    rows = spark.createDataFrame([(events,), ([],)], "e array<struct<name:string,place:int,step:bigint>>")
+    found = [[tuple(x) for x in r["m"]] for r in rows.select(matching_ends(F.col("e")).alias("m")).collect()]
+    assert found == [[(0, 2), (1, 3), (5, None), (7, 8)], []]
+
+
+def test_nested_sections_take_their_links_from_within(spark):
+    page = (
+        "<section data-jobid=1><div><section data-jobid=2><p class=entry>ad</p><a href='/job/aaaaaaaa'>x</a></section>"
+        "<section data-jobid=3><p>y</section></div></section><a href='/job/cccccccc'>out</a>"
+        "<section data-jobid=4><section><p class=entry>in</p></section><section data-jobid=5>z</p><a href='/job/bbbbbbbb'>x</a>"
+    )
+    pages = spark.createDataFrame([("t", 1, page)], "search_term string, page_no int, html string")
+    found = LK.listing_links(pages).orderBy("pos").collect()
+    assert [(r["pos"], r["url"]) for r in found] == [(0, "/job/aaaaaaaa"), (1, None), (2, "/job/bbbbbbbb"), (3, "/job/bbbbbbbb")]

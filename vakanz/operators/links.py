@@ -7,74 +7,87 @@ from pyspark.sql import functions as F
 
 from vakanz.functions import html as H
 from vakanz.functions import links as L
-from vakanz.functions.arrays import running_sums
+from vakanz.functions.arrays import following, matching_ends, running_sums
+from vakanz.runtime import items
 
-_VOID = "|".join(H.VOID_TAGS)
-# Paragraphs cannot hold each other: one ends where the next starts, so they have no depth.
-_OPEN = rf"(?i)<(?!(?:{_VOID}|p)\b)[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>"
-_CLOSE = r"(?i)</(?!p\b)[a-zA-Z]"
-_TAG_END = r"""^((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
-_SECTION_END = r"(?i)</section\s*>"
 
+def _is_start(t: Column, name: str) -> Column:
+    return (t["step"] > 0) & (t["tag"] == name)
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
+def _depth_step(t: Column) -> Column:
+    """Paragraphs cannot hold each other, one ends where the next starts: they have no depth."""
+    flat = (t["tag"] == "p") | ((t["step"] > 0) & F.endswith(t["attrs"], F.lit("/")))
+    return F.when(flat, 0).otherwise(t["step"]).cast("bigint")
 
-def _attrs_of(piece: Column) -> Column:
-    return F.regexp_extract(piece, _TAG_END, 1)
 
+def _href(t: Column) -> Column:
+    return F.when((t["step"] >= 0) & F.contains(F.lower(t["attrs"]), F.lit("href")), H.attribute(t["attrs"], "href"))
 
-def _first_href(fragment: Column) -> Column:
-    attrs = F.regexp_extract_all(fragment, F.lit(H.START_TAG), F.lit(2))
-    with_href = F.filter(attrs, lambda a: F.contains(F.lower(a), F.lit("href")))
-    hrefs = F.transform(with_href, lambda a: H.attribute(a, "href"))
-    return F.get(F.filter(hrefs, lambda h: h.isNotNull()), F.lit(0))
 
+def _mark(x: Column, links: Column) -> Column:
+    return F.struct(x["depths"].alias("depth"), x["tags"]["place"].alias("place"), links.alias("links"))
 
-def _is_advert(body: Column) -> Column:
-    """True when an entry paragraph is a direct child: no other element is open before it."""
 
-    def any_entry(parts: Column) -> Column:
-        balance = F.transform(parts, lambda p: _count(p, _OPEN) - _count(p, _CLOSE))
-        entry = F.transform(
-            parts, lambda p, i: (i > 0) & F.coalesce(H.attribute(_attrs_of(p), "class") == "entry", F.lit(False))
-        )
-        depth = F.zip_with(running_sums(balance), balance, lambda after, own: after - own)
-        direct = F.zip_with(entry, depth, lambda e, d: e & (d == 0))
-        return F.when(F.exists(entry, lambda e: e), F.exists(direct, lambda d: d)).otherwise(False)
+def _next_entries(both: Column) -> Column:
+    """From sections and entries (without ``links``), by depth and place, each section's next entry at its depth."""
+    is_entry = lambda x: x["links"].isNull()
+    passed = running_sums(F.transform(both, lambda x: is_entry(x).cast("bigint")))
 
-    return H.let(F.split(body, r"(?i)<p(?=[\s>])"), any_entry)
+    def found(entries: Column) -> Column:
+        def section(x: Column, n: Column) -> Column:
+            entry = F.get(entries, n.cast("int"))
+            at = F.when(entry["depth"] == x["depth"], entry["place"])
+            return F.when(~is_entry(x), F.struct(x["place"].alias("place"), F.lit(0).alias("kind"), at.alias("at"), x["links"].alias("links")))
 
+        return F.filter(F.zip_with(both, passed, section), lambda x: x.isNotNull())
 
-def _bodies(pieces: Column) -> Column:
-    """``array<struct<body>>`` of the sections with a job id, from the text between one start tag and the next.
+    return H.let(F.filter(both, is_entry), found)
 
-    A section that closes before the next one starts ends there. Otherwise it holds the ones that
-    follow, up to the end tag of its own depth.
-    """
 
-    def section(piece: Column, index: Column) -> Column:
-        own = F.regexp_replace(piece, _TAG_END, "")
-        nested = F.slice(pieces, index + 2, F.size(pieces))
-        scan = F.aggregate(
-            nested,
-            F.struct(F.lit(1).cast("bigint").alias("depth"), F.array().cast("array<string>").alias("held")),
-            lambda acc, inner: F.when(acc["depth"] <= 0, acc).otherwise(
-                F.struct(
-                    (acc["depth"] + 1 - _count(inner, _SECTION_END)).alias("depth"),
-                    F.array_append(acc["held"], inner).alias("held"),
-                )
-            ),
-        )
-        whole = F.concat(own, F.lit("<section"), F.array_join(scan["held"], "<section"))
-        body = F.when(F.regexp_like(own, F.lit(_SECTION_END)), F.get(F.split(own, _SECTION_END, 2), F.lit(0)))
-        return F.struct(F.coalesce(body, whole).alias("body"))
-
-    wanted = F.transform(
-        pieces, lambda p, i: F.when(H.attribute(_attrs_of(p), "data-jobid").isNotNull(), section(p, i))
+def _first_links(sections: Column, ends: Column, urls: Column) -> Column:
+    """The first URL (or NULL) in each section, without adverts: those whose entry lies before their end."""
+    closed = F.transform(
+        ends, lambda e: F.struct(e["place"].alias("place"), F.lit(1).alias("kind"), e["end"].alias("at"), F.lit(None).cast("bigint").alias("links"))
     )
-    return F.filter(wanted, lambda s: s.isNotNull())
+
+    def link(x: Column, y: Column) -> Column:
+        # Behind each section stands its start among those of all sections, with its end.
+        within = lambda place: F.coalesce(place < y["at"], place.isNotNull())
+        url = F.get(urls, x["links"].cast("int"))
+        return F.when((x["kind"] == 0) & ~within(x["at"]), F.struct(F.when(within(url["place"]), url["url"]).alias("url")))
+
+    found = H.let(F.array_sort(F.concat(sections, closed)), lambda rows: following(rows, link))
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: x["url"])
+
+
+def _with_section_links(pages: DataFrame, html: str, into: str) -> DataFrame:
+    """Add the first link (or NULL) of each section with a job id that is no advert, in page order.
+
+    A section reaches to its matching end tag and holds the ones nested in it; one that never closes
+    reaches to the end of the page. It is an advert if an entry paragraph is its direct child:
+    before its end, at its own depth. Places, depths and ends are found once for a page, by sorting,
+    and looked up by section, so nested sections are not read again for those around them.
+    """
+    place = lambda x: F.struct(x["tags"]["place"].alias("place"), x["hrefs"].alias("url"))
+    event = lambda t: F.struct(F.lit("").alias("name"), t["place"].alias("place"), t["step"].alias("step"))
+    with_id = lambda x: _is_start(x["tags"], "section") & H.attribute(x["tags"]["attrs"], "data-jobid").isNotNull()
+    entry = lambda x: _is_start(x["tags"], "p") & F.coalesce(H.attribute(x["tags"]["attrs"], "class") == "entry", F.lit(False))
+    return (
+        pages.withColumn("tags", H.tags(H.strip_code(F.col(html))))
+        .withColumn("hrefs", F.transform("tags", _href))
+        .withColumn("before", running_sums(F.transform("hrefs", lambda h: h.isNotNull().cast("bigint"))))
+        .withColumn("depths", running_sums(F.transform("tags", _depth_step)))
+        .withColumn("placed", F.arrays_zip("tags", "hrefs", "before", "depths"))
+        .withColumn("urls", F.transform(F.filter("placed", lambda x: x["hrefs"].isNotNull()), place))
+        .withColumn("ends", matching_ends(F.transform(F.filter("tags", lambda t: t["tag"] == "section"), event)))
+        .withColumn("both", F.array_sort(F.concat(
+            F.transform(F.filter("placed", with_id), lambda x: _mark(x, x["before"])),
+            F.transform(F.filter("placed", entry), lambda x: _mark(x, F.lit(None).cast("bigint"))),
+        )))
+        .withColumn("sections", _next_entries(F.col("both")))
+        .withColumn(into, _first_links(F.col("sections"), F.col("ends"), F.col("urls")))
+    )
 
 
 def listing_links(pages: DataFrame) -> DataFrame:
@@ -83,10 +96,8 @@ def listing_links(pages: DataFrame) -> DataFrame:
     ``pages(search_term, page_no, html)`` -> ``(search_term, page_no, pos, url, job_id, reason)``;
     ``reason`` is set where a section has no link or the link has no id.
     """
-    pieces = F.slice(F.split(H.strip_code(F.col("html")), r"(?i)<section(?=[\s>])"), 2, 1_000_000_000)
-    sections = F.filter(H.let(pieces, _bodies), lambda s: ~_is_advert(s["body"]))
-    hrefs = F.transform(sections, lambda s: _first_href(s["body"]))
-    return _with_ids(pages.select("search_term", "page_no", F.posexplode(hrefs).alias("pos", "url")))
+    found = _with_section_links(pages.select("search_term", "page_no", "html"), "html", "found")
+    return _with_ids(found.select("search_term", "page_no", F.posexplode(items("found")).alias("pos", "url")))
 
 
 def anchor_links(pages: DataFrame, *keys: str, id_pattern: str = L.JOB_ID) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vakanz.functions import html as H
-from vakanz.functions.arrays import running_maxima
+from vakanz.functions.arrays import matching_ends, running_maxima
 from vakanz.functions.text import sanitize
 
 # What counts as a heading, and the size rules of sections.
@@ -26,25 +26,37 @@ def flat_description(description: Column) -> Column:
     return H.strip_code(one_line)
 
 
-def text_nodes(flat: Column) -> Column:
-    """Elements that carry text. Where the first text follows a child, ``text`` is NULL."""
-    lead = F.when(F.startswith(flat, F.lit("<")), 0).otherwise(1)
-    late = F.when(H.may_have_late_text(flat), H.late_text_elements(flat, MIN_TEXT)).otherwise(
-        F.array().cast("array<int>")
-    )
+def with_text_nodes(df: DataFrame, flat: str, into: str) -> DataFrame:
+    """Add the elements that carry text. Where the first text follows a child, ``text`` is NULL.
+
+    Everything about late text is NULL, and not computed, for pages that cannot have any.
+    """
+    return (
+        df.withColumn("_tags", F.when(H.may_have_late_text(F.col(flat)), H.tags(F.col(flat))))
+        .withColumn("_pairs", H.tag_pairs(F.col("_tags")))
+        .withColumn("_steps", H.pair_steps(F.col("_pairs")))
+        .withColumn("_nested", matching_ends(F.col("_steps")))
+        .withColumn("_depths", H.tag_depths(F.col("_tags"), F.col("_steps")))
+        .withColumn(
+            "_late",
+            F.when(H.crossing(F.col("_pairs"), F.col("_nested")), H.late_in_turn(F.col("_tags"), MIN_TEXT))
+            .otherwise(H.late_by_depth(F.col("_tags"), F.col("_depths"), MIN_TEXT)),
+        )
+        .withColumn(into, _text_nodes(F.col(flat), F.col("_late")))
+        .drop("_tags", "_pairs", "_steps", "_nested", "_depths", "_late")
+    )
 
-    def numbered(late: Column) -> Column:
-        return F.when(F.size(late) == 0, H.nodes(flat)).otherwise(F.transform(
-            H.nodes(flat),
-            lambda n, i: F.struct(
-                n["tag"].alias("tag"),
-                F.when(~F.array_contains(late, i - lead), n["text"]).alias("text"),
-            ),
-        ))
 
-    return F.filter(
-        H.let(late, numbered), lambda n: n["text"].isNull() | (F.length(n["text"]) >= MIN_TEXT)
+def _text_nodes(flat: Column, late: Column) -> Column:
+    lead = F.when(F.startswith(flat, F.lit("<")), 0).otherwise(1)
+    known = F.transform(
+        H.nodes(flat),
+        lambda n, i: F.struct(
+            n["tag"].alias("tag"), F.when(~F.coalesce(F.get(late, i - lead), F.lit(False)), n["text"]).alias("text")
+        ),
     )
+    found = F.when(F.coalesce(F.exists(late, lambda x: x), F.lit(False)), known).otherwise(H.nodes(flat))
+    return F.filter(found, lambda n: n["text"].isNull() | (F.length(n["text"]) >= MIN_TEXT))
 
 
 def heading_texts(
@@ -198,8 +210,7 @@ def _latest_per_heading(pairs: Column) -> Column:
 def with_sections(df, description: str, tags: Sequence[str] = HEADING_TAGS):
     """Add ``sections`` to a frame; the steps are columns of their own, so each runs once."""
     return (
-        df.withColumn("_flat", flat_description(F.col(description)))
-        .withColumn("_nodes", text_nodes(F.col("_flat")))
+        with_text_nodes(df.withColumn("_flat", flat_description(F.col(description))), "_flat", "_nodes")
         .withColumn("_headings", heading_texts(F.col("_nodes"), F.col("_flat"), tags))
         .withColumn("_rows", F.transform("_nodes", lambda n: n["text"]))
         .withColumn("sections", finish_sections(raw_sections(F.col("_headings"), F.col("_rows"))))

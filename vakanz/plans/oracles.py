@@ -123,9 +123,11 @@ _LISTING = """WITH sec AS (
 found AS (
   SELECT search_term, page_no,
          CAST(row_number() OVER (PARTITION BY page_no ORDER BY ord) - 1 AS INTEGER) AS pos,
-         CASE WHEN length(line) >= 8 THEN '/job/' || md5(line) || '?a=1&b=2' END AS url,
-         CASE WHEN length(line) >= 8 THEN md5(line) END AS job_id
-  FROM sec WHERE length(line) < 8 OR length(line) >= 40)"""
+         '/job/' || md5(first_line) || '?a=1&b=2' AS url, md5(first_line) AS job_id
+  FROM (SELECT *, CASE WHEN length(line) >= 8 THEN line
+                       WHEN ord % 5 = 3 AND length(inner_line) >= 8 THEN inner_line END AS first_line
+        FROM (SELECT *, lead(line) OVER (PARTITION BY page_no ORDER BY ord) AS inner_line FROM sec))
+  WHERE length(line) < 8 OR length(line) >= 40)"""
 
 _ANCHORS = f"""WITH {_PAGE_NODES.split('nodes AS')[0].rstrip().rstrip(',')},
 anchors AS (

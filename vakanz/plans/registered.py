@@ -132,14 +132,13 @@ def page_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
     flat = _pages(spark, folder).withColumn("flat", S.flat_description(F.col("html")))
-    return flat.select("page_id", F.posexplode(S.text_nodes(F.col("flat"))).alias("pos", "n")).select(
-        "page_id", "pos", "n.tag", "n.text"
-    )
+    nodes = S.with_text_nodes(flat, "flat", "nodes").select("page_id", F.posexplode(items("nodes")).alias("pos", "n"))
+    return nodes.select("page_id", "pos", "n.tag", "n.text")
 
 
 def page_headings(spark: SparkSession, folder: str) -> DataFrame:
     flat = _pages(spark, folder).withColumn("flat", S.flat_description(F.col("html")))
-    nodes = flat.withColumn("nodes", S.text_nodes(F.col("flat")))
+    nodes = S.with_text_nodes(flat, "flat", "nodes")
     found = S.heading_texts(F.col("nodes"), F.col("flat"), PAGE_TAGS)
     return nodes.select("page_id", F.posexplode(found).alias("pos", "heading"))
 
@@ -155,7 +154,7 @@ def styled_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Headings known by their style alone, in pages made from the documents."""
     pages = D.styled_pages(_documents(spark, folder, "text"))
     flat = pages.withColumn("flat", S.flat_description(F.col("html")))
-    nodes = flat.withColumn("nodes", S.text_nodes(F.col("flat")))
+    nodes = S.with_text_nodes(flat, "flat", "nodes")
     found = S.heading_texts(F.col("nodes"), F.col("flat"))
     return nodes.select("page_id", F.posexplode(found).alias("pos", "heading"))
 
