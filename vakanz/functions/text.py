@@ -59,26 +59,6 @@ def term_counts(words: Column) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def deletions(word: Column, edits: Column, most: int) -> Column:
-    """All strings left of a word when up to ``edits`` letters are deleted; ``most`` bounds ``edits``."""
-
-    def shorter(words: Column) -> Column:
-        one_less = lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
-        )
-        return F.array_distinct(F.flatten(F.transform(words, one_less)))
-
-    def from_level(words: Column, level: int) -> Column:
-        if level == most:
-            return words
-        none = F.array().cast("array<string>")
-        longer = let(F.when(edits > level, shorter(words)).otherwise(none), lambda s: from_level(s, level + 1))
-        return F.concat(words, longer)
-
-    return F.array_distinct(from_level(F.array(word), 0))
-
-
 def in_list(stop: Sequence[str]) -> str:
     quoted = ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop)
     return f"IN ({quoted})"

@@ -92,6 +92,9 @@ def intent_terms(
 ) -> DataFrame:
     """The vocabulary as a table; marked for broadcast, as its size is known here."""
     chosen = rows or entries(spelling)
-    table = SparkSession.active().createDataFrame(chosen, INTENT_TERMS)
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # A literal table: what is read of it on the driver needs no job.
+    values = ", ".join(f"({quoted(i)}, {quoted(t)}, {d}, {p}, {float(w)!r}D)" for i, t, d, p, w in chosen)
+    table = SparkSession.active().sql(f"SELECT * FROM VALUES {values} AS t({', '.join(INTENT_TERMS.names)})")
     size = sum(64 + 4 * (len(row[0]) + len(row[1])) for row in chosen)
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
