@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vakanz.operators import index as I
 from vakanz.operators.scoring import search
 from vakanz.plans import jobs
 from vakanz.sources.store import Store, read_pages, read_stop_words, stop_word_list
@@ -234,3 +235,17 @@ def test_reports_read_the_stored_index_only(spark, store):
     buckets = [jobs.present(store, "koch", {1}, words, keep_null_bucket=True) for words in (stop, stop_word_list(stop))]
     one, other = ([r["value"] for r in spark.read.text(b).where("report = 'task_frequency'").collect()] for b in buckets)
     assert one == other
+
+
+def test_a_stored_family_is_joined_where_it_lies(spark, store, monkeypatch):
+    monkeypatch.setattr("vakanz.sources.store.BUCKET_BYTES", 2000)
+    results, pages = landed(spark)
+    postings, _ = jobs.parse_pages(pages)
+    stages = ("index/postings", "index/paragraphs")
+    parents, children = I.posting_table(postings), I.paragraph_table(postings).where("paragraph_number < 2")
+    store.write_family(parents, children, "k'och", stages, "posting_id")
+    parents, children = store.read_family("k'och", stages, "posting_id")
+    found = I.headings_by_posting(parents, children.hint("merge"), "posting_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and re.search(r"SelectedBucketsCount: (\d+) out of \1", plan)
+    assert found.count() == 24 and store.read_family("k'och", stages, "posting_id")[0].count() == 12

@@ -9,6 +9,7 @@ from vakanz.functions import fields as V
 from vakanz.functions import html as H
 from vakanz.functions.render import fingerprint
 from vakanz.operators.sections import with_sections
+from vakanz.runtime import broadcast_if_small, durable
 from vakanz.schemas import SECTION
 
 # How a page's structured-data script is chosen.
@@ -101,11 +102,15 @@ def posting_id() -> Column:
 def distinct_postings(postings: DataFrame) -> DataFrame:
     """One row per posting content, kept under its smallest ``page_id``.
 
-    ``postings`` should be stored, as it is read twice: the aggregate is over two narrow columns
-    and collapses any number of copies before its shuffle; the kept pages are joined back.
+    ``postings`` should be stored, as it is read more than once: the aggregate is over two narrow
+    columns and collapses any number of copies before its shuffle. Only the copies that go, few
+    as a rule, are joined with the postings.
     """
-    first = postings.groupBy("posting_id").agg(F.min("page_id").alias("page_id"))
-    return postings.join(first.select("page_id"), "page_id", "left_semi")
+    keys = postings.select("posting_id", "page_id")
+    copied = keys.groupBy("posting_id").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    copied = broadcast_if_small(durable(copied.where("first < last").select("posting_id", "first")))
+    going = broadcast_if_small(durable(keys.join(copied, "posting_id").where("page_id > first").drop("first")))
+    return postings.where("page_id IS NOT NULL").join(going, ["posting_id", "page_id"], "left_anti")
 
 
 def first_copy(df: DataFrame, key: str, columns: list[Column]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from vakanz.functions.text import bucketed_words, ranked_words
 from vakanz.operators.index import drop_stop_words
-from vakanz.operators.ranking import global_rank, keep_from_cutoff, rank_slice
-from vakanz.runtime import broadcast_if_small
+from vakanz.operators.ranking import TERM_TO, global_rank, head, keep_from_cutoff, rank_slice
+from vakanz.runtime import broadcast_if_small, durable
 
 # A word's place: rank of its hit (BIGINT), then its place in the hit (INT, up to ten digits).
 _PLACES = "1" + "0" * 10
@@ -64,6 +64,18 @@ def rank_terms(counts: DataFrame) -> DataFrame:
     )
 
 
+def sliced_terms(counts: DataFrame) -> DataFrame:
+    """``(intent, term, cnt, rnk)``: the middle ranks of the terms by count, ties in first-seen order.
+
+    Only terms that can reach the last of these ranks are sorted.
+    """
+    kept = head(durable(counts), "intent", "cnt", TERM_TO)
+    sizes = kept.select("intent", "term", "cnt", "first_seen", F.col("entries").alias("_all"))
+    order = [F.col("cnt").desc(), F.col("first_seen"), F.col("term")]
+    ranked = global_rank(sizes, "intent", order).withColumn("entries", F.col("_all"))
+    return rank_slice(ranked).select("intent", "term", "cnt", "rnk")
+
+
 def kept_contents(scored: DataFrame, paragraphs: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
     """The better half of the hits in their exact order, with their contents.
 
@@ -90,4 +102,4 @@ def term_profile(
     counts = term_frequency(hits, content, F.col("rnk"), () if table else stop, keep_null_bucket)
     if table:
         counts = drop_stop_terms(counts, stop, keep_null_bucket)
-    return rank_slice(rank_terms(counts)).select("intent", "term", "cnt", "rnk")
+    return sliced_terms(counts)

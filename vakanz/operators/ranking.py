@@ -45,12 +45,27 @@ def _at_rank(counts: DataFrame, group: str, value: str, rank: Column) -> DataFra
 
 
 def keep_from_cutoff(scored: DataFrame, group: str, value: str = "score_micro") -> DataFrame:
-    """Hits at or above the cutoff of their group; ties at the cutoff stay."""
+    """Hits at or above the cutoff of their group; ties at the cutoff stay.
+
+    ``scored`` is read twice, for the cutoff and for the hits, so it is written first.
+    """
+    scored = durable(scored)
     # One row per group.
     limits = broadcast_if_small(durable(cutoff(scored, group, value)))
     return scored.join(limits, group).where(F.col(value) >= F.col("cutoff")).drop("cutoff")
 
 
+def head(counts: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(Written) rows up to 0-based rank ``int(n * share)`` of their group, highest first, and their ties.
+
+    ``entries`` is the size of the whole group. What lies behind is found in the histogram of the
+    values and takes no part in any sort.
+    """
+    sizes = counts.groupBy(group).agg(F.count("*").alias("entries"))
+    limits = durable(cutoff(counts, group, value, share).join(sizes, group))
+    return counts.join(broadcast_if_small(limits), group).where(F.col(value) >= F.col("cutoff")).drop("cutoff")
+
+
 def global_rank(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
     """Add the 0-based rank ``rnk`` within ``group`` and the group size ``entries``.
 

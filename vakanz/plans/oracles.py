@@ -392,6 +392,7 @@ def oracle_sql() -> dict[str, str]:
             FROM found WHERE total = 1""",
     }
     found["stored_reports"] = f"SELECT report, unnest(string_split(value, chr(10))) AS value FROM ({found['report_lines']})"
+    found["stored_headings"] = found["headings_by_doc"]
     found["stored_search"], found["job_reports"] = found["ranked_search"], found["stored_reports"]
     for intent in ("tasks", "requirements", "benefits"):
         found[f"{intent}_profile"] = (

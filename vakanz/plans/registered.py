@@ -356,8 +356,8 @@ def _one_intent(intent: str) -> Callable[[SparkSession, str], DataFrame]:
 def rank_slice(spark: SparkSession, folder: str) -> DataFrame:
     """Rank slice over the words of all documents of a language."""
     hits = _documents(spark, folder, "text", "lang").withColumnRenamed("lang", "intent")
-    ranked = PR.rank_terms(PR.term_frequency(hits, "text", F.col("doc_id"), STOP))
-    return RK.rank_slice(ranked).select(F.col("intent").alias("lang"), "term", "cnt", "rnk")
+    found = PR.sliced_terms(PR.term_frequency(hits, "text", F.col("doc_id"), STOP))
+    return found.withColumnRenamed("intent", "lang")
 
 
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,6 +443,19 @@ def stored_search(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(F.col("posting_id").cast("bigint").alias("doc_id"), "intent", _score())
 
 
+def stored_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their lines, stored by document: the join moves no rows."""
+    store, key = _store(spark), F.col("doc_id").cast("string").alias("posting_id")
+    others = [F.lit(None).alias(c) for c in I.INDEXED if c not in ("posting_id", "organization")]
+    parents = _documents(spark, folder, "source").select(key, F.col("source").alias("organization"), *others)
+    lines = _line_paragraphs(spark, folder).select(key, "paragraph_number", "paragraph_heading", F.lit(None).alias("paragraph_content"))
+    stages = ("index/postings", "index/paragraphs")
+    store.write_family(parents, lines, "koch", stages, "posting_id")
+    parents, lines = store.read_family("koch", stages, "posting_id")
+    found = I.headings_by_posting(parents, lines.hint("merge"), "posting_id")
+    return found.select(F.col("posting_id").cast("bigint").alias("doc_id"), F.col("organization").alias("source"), "paragraph_number", "paragraph_heading")
+
+
 def job_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The reports that a job writes from a stored index, with stop words as a table."""
     path = jobs.present(_indexed(spark, folder), "koch", {1, 2, 3}, read_stop_words(spark))
@@ -467,7 +480,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fuzzy_expand, ranked_search, search_status, score_cutoff, median_cut, term_counts,
         term_counts_null_bucket, term_profile, rank_slice, report_lines, stored_links,
         stored_postings, stored_index, stored_reports,
-        stored_search, job_reports, added_postings, stage_reuse,
+        stored_search, stored_headings, job_reports, added_postings, stage_reuse,
     ]
     found = {query.__name__: query for query in named}
     for intent in ("tasks", "requirements", "benefits"):

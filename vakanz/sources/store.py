@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 from vakanz.functions.render import file_name, posting_text
 from vakanz.functions.stopwords import BUILT_IN
 from vakanz.operators import index as I
-from vakanz.runtime import broadcast_if_small, durable
+from vakanz.runtime import broadcast_if_small, durable, value_bytes
 from vakanz.schemas import PAGES, SLICE_CHARS, SLICED, STAGES
 
 #: Characters that cannot be part of a folder's name, as Spark escapes them.
 _ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
 _COMMITS = T.StructType([T.StructField("term", T.StringType()), T.StructField("adds", T.BooleanType()), T.StructField("version", T.StringType())])
 
+#: Bytes of values in a bucket of a stored pair of tables.
+BUCKET_BYTES = 128 << 20
 _LINES = T.StructType([T.StructField("value", T.StringType())])
 
 
@@ -283,6 +285,35 @@ class Store:
         # One row each.
         self.write(counts.crossJoin(F.broadcast(tokens)), search_term, "index/statistics")
 
+    def write_family(self, parents: DataFrame, children: DataFrame, search_term: str, stages: Sequence[str], key: str) -> None:
+        """Parents and children in equally many buckets of ``key``, one file each, sorted by it.
+
+        As many as keep a bucket of the larger side near ``BUCKET_BYTES``.
+        """
+        parents, children = (durable(df.select(*self._typed(df, s))) for df, s in zip((parents, children), stages, strict=True))
+        count = 1 + max(value_bytes(parents), value_bytes(children)) // BUCKET_BYTES
+        for df, stage in zip((parents, children), stages, strict=True):
+            rows = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key)
+            name = f"vakanz_{uuid.uuid4().hex}"
+            self._one(search_term, stage, False, lambda folder, rows=rows, name=name: rows.option("path", f"{folder}/of-{count}").saveAsTable(name))
+            self.spark.sql(f"DROP TABLE {name}")  # the files stay where they are
+
+    def read_family(self, search_term: str, stages: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
+        """What ``write_family`` wrote, as views of the session that know their buckets: a join on ``key`` moves no rows."""
+        found = []
+        for stage in stages:
+            at, files = self._files(self.path(stage, search_term))
+            folder = next(n for f in files.listStatus(at) if (n := f.getPath().toString()).rpartition("/")[2].startswith("of-"))
+            name, count = f"vakanz_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}", folder.rpartition("-")[2]
+            quoted = folder.replace("'", "\\'")
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STAGES[stage])
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {count} BUCKETS LOCATION '{quoted}'"
+            )
+            found.append(self.spark.table(name))
+        return found[0], found[1]
+
     def export_postings(self, postings: DataFrame, search_term: str) -> None:
         """Readable postings, each introduced by its file name; any number per file."""
         text = F.concat_ws("\n", export_name(), posting_text())
