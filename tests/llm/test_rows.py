@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import documents, empty, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -259,3 +260,55 @@ def test_question_and_answer():
     assert leaks.question_and_answer("Who? Me.") == (["who"], ["me"])
     assert leaks.question_and_answer("A b. C d.") == (["a", "b"], ["c", "d"])
     assert leaks.question_and_answer("a b c") == (["a", "b"], ["c"])
+
+
+def _paragraphs(rng, n):
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9)))
+    return [", ".join(" ".join(word() for _ in range(rng.randrange(4, 9))) for _ in range(rng.randrange(2, 6))) + "." for _ in range(n)]
+
+
+def test_articles_are_found_in_pages_put_together_at_random():
+    """The article's blocks are known; wrappers, menus, forms and comments around them vary."""
+    rng = random.Random(10)
+    for i in range(400):
+        parts = _paragraphs(rng, rng.randrange(3, 9))
+        body = [f"<p>{p}</p>" for p in parts]
+        if rng.random() < 0.5:
+            items = _paragraphs(rng, 2)
+            at = rng.randrange(1, len(parts))
+            body.insert(at, f"<ul><li>{items[0]}</li><li>{items[1]}</ul>")
+            parts[at:at] = items
+        article = "".join(body)
+        for _ in range(rng.randrange(3)):
+            article = rng.choice(["<div>{}</div>", "<div class=content>{}</div>", "<article>{}</article>", "<main>{}</main>", "<section id=story>{}</section>"]).format(article)
+        login = "<form action=/in><label>Name</label><input><button>Go, now</button></form>"
+        before = rng.choice(["", "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>A, b</a></li></ul></nav>", "<header><h2>Site</h2></header>", "<div role=banner>Site, name</div>"])
+        replies = "".join(f"<div class=post><b>By {w}</b>, 2 days ago</div>" for w in ("ann", "bob"))
+        after = rng.choice(["", "<footer>All rights, reserved.</footer>", f"<aside><p>{_paragraphs(rng, 1)[0][:60]}</p></aside>", f"<div class=reviews>{replies}</div>", "<section id=responses><p>Nice, very nice.</p></section>"])
+        page = f"{before}<div>{article}</div>{after}" if rng.random() < 0.5 else f"{before}{article}{after}"
+        wrapper = rng.choice(["{}", "<form id=aspnetForm method=post><input type=hidden name=v>{}</form>", "<div class=page-wrapper>{}</div>", f"{login}{{}}", "<div class='layout has-sidebar'>{}</div>"])
+        page = f"<html><body>{wrapper.format(page)}</body></html>"
+        assert html.main_text(page) == "\n".join(parts), (i, page)
+
+
+def test_what_holds_the_page_is_not_left_out():
+    body = "<p>The first paragraph, with commas, and words.</p><p>The second one, also with words.</p>"
+    text = "The first paragraph, with commas, and words.\nThe second one, also with words."
+    for page in (
+        f"<form id=aspnetForm>{body}</form>", f"<form><div class=menu><a href=/>Home</a></div><article>{body}</article></form>",
+        f"<div role=dialog>{body}</div>", f"<aside><article>{body}</article></aside>", f"<div role=form>{body}</div>",
+        f"<div>{body}</div><div class=reviews><p>Good, very good, buy, it.</p><p>Bad, very bad, do not, buy.</p></div>",
+    ):
+        assert html.main_text(page) == text, page
+    assert html.main_text(f"<nav><a href=/>Home</a>{body}").endswith(text)
+    assert html.main_text(f"<article>{body}</article><article><p>One more, here.</p></article>") == text + "\nOne more, here."
+    assert html.main_text(f"<div><div>{body}</div><ul><li>one, two</li><li>three</li></ul></div>") == text + "\none, two\nthree"
+    teaser = "<aside><article><p>Read, this.</p></article></aside>"
+    assert html.main_text(f"<div>{body}</div>{teaser}") == text
+    with pytest.raises(ValueError):
+        html.with_main_text(spark_free("Text"))
+
+
+def spark_free(name):
+    """A frame as far as names go."""
+    return type("Named", (), {"columns": ["html", name]})()

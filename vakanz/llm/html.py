@@ -3,15 +3,17 @@
 A page becomes a tree of elements. Each block of text gives points, for its length and commas, to
 the elements above it; an element's points are discounted by the share of its text that is link
 text. The best element, widened to the article or main element around it, is kept with those
-siblings that score well too. Elements that are never article text (menus, forms, scripts, notices
-and the like, by element, role, class or id) are left out beforehand. A class or id only suggests
-this: what holds the article or main element with most text stays, and where elements left out by
-class or id hold more paragraph text than the rest of the page, or all of its text, those with most
-of it are read again.
-
-Null and empty pages give an empty text, as do pages without text outside hidden elements and
-elements left out by their tag or role; repeated
-pages give repeated rows; an empty table gives an empty result. Whole pages are read.
+siblings that score well too or belong to it: other articles, lists, tables and quotations beside
+paragraphs. Elements that are never article text (scripts, controls, hidden elements) are left out
+beforehand. Others (menus, forms, asides, footers, notices, comments and the like, by element,
+role, class or id) are left out as a suggestion only: what holds the article or main element with
+most text stays, and where forms or elements with such a class or id hold more paragraph text than
+the rest of the page, or any of these all of its text, those with most of it are read again. The
+same holds for a menu, aside or the like that is never closed.
+
+Null and empty pages give an empty text, as do pages without text outside hidden elements; repeated
+pages give repeated rows; an empty table gives an empty result. Whole pages are read. Other columns
+are kept by ``with_main_text``, which refuses a name that is taken.
 """
 
 from __future__ import annotations
@@ -58,9 +60,11 @@ IMPLIED = {
 
 # What is not article text.
 ASIDE_TAGS = set(
-    "head script style title nav footer aside form noscript iframe template select button textarea svg canvas "
-    "object dialog menu xmp noembed noframes audio video map input datalist".split()
+    "head script style title noscript iframe template select button textarea svg canvas "
+    "object xmp noembed noframes audio video map input datalist".split()
 )
+#: Elements that are, where they do not hold what the page is about.
+SUGGESTED_TAGS = set("nav footer aside form dialog menu".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted "
@@ -71,7 +75,13 @@ ASIDE_NAMES = set(
 )
 HEADER_NAMES = {"header", "topbar"}
 #: Names of what is written in paragraphs and yet not the article.
-COMMENT_NAMES = set("comment comments commentlist disqus replies respond discussion".split())
+COMMENT_NAMES = set(
+    "comment comments commentlist disqus replies respond discussion reviews responses reactions opinions guestbook".split()
+)
+#: Elements beside a text that belong to it where they hold few links.
+BELONGING = set("ul ol dl table pre blockquote figure".split())
+#: Kinds of suggested elements: by class or id, as comments, forms, and by element or role.
+NAMED, COMMENTS, FORM, HARD = "named", "comments", "form", "hard"
 #: Beside them, parts of names that tell of what an element has around or within.
 HOLDER_NAMES = set("with has page layout".split())
 #: Elements of paragraph text, and the unlinked characters from which text of another counts as such.
@@ -81,15 +91,14 @@ NEVER_ASIDE = {"html", "body", "article", "main"}
 SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 
-def _is_aside(name: str, found: dict[str, str], in_article: bool) -> bool:
-    if name in ASIDE_TAGS or name == "header" and not in_article:
+def _is_aside(name: str, found: dict[str, str]) -> bool:
+    if name in ASIDE_TAGS:
         return True
     if name in NEVER_ASIDE:
         return False
     return (
         "hidden" in found
         or found.get("aria-hidden", "").lower() == "true"
-        or found.get("role", "").lower() in ASIDE_ROLES
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
     )
 
@@ -113,8 +122,13 @@ class Page:
     def __init__(self, html: str):
         self._read(html, set())
         left_out = self._left_out()
-        if left_out:
-            self._read(html, left_out)
+        if all(self.name[i] in BLOCK for i in left_out):  # their text is in blocks of its own
+            outside = bytearray(b"\1") * len(self.parent)
+            for node in range(1, len(self.parent)):
+                outside[node] = outside[self.parent[node]] and node not in left_out
+            self.blocks = [b for b in self.blocks if outside[b[0]]]
+        else:
+            self._read(html, {self.named[i][0] for i in left_out})
 
     def _text(self, raw: str, node: int, in_link: bool) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -130,7 +144,7 @@ class Page:
             self._pieces, self._linked = [], 0
 
     def _left_out(self) -> set[int]:
-        """Begins of the elements that are left out by class or id."""
+        """The suggested elements that are left out."""
         n = len(self.parent)
         if not self.named:
             return set()
@@ -151,7 +165,12 @@ class Page:
                 within[node] = []
                 within[around[node]].append(node)
         read = {0}  # what stays
-        chief = max(self.articles, key=lambda i: (prose[i], plain[i], -i), default=0)
+        weight_of = lambda i: (prose[i], plain[i], -i)
+        hard = [False] * n  # within elements that hold the page's text only if it stands nowhere else
+        for node in range(1, n):
+            hard[node] = hard[self.parent[node]] or node in self.named and self.named[node][1] in (COMMENTS, HARD)
+        free = sum(len(text) - links for node, text, links in self.blocks if not hard[node])
+        chief = max((i for i in self.articles if not hard[i] or plain[i] > free), key=weight_of, default=0)
         while chief:
             chief = around[chief]
             read.add(chief)
@@ -159,40 +178,49 @@ class Page:
         while opened:
             for node in within[opened.pop()]:
                 (opened.append if node in read else out.add)(node)
-        for weight, every in ((prose, False), (plain, True)):
-            kept = weight[0] - sum(weight[i] for i in out)
-            order = [(-weight[i], i) for i in out if every or not self.named[i][1]]
+        # First forms and named elements with more paragraph text than the rest, then whatever has text if
+        # nothing else has; of elements that are asides by themselves only paragraph text counts.
+        for kinds, loose in (((NAMED, FORM), ()), ((NAMED, COMMENTS, FORM, HARD), (NAMED, COMMENTS))):
+            weigh = lambda i, loose=loose: (plain if self.named[i][1] in loose else prose)[i]
+            base = plain if loose else prose
+            kept = base[0] - sum(base[i] for i in out)
+            order = [(-weigh(i), i) for i in out if self.named[i][1] in kinds]
             lost = -sum(w for w, _ in order)
             heapify(order)
-            while order and (not kept and lost if every else lost > kept):
+            while order and (not kept and lost if loose else lost > kept):
                 _, node = heappop(order)
+                if not weigh(node):
+                    continue
                 out.remove(node)
-                kept, lost = kept + weight[node], lost - weight[node]
+                kept, lost = kept + base[node], lost - weigh(node)
                 for inner in within[node]:
                     out.add(inner)
-                    kept -= weight[inner]
-                    if every or not self.named[inner][1]:
-                        lost += weight[inner]
-                        heappush(order, (-weight[inner], inner))
-        return {self.named[i][0] for i in out}
+                    kept -= base[inner]
+                    if self.named[inner][1] in kinds:
+                        lost += weigh(inner)
+                        heappush(order, (-weigh(inner), inner))
+        return out
 
     def _read(self, html: str, left_out: set[int]) -> None:
         self.parent, self.name = [-1], ["#page"]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links in it
-        self.named: dict[int, tuple[int, bool]] = {}  # elements named as asides: begin, whether as comments
+        self.named: dict[int, tuple[int, str]] = {}  # suggested elements: begin, kind
         self.articles: list[int] = []  # article and main elements that are not comments
         self._pieces: list[str] = []
         self._linked = 0
         stack: list[tuple[str, int]] = [("#page", 0)]
         containers = [0]  # block elements that are open, innermost last
         opened: dict[str, int] = {}
+        unclosed: set[int] = set()  # suggested by tag: without an end tag of their own they suggest less
         aside_from = 0  # stack height at which an aside began, 0 outside
         at, end = 0, len(html)
 
-        def pop_to(height: int) -> None:
+        def pop_to(height: int, closing: str = "") -> None:
             nonlocal aside_from
             while len(stack) > height:
                 name, node = stack.pop()
+                if node in unclosed and (name != closing or len(stack) > height):
+                    self.named[node] = self.named[node][0], NAMED
                 opened[name] -= 1
                 if aside_from and len(stack) < aside_from:
                     aside_from = 0
@@ -228,7 +256,7 @@ class Page:
                     i = len(stack) - 1
                     while stack[i][0] != name:
                         i -= 1
-                    pop_to(i)
+                    pop_to(i, name)
                 continue
             if name in RAW:
                 close = RAW[name].search(html, at)
@@ -261,7 +289,7 @@ class Page:
             if not aside_from:
                 in_article = bool(opened.get("article") or opened.get("main"))
                 values = _attributes(attrs) if attrs else {}
-                if found.start() in left_out or _is_aside(name, values, in_article):
+                if found.start() in left_out or _is_aside(name, values):
                     aside_from = len(stack)
                     continue
                 if name in BLOCK:
@@ -270,8 +298,15 @@ class Page:
                 if name in ("article", "main"):
                     if not names & COMMENT_NAMES:
                         self.articles.append(node)
-                elif name not in NEVER_ASIDE and (names & ASIDE_NAMES or not in_article and names & HEADER_NAMES):
-                    self.named[node] = found.start(), bool(names & COMMENT_NAMES) and not names & HOLDER_NAMES
+                elif name in SUGGESTED_TAGS or name == "header" and not in_article:
+                    self.named[node] = found.start(), FORM if name == "form" else HARD
+                    if name != "form":
+                        unclosed.add(node)
+                elif name not in NEVER_ASIDE:
+                    role = values.get("role", "").lower() in ASIDE_ROLES - {"form"}
+                    comments = bool(names & COMMENT_NAMES) and not names & HOLDER_NAMES
+                    if role or comments or names & ASIDE_NAMES or not in_article and names & HEADER_NAMES:
+                        self.named[node] = found.start(), HARD if role else COMMENTS if comments else NAMED
         pop_to(1)
         self._flush(0)
 
@@ -314,7 +349,9 @@ class Page:
                 density = linked[node] / size[node]
                 ended = any(t.endswith((".", "!", "?")) for t in texts.get(node, ()))
                 paragraph = self.name[node] == "p" and (density < 0.25 and size[node] > 80 or density == 0 and ended)
-                if score[node] >= enough and density < 0.5 or paragraph:
+                article = self.name[node] == self.name[top] == "article" and score[node] >= score[best] / 5 and density < 0.5
+                belongs = self.name[node] in BELONGING and density < 0.25
+                if score[node] >= enough and density < 0.5 or paragraph or article or belongs:
                     keeps[node] = 1
         for node in range(1, n):
             if keeps[self.parent[node]] and node != top:
@@ -329,6 +366,8 @@ def main_text(html: str | None) -> str:
 
 def with_main_text(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
+    if into.lower() in {c.lower() for c in pages.columns}:
+        raise ValueError(f"column {into} must be new")
     ready(pages.sparkSession)
 
     @F.arrow_udf(StringType())
