@@ -76,6 +76,24 @@ def edited(seed, text, edits):
     return " ".join(words)
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def alike(a, b):
+    """Whether two lists of words are similar, from their longest common subsequence."""
+    need = 0.8 * (len(a) + len(b)) / 1.8 - 1e-9
+    if not a or not b or sum((Counter(a) & Counter(b)).values()) < need:
+        return False
+    return common_words(a, b) >= need
+
+
 def brute_classes(rows):
     parent = {i: i for i, _ in rows}
 
@@ -84,11 +102,11 @@ def brute_classes(rows):
             x = parent[x]
         return x
 
-    seqs = [(i, omh.shingles(omh.word_codes(t or ""))) for i, t in rows]
+    seqs = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in rows]
     for k, (a, x) in enumerate(seqs):
         for b, y in seqs[k + 1 :]:
-            if omh.similarity(x, y) > 0:
-                u, v = root(a), root(b)
+            u, v = root(a), root(b)
+            if u != v and alike(x, y):
                 parent[max(u, v)] = min(u, v)
     return {i: root(i) for i, _ in rows}
 
@@ -144,14 +162,7 @@ def test_near_classes_of_odd_tables(spark):
 def test_similarity_is_that_of_the_longest_common_subsequence():
     import numpy as np
 
-    def common(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            before = 0
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
+    common = common_words
     rng = random.Random(2)
     for _ in range(400):
         a = [rng.randrange(rng.choice((3, 20, 200))) for _ in range(rng.randrange(1, 40))]

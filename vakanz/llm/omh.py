@@ -1,15 +1,16 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles (words ``\\w+`` in lower case; fewer words are one
-shingle). Each of ``SKETCHES`` hash functions takes the ``MINIMA`` least occurrence-labelled
-shingles and keeps them in text order, so a sketch agrees for texts that share shingles in the same
-order. Texts that agree in a sketch are candidates. Few shingles give few different sketches, so
-texts of fewer than ``EXACT`` shingles are found by prefix filter instead: shingles are put in one
-order, rare ones first, and two similar texts always share one of the first few of each. Only texts
-long enough to have a similar text of ``EXACT`` or more have sketches. The similarity of two texts is the length of
-the longest common subsequence of their shingles over the number of shingles in either (an
-ordered Jaccard similarity); two texts are linked from ``SIMILAR`` on. Classes are the connected
-components of the links.
+A text is a sequence of words (``\\w+`` in lower case). The similarity of two texts is the length of
+the longest common subsequence of their words over the number of words in either (an ordered
+Jaccard similarity, which sinks with each edit); two texts are linked from ``SIMILAR`` on. Classes
+are the connected components of the links.
+
+Candidates share a sketch. Each of ``SKETCHES`` hash functions takes the ``MINIMA`` least
+occurrence-labelled runs of five words and keeps them in text order, so a sketch agrees for texts
+that share such runs in the same order. Few words give few different sketches, so texts of fewer
+than ``EXACT`` words are found by prefix filter instead: labelled words are put in one order, rare
+ones first, and two similar texts always share one of the first few of each. Only texts long enough
+to have a similar text of ``EXACT`` words or more have sketches.
 
 Texts of equal words are one node. The nodes of a bucket (equal sketch value) are compared with
 the bucket's centre, the node with most company over all buckets; nodes under one centre that are
@@ -24,7 +25,6 @@ kept by ``kept_documents`` and not looked at.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from math import ceil
 
 import numpy as np
@@ -38,11 +38,11 @@ from vakanz.llm.components import roots
 from vakanz.llm.vocab import Memory
 
 WORD = re.compile(r"\w+")
-SHINGLE, SKETCHES, MINIMA = 5, 32, 6
+SHINGLE, SKETCHES, MINIMA = 5, 32, 3
 SIMILAR = 0.8
-#: Texts of fewer shingles are candidates by prefix filter, which misses none of their pairs.
+#: Texts of fewer words are candidates by prefix filter, which misses none of their pairs.
 EXACT = 40
-#: Counters that tell rare shingles of such texts from common ones; a power of two.
+#: Counters that tell rare words of such texts from common ones; a power of two.
 COUNTERS = 1 << 16
 #: Nodes of a block, two of which meet in a task.
 BLOCK = 256
@@ -125,7 +125,7 @@ def sketch(marks: np.ndarray) -> np.ndarray:
 
 
 def prefix(marks: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
-    """Bucket values of a text's rarest labelled shingles, enough to meet every similar text.
+    """Bucket values of a text's rarest labelled words, enough to meet every similar text.
 
     Of n shingles a similar text shares ``similar * n`` or more, so in any order that holds for all
     texts the first ones of both, as many as may be missing and one more, have one in common.
@@ -138,58 +138,60 @@ def prefix(marks: np.ndarray, counts: np.ndarray, similar: float = SIMILAR) -> n
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """The ordered similarity of two shingle sequences if it is ``least`` or more, else 0."""
+    """The ordered similarity of two word sequences if it is ``least`` or more, else 0."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
     need = least * (n + m) / (1 + least) - 1e-9
     if min(n, m) < need:
         return 0.0
-    marks_a, marks_b = labelled(a), labelled(b)
+    marks_a, marks_b = labelled(a.astype(np.uint64)), labelled(b.astype(np.uint64))
     _, in_a, in_b = np.intersect1d(marks_a, marks_b, assume_unique=True, return_indices=True)
-    if len(in_a) < need:  # common shingles in any order bound the common subsequence
+    common = len(in_a)
+    if common < need:  # common words in any order bound the common subsequence
         return 0.0
-    ordered = in_b[np.argsort(in_a)]
-    common = len(ordered)
-    if np.any(np.diff(ordered) < 0):
-        common = max(_rising(ordered.tolist()), 0)
-    if common < len(in_a):
-        common = max(common, _aligned(a, b, int(n + m - 2 * need)))
+    if np.any(np.diff(in_b[np.argsort(in_a)]) < 0):
+        common = _aligned(a, b, int(n + m - 2 * need))
     return common / (n + m - common) if common >= need else 0.0
 
 
-def _rising(places: list[int]) -> int:
-    """Length of the longest rising subsequence: an alignment of labelled shingles."""
-    tails: list[int] = []
-    for p in places:
-        at = bisect_left(tails, p)
-        tails[at : at + 1] = [p]
-    return len(tails)
-
-
 def _aligned(a: np.ndarray, b: np.ndarray, edits: int) -> int:
-    """Longest common subsequence by dynamic programming within a band of ``edits`` around the diagonal.
+    """Longest common subsequence within a band of ``edits`` around the diagonal, a row of bits at a time.
 
-    An alignment with that many insertions and deletions at most never leaves the band.
+    An alignment with that many insertions and deletions at most never leaves the band. A set bit of
+    ``steps`` says that the subsequence grows by one at this place of ``b``; places that the band has
+    passed are counted and dropped, so numbers have as many bits as the band is wide.
     """
-    m, width = len(b), 2 * edits + 1
-    padded = np.zeros(m + 2 * width, b.dtype)
-    padded[width : width + m] = b
-    inside = np.zeros(len(padded), bool)
-    inside[width : width + m] = True
-    row = np.zeros(width + 1, np.int64)  # cell d stands for column i - edits + d
-    for i, x in enumerate(a):
-        low = i - edits + width
-        if low >= len(padded) - width:
-            break
-        window = slice(max(low, 0), low + width)
-        match = np.zeros(width, bool)
-        if low + width > 0:
-            match[width - (low + width - max(low, 0)) :] = (padded[window] == x) & inside[window]
-        # One row down the cell above is one to the right and the one before it is the same.
-        best = np.maximum(row[1:], row[:-1] + match)
-        row[:-1] = np.maximum.accumulate(best)
-    return int(row[:-1].max())
+    same = min(len(a), len(b))
+    front = int(np.argmin(np.append(a[:same] == b[:same], False)))
+    a, b = a[front:], b[front:]
+    same = min(len(a), len(b))
+    back = int(np.argmin(np.append(a[::-1][:same] == b[::-1][:same], False)))
+    first, second = a[: len(a) - back].tolist(), b[: len(b) - back].tolist()
+    common, steps, low, entered = front + back, 0, 0, 0
+    places: dict[int, tuple[int, int]] = {}  # of each word: where its bits begin, and its places in the band
+
+    def within(word: int) -> int:
+        begin, bits = places.get(word, (low, 0))
+        return bits >> (low - begin)
+
+    for i, word in enumerate(first):
+        while low < i - edits and low < len(second):
+            common += steps & 1
+            steps >>= 1
+            low += 1
+        while entered < min(len(second), i + edits + 1):
+            other = second[entered]
+            places[other] = low, within(other) | 1 << (entered - low)
+            entered += 1
+        bits = within(word)
+        if bits:
+            places[word] = low, bits
+            full = (1 << (entered - low)) - 1
+            flat = full ^ steps
+            met = flat & bits
+            steps = full & ~((flat + met) | (flat - met))
+    return common + steps.bit_count()
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -201,31 +203,25 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 def sketched(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR
 ) -> DataFrame:
-    """``row, id, text_hash, content, shingles, sketch, marks``, written; null content without words.
+    """``row, id, text_hash, content, sketch, marks``, written; null content without words.
 
-    ``marks`` are the labelled shingles of texts of fewer than ``EXACT``; texts whose similar texts
+    ``marks`` are the labelled words of texts of fewer than ``EXACT``; texts whose similar texts
     are all so short have an empty ``sketch``.
     """
     ready(docs.sparkSession)
 
-    @F.arrow_udf("content binary, shingles int, sketch array<bigint>, marks array<bigint>")
+    @F.arrow_udf("content binary, sketch array<bigint>, marks array<bigint>")
     def describe(texts: pa.Array) -> pa.Array:
         give_back()
-        content, counts, sketches, short = [], [], [], []
+        content, sketches, short = [], [], []
         none = np.empty(0, np.int64)
         for text in texts:
             codes = word_codes(text.as_py())
-            hashes = shingles(codes)
-            n = len(hashes)
-            marks = labelled(hashes)
-            counts.append(n)
+            n = len(codes)
             content.append(xxhash.xxh3_128_digest(codes.tobytes()) if n else None)
-            sketches.append(sketch(marks).ravel() if n and n >= similar * EXACT - 1e-6 else none)
-            short.append(marks.view(np.int64) if n < EXACT else none)
-        return pa.StructArray.from_arrays(
-            [pa.array(content, pa.binary()), pa.array(counts, pa.int32()), _lists(sketches), _lists(short)],
-            ["content", "shingles", "sketch", "marks"],
-        )
+            sketches.append(sketch(labelled(shingles(codes))).ravel() if n and n >= similar * EXACT - 1e-6 else none)
+            short.append(labelled(codes.astype(np.uint64)).view(np.int64) if n < EXACT else none)
+        return pa.StructArray.from_arrays([pa.array(content, pa.binary()), _lists(sketches), _lists(short)], ["content", "sketch", "marks"])
 
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col]).alias("text"))
     found = rows.select("id", F.xxhash64("text").alias("text_hash"), describe("text").alias("d"))
@@ -269,7 +265,7 @@ def _sequences(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 
 def _codes_of(value: bytes) -> np.ndarray:
-    return shingles(np.frombuffer(value, np.uint32))
+    return np.frombuffer(value, np.uint32)
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, similar: float) -> DataFrame:
@@ -296,12 +292,12 @@ class _Union(dict):
 def _block_links(rows: list[tuple], cross: bool, similar: float) -> list[tuple[int, int]]:
     """Links between nodes of different components among ``rows`` of ``side, node, root, codes``.
 
-    Counts of common labelled shingles, from products of incidence matrices, bound the similarity;
+    Counts of common labelled words, from products of incidence matrices, bound the similarity;
     what passes is aligned. A link between components makes them one, so few links are returned.
     """
     seqs = [_codes_of(r[3]) for r in rows]
     sizes = np.array([len(s) for s in seqs])
-    marks = np.concatenate([labelled(s) for s in seqs])
+    marks = np.concatenate([labelled(s.astype(np.uint64)) for s in seqs])
     owner = np.repeat(np.arange(len(rows)), sizes)
     _, column, times = np.unique(marks, return_inverse=True, return_counts=True)
     shared = times > 1
