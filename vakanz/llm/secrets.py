@@ -2,11 +2,15 @@
 
 Two character Markov models, of random strings and of ordinary identifiers, are counted from
 labelled samples. A candidate, 16 or more characters of ``[A-Za-z0-9+/_-]``, is a secret if the
-log-likelihood ratio of the models reaches ``RATIO``. Spark expressions only; texts are not
-shuffled, and what is done in a row grows with its length.
+log-likelihood ratio of the models reaches ``RATIO``; a run of one character counts as one. Spark
+expressions only; texts are not shuffled, and what is done in a row grows with its length.
+
+Ordinary strings are what stands beside base secrets in a sample of texts, as the candidates'
+pattern reads it, the texts' own words joined to slugs, paths and identifiers, and dates.
 
 A null text is an empty one without spans; repeated rows give repeated rows; an empty table gives
-an empty result. Without samples of both kinds the model adds nothing.
+an empty result. Without samples of both kinds the model adds nothing. Other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
+#: Ordinary strings in texts, as the candidates are read; what joins words to others; forms of dates.
+ORDINARY = r"[A-Za-z0-9+/_-]{8,}"
+JOINED = ("-", "/", "_")
+DATES = ("yyyy-MM-dd'T'HH-mm-ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMddHHmmss", "yyyyMMdd-HHmmss", "dd-MM-yyyy_HH-mm", "yyyy/MM/dd/HH/mm/ss")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 STATES = len(ALPHABET) + 1  # 0 is the start of a string
 #: Least log-likelihood ratio: odds of a million against a candidate being random.
 RATIO = math.log(1e6)
 #: Weight of a character's share of all in its share after another.
 BACKOFF = 8
-#: Bound of the sample of ordinary identifiers: different texts, those with the least hashes.
+#: Bound of the sample of ordinary strings: different texts, those with the least hashes.
 SAMPLE_DOCS = 400
 
 
@@ -41,6 +49,17 @@ def _codes(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
+def _runs_as_one(value: Column) -> Column:
+    """``value`` with one character for each run of four or more of it."""
+    return F.regexp_replace(value, r"(.)\1{3,}", "$1")
+
+
+def _chains(words: Column, by: str) -> Column:
+    """Every fourth word with the three behind it, joined."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4))
+    return F.transform(starts, lambda i: F.lower(F.array_join(F.slice(words, i, F.lit(4)), by)))
+
+
 def train(samples: DataFrame) -> list[float] | None:
     """Log-likelihood ratios of each next character after each, from ``(random, value)`` rows.
 
@@ -73,20 +92,29 @@ def train(samples: DataFrame) -> list[float] | None:
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(random, value)``: distinct values of base secrets, and words of 8 or more characters beside them."""
-    texts = docs.select(words_of(docs[text_col]).alias("text"))
-    hashed = F.xxhash64("text")
-    total = texts.select(hashed.alias("hash")).distinct().count()
-    drawn = texts.filter(among_least(hashed, total, sample_docs)).distinct().orderBy(hashed, "text").limit(sample_docs)
+    """``(random, value)``: distinct values of base secrets, and ordinary strings of a sample of texts."""
+    texts = docs.select(words_of(docs[text_col]).alias("text")).withColumn("hash", F.xxhash64("text"))
+    hashes = texts.select("hash").distinct()
+    drawn = hashes.filter(among_least(F.col("hash"), hashes.count(), sample_docs)).orderBy("hash").limit(sample_docs)
+    # Texts are gathered by their hashes, so no task holds more than one after another.
+    drawn = texts.join(F.broadcast(drawn), "hash").groupBy("hash").agg(F.min("text").alias("text"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = drawn.select(F.lit(False).alias("random"), F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9_]{8,}"), F.lit(0))).alias("value"))
+    rest = drawn.select(rest.alias("text"))
+    plain = rest.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value"))
+    words = rest.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"))
+    chained = words.select(F.explode(F.flatten(F.array(*[_chains(F.col("words"), by) for by in JOINED]))).alias("value"))
+    day = F.expr("explode(sequence(timestamp'1999-01-01', timestamp'2038-01-01', interval 97 days 7 hours 11 minutes 13 seconds))")
+    days = docs.sparkSession.range(1).select(day.alias("day"))
+    dates = days.select(F.explode(F.array(*[F.date_format("day", form) for form in DATES])).alias("value"))
+    ordinary = plain.unionByName(chained).unionByName(dates).select(F.lit(False).alias("random"), _runs_as_one(F.col("value")).alias("value"))
     secret = texts.filter(F.col("text").rlike("|".join((ASSIGN, ACCESS, HEX))))
     for_kind = [
         secret.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias("value")).filter(F.length("value") >= least)
         for _, p, g, least in KINDS
     ]
     random = for_kind[0].unionByName(for_kind[1]).unionByName(for_kind[2])
-    return random.distinct().select(F.lit(True).alias("random"), "value").unionByName(ordinary)
+    random = random.select(_runs_as_one(F.col("value")).alias("value")).distinct()
+    return random.select(F.lit(True).alias("random"), "value").unionByName(ordinary)
 
 
 def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -116,7 +144,7 @@ def with_spans(docs: DataFrame, ratios: list[float] | None, text_col: str = "tex
     def ratio(value: Column) -> Column:
         start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
         return F.aggregate(
-            _codes(value), start,
+            _codes(_runs_as_one(value)), start,
             lambda a, c: F.struct(c.alias("last"), (a["sum"] + F.element_at(table, a["last"] * STATES + c + 1)).alias("sum")),
             lambda a: a["sum"],
         )
