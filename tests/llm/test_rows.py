@@ -312,3 +312,40 @@ def test_what_holds_the_page_is_not_left_out():
 def spark_free(name):
     """A frame as far as names go."""
     return type("Named", (), {"columns": ["html", name]})()
+
+
+def test_random_strings_are_told_from_ordinary_ones(spark):
+    """The models of the given documents: dates, rules, slugs, paths and identifiers pass, random strings do not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.train(secrets.labelled_samples(docs))
+    rng = random.Random(8)
+    draw = lambda n, letters=62: "".join(rng.choice(secrets.ALPHABET[:letters]) for _ in range(n))
+    ordinary = [
+        "2024-01-01T00-00-00", "1999/12/31/23/59/59", "-" * 34, "_" * 20, "x" * 40, "=" * 5 + "-" * 30 + "/" * 20,
+        "https-docs-example-org-path-to-page", "/usr/local/share/applications/default", "the_name_of_the_function", "thisIsTheNameOfTheHandler",
+        "src/main/resources/configuration", "and-then-there-were-none-of-them", "00000000-0000-0000-0000-000000000000", "----------and----------",
+    ]
+    hidden = [draw(n) for n in (20, 24, 32, 40, 64) for _ in range(20)]
+    behind = [f"/services/hooks/production/of/the/region/{draw(32)}" for _ in range(40)]
+    rows = [(i, f"see {t} here") for i, t in enumerate([*ordinary, *hidden, *behind])]
+    spans = secrets.with_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), ratios).collect()
+    found = {r.doc_id for r in spans if any(s.kind == "markov" for s in r.spans)}
+    n = len(ordinary)
+    assert [ordinary[i] for i in range(n) if i in found] == []
+    assert sum(i in found for i in range(n, n + 100)) >= 99
+    assert sum(i in found for i in range(n + 100, n + 140)) >= 38
+
+
+def test_names_that_are_taken_are_refused(spark):
+    import public_tokenizers
+
+    from vakanz.llm import bpe, tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark, [(1, "some text")])  # with columns ids, n_tokens and others
+    for add in (lambda: tokens.with_token_counts(docs, path), lambda: bpe.encoded(docs, path), lambda: bpe.round_trip(docs, path), lambda: bpe.round_trip(docs, path, ids="x", decoded="X")):
+        with pytest.raises(ValueError):
+            add()
+    assert tokens.with_token_counts(docs, path, into="count").first()["n_tokens"] == "n_tokens"
+    found = bpe.round_trip(docs, path, ids="own").first()
+    assert found["ids"] == "ids" and found["decoded"].startswith("some")

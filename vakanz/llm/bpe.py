@@ -6,7 +6,8 @@ table), else takes a shorter one or steps back; a symbol found unreachable is ne
 so time is linear in the word. Only tokens that encode alone as themselves are matched.
 
 A null text is an empty one without ids; null ids decode to an empty text; empty tables give
-empty results; other columns stay.
+empty results; repeated rows have equal results; other columns stay, and names that are taken are
+refused for new ones. Whole texts are encoded, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vakanz.llm.common import mapped_texts, ready
+from vakanz.llm.common import mapped_texts, ready, refuse_taken
 from vakanz.llm.vocab import BYTE_CHARACTERS, END, Memory, Vocabulary, read
 
 #: Where the symbols that carry the word end begin; the others are below.
@@ -176,6 +177,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids
 def with_decoded(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text that the ids stand for."""
     ready(docs.sparkSession)
+    refuse_taken(docs, into)
 
     @F.arrow_udf(StringType())
     def decode(rows: pa.Array) -> pa.Array:

@@ -115,8 +115,10 @@ def mapped_texts(
 
     ``make`` gets texts of ``SLICE_BYTES`` or one longer text, and its results are passed on at
     once, so a worker holds little more than a batch of its input. A null text is an empty one.
+    Names that are taken are refused.
     """
     ready(docs.sparkSession)
+    refuse_taken(docs, *StructType.fromDDL(added).names, but=text_col)
     place = docs.columns.index(text_col)
     others = [i for i in range(len(docs.columns)) if i != place]
     schema = StructType([docs.schema.fields[i] for i in others] + StructType.fromDDL(added).fields)
@@ -140,6 +142,14 @@ def mapped_texts(
     return docs.mapInArrow(run, schema)
 
 
+def refuse_taken(df: DataFrame, *names: str, but: str = "") -> None:
+    """ValueError if a column to be added has the name of one that stays, in any letter case, or of another."""
+    taken = [c.lower() for c in df.columns if c != but] + [n.lower() for n in names]
+    twice = [n for n in names if taken.count(n.lower()) > 1]
+    if twice:
+        raise ValueError(f"columns must be new: {', '.join(twice)}")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, in any letter case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vakanz.llm.common import ready, words_of
+from vakanz.llm.common import ready, refuse_taken, words_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -366,8 +366,7 @@ def main_text(html: str | None) -> str:
 
 def with_main_text(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
-    if into.lower() in {c.lower() for c in pages.columns}:
-        raise ValueError(f"column {into} must be new")
+    refuse_taken(pages, into)
     ready(pages.sparkSession)
 
     @F.arrow_udf(StringType())

@@ -220,10 +220,6 @@ _KIND = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("per
 
 def with_runs(docs: DataFrame, text_col: str = "text", runs: str = "runs", rest: str = "collapsed") -> DataFrame:
     """``docs`` with all runs of each text, and the text without repeated periods in place of the text."""
-    taken = {c.lower() for c in docs.columns if c != text_col}
-    if {runs.lower(), rest.lower()} & taken or runs.lower() == rest.lower():
-        raise ValueError(f"columns {runs} and {rest} must be new")
-
     def make(texts: list[str]) -> list[pa.Array]:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         found = text_runs(words)

@@ -2,8 +2,8 @@
 
 It is proved once, on the driver, which vocabulary strings encode alone as one token. Workers
 count words among these directly and merge only the rest. Whole texts are counted. A null text is
-an empty one with no tokens; an empty table gives an empty result; the caller's other columns
-stay, whatever their names.
+an empty one with no tokens; an empty table gives an empty result; repeated rows have equal counts.
+The caller's other columns stay; a name that is taken is refused for the new one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vakanz.llm.common import held, ready, words_of
+from vakanz.llm.common import held, ready, refuse_taken, words_of
 from vakanz.llm.vocab import BYTES, END, Memory, Vocabulary, read, symbols
 
 
@@ -54,6 +54,7 @@ def with_token_counts(
     """``docs`` with the number of tokens of each text."""
     spark = docs.sparkSession
     ready(spark)
+    refuse_taken(docs, into)
     whole = spark.sparkContext.broadcast(whole_words(path))  # bounded by the vocabulary
 
     @F.arrow_udf(LongType())
