@@ -349,3 +349,41 @@ def test_names_that_are_taken_are_refused(spark):
     assert tokens.with_token_counts(docs, path, into="count").first()["n_tokens"] == "n_tokens"
     found = bpe.round_trip(docs, path, ids="own").first()
     assert found["ids"] == "ids" and found["decoded"].startswith("some")
+
+
+def test_parts_of_a_benchmark_find_what_one_finds(spark, monkeypatch):
+    items = [(i, prose(300 + i, 12 + 3 * i)) for i in range(24)] + [(7, prose(307, 33)), (None, prose(400, 20))]
+    texts = [(i, f"{prose(500 + i, 40)} {items[i % 26][1]} {items[(7 * i) % 26][1] if i % 3 else ''} {prose(600 + i, 9)}") for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents(spark, [*texts, (90, None), (91, "")]).drop("leaks")
+    report = lambda: sorted(repr((*r[:4], round(r[4], 9))) for r in leaks.leak_report(docs, benchmark).collect())
+    whole = report()
+    monkeypatch.setattr(leaks, "PART_ITEMS", 5)
+    assert leaks.stored_indexes(benchmark)[1] == 6 and report() == whole
+    kept = leaks.clean_documents(docs, benchmark)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {90, 91}
+
+
+def test_weights_are_those_of_bm25(spark):
+    """Scores of items that stand whole or in half, by the formula over all items."""
+    import math
+
+    items = [(i, prose(700 + i, 20 + i) + " common words here") for i in range(12)]
+    own = [leaks.words(t) for _, t in items]
+    n, mean = len(own), sum(map(len, own)) / len(own)
+    has = Counter(w for words in own for w in set(words))
+
+    def weight(word, words):
+        tf = words.count(word)
+        idf = math.log(1 + (n - has[word] + 0.5) / (has[word] + 0.5))
+        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+
+    texts = [" ".join(words) for words in own] + [" ".join(words[len(words) // 4 :]) for words in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for r in leaks.with_leaks(docs, benchmark).collect():
+        words, there = own[r.doc_id % 12], set(leaks.words(r.text))
+        whole = sum(weight(w, words) for w in set(words))
+        score = sum(weight(w, words) for w in set(words) if w in there) / whole
+        found = {x.item_id: x.score for x in r.leaks}
+        assert abs(found[r.doc_id % 12] - score) < 1e-9

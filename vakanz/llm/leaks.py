@@ -11,14 +11,21 @@ of their question and of their answer stand in the window.
 Words are ``\\w+`` in lower case. The answer is what follows the last question mark, else the last
 sentence, else the last third; without a question mark it is lengthened to ``ANSWER_WORDS`` words
 or a third of the item, but not beyond its half, so that it has several runs and one edited or
-missing word does not decide. Null texts are empty; items and texts without words match nothing;
-repeated items are all reported; null item ids stay null; empty tables give no leaks.
+missing word does not decide.
+
+Indexes are built in tasks and stored; driver and workers hold one of bounded size at a time. Null
+texts are empty; items and texts without words match nothing; texts are read whole, whatever their
+length; repeated items are all reported, and repeated texts alike; null item ids stay null; empty
+tables give no leaks. Other columns are kept, and a name that is taken is refused for the new one.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from vakanz.llm.common import free_name, give_back, ready, words_of
+from vakanz.llm.common import counted_broadcast, free_name, give_back, held, ready, refuse_taken, staged, words_of
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -41,8 +48,8 @@ ANSWER_WORDS = 8
 BLOCK_ITEMS = 8
 #: What the commonest words may add to a score without being looked up for the first bound.
 SLACK = 0.1
-#: Items of one index, which every worker holds; more items make more indexes.
-PART_ITEMS = 20_000
+#: Items and words of one index, which every worker holds; more items make more indexes.
+PART_ITEMS, PART_WORDS = 20_000, 2_000_000
 #: Bounds computed at once.
 CELLS = 1 << 21
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
@@ -238,48 +245,78 @@ def _item_words(text: Column) -> Column:
     return split(text)
 
 
-def indexes_of(benchmark: DataFrame) -> list:
-    """Broadcast lists of indexes, of at most about ``PART_ITEMS`` items each.
+def stored_indexes(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """``part, index``, written, and the number of parts: each index is built in a task from its items.
 
+    A part has about ``PART_ITEMS`` items and ``PART_WORDS`` words at most (or one longer item).
     Frequencies and lengths are counted by Spark over all items, so splitting changes no score.
     """
-    spark = benchmark.sparkSession
-    ready(spark)
+    ready(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("text"))
     split = items.select("item_id", "text", _item_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    total, mean = split.agg(F.count("*"), F.avg(F.size("words"))).first()
-    if not total:
-        return []
-    parts = -(-total // PART_ITEMS)
-    split = split.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    terms = split.select("part", F.explode(F.array_distinct("words")).alias("term"))
-    counts = terms.groupBy("term").count()
-    out = []
-    for part in range(parts):
-        own = [(r["item_id"], r["text"]) for r in split.filter(F.col("part") == part).select("item_id", "text").collect()]
+    split = staged(split.withColumn("item", F.monotonically_increasing_id()))
+    total, size = split.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    parts = max(-(-total // PART_ITEMS), -(-size // PART_WORDS))
+    mean = size / max(1, total)
+    terms = split.select("item", F.explode(F.array_distinct("words")).alias("term"))
+    counts = counted_broadcast(staged(terms.groupBy("term").agg(F.count("*").alias("n"))))
+    known = terms.join(counts, "term").groupBy("item").agg(F.collect_list(F.struct("term", "n")).alias("known"))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))).cast("int")
+    rows = split.join(known, "item").select(part.alias("part"), "item_id", "text", "known")
+
+    def build_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, frequency, number = [], {}, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                number = row["part"]
+                own.append((row["item_id"], row["text"]))
+                frequency.update((x["term"], x["n"]) for x in row["known"])
         if own:
-            here = counts.join(terms.filter(F.col("part") == part).select("term").distinct(), "term", "left_semi")
-            frequency = {r["term"]: r["count"] for r in here.collect()}
             own.sort(key=lambda x: (len(x[1]), x[1], x[0] is None, x[0] or 0))
-            out.append(spark.sparkContext.broadcast(build(own, frequency, total, mean)))
-    return out
+            data = pickle.dumps(build(own, frequency, total, mean))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "index": pa.array([data], pa.binary())})
 
+    return staged(rows.repartitionById(max(1, parts), "part").mapInArrow(build_part, "part int, index binary")), parts
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leaks") -> DataFrame:
-    """``docs`` with the leaking items of each text, by id."""
-    indexes = indexes_of(benchmark)
+
+def _searched(docs: DataFrame, data: bytes, text_col: str, into: str) -> DataFrame:
+    """``docs`` with the leaking items of one part; a worker holds one part at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(data)
+    key = "leaks", uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
-    def column(index) -> Column:
-        @F.arrow_udf(LEAK)
-        def search(texts: pa.Array) -> pa.Array:
-            give_back()
-            return pa.array([index.value.find(t.as_py()) for t in texts], kind)
+    @F.arrow_udf(LEAK)
+    def search(texts: pa.Array) -> pa.Array:
+        index = held(key, lambda: pickle.loads(shared.value))
+        give_back()
+        return pa.array([index.find(t.as_py()) for t in texts], kind)
+
+    return docs.withColumn(into, search(words_of(text_col)))
 
-        return search(words_of(text_col))
 
-    found = [column(i) for i in indexes]
-    return docs.withColumn(into, F.concat(*found) if found else F.array().cast(LEAK))
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leaks") -> DataFrame:
+    """``docs`` with the leaking items of each text, by id.
+
+    Several parts are searched one after another, each reading ``docs`` once; what they find is
+    united by a 128-bit hash of the text.
+    """
+    refuse_taken(docs, into)
+    ready(docs.sparkSession)
+    indexes, parts = stored_indexes(benchmark)
+    none = F.array().cast(LEAK)
+    index_of = lambda part: indexes.filter(F.col("part") == part).select("index").first()
+    if parts <= 1:
+        data = index_of(0)
+        return _searched(docs, data["index"], text_col, into) if data else docs.withColumn(into, none)
+    key = free_name(docs, "text_key")
+    keyed, found = docs.withColumn(key, F.md5(words_of(text_col).cast("binary"))), None
+    for part in range(parts):
+        if data := index_of(part):
+            hits = _searched(keyed.select(key, text_col), data["index"], text_col, into).filter(F.size(into) > 0)
+            hits = staged(hits.groupBy(key).agg(F.first(into).alias(into)))
+            found = hits if found is None else found.unionByName(hits)
+    united = staged(found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(into))).alias(into)))
+    return keyed.join(united, key, "left").withColumn(into, F.coalesce(into, none)).drop(key)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
