@@ -249,3 +249,15 @@ def test_a_stored_family_is_joined_where_it_lies(spark, store, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan and re.search(r"SelectedBucketsCount: (\d+) out of \1", plan)
     assert found.count() == 24 and store.read_family("k'och", stages, "posting_id")[0].count() == 12
+
+
+def test_runs_accumulate_where_asked_to(spark, store):
+    results, pages = landed(spark)
+    results = results.where("page_no = 10").limit(1).withColumn("search_term", F.lit("koch"))
+    some = pages.where("page_id < 4")
+    jobs.run(store, "koch", {1, 2}, results, some, accumulate=True)
+    assert store.open_index("koch")[0].count() == 4
+    jobs.run(store, "koch", {1, 2}, results, pages, accumulate=True)
+    assert store.read_links("koch").count() == 12 and store.open_index("koch")[0].count() == 12
+    jobs.run(store, "koch", {1, 2}, results, some)
+    assert store.open_index("koch")[0].count() == 4

@@ -124,26 +124,34 @@ def run(
     use_stored_postings: bool = False,
     re_index: bool = True,
     stop: DataFrame | None = None,
+    accumulate: bool = False,
 ) -> None:
     """Run the chosen stages for a search term, reusing stored results where asked to.
 
     Links are always gathered. Option 1 parses postings, options 1 and 2 build the index.
     ``result_pages(search_term, page_no, html)`` and ``pages(page_id, url, html)`` hold the
     landed pages; ``stop(term)`` are words that headings are not indexed by, the built-in ones if
-    not given.
+    not given. What was stored is replaced, or with ``accumulate`` added to: links of new job ids and
+    postings of new content.
     """
     if not use_stored_links:
         wanted = result_pages.where(F.lower(F.trim("search_term")) == search_term.strip().lower())
         links, bad_links = gather_links(wanted)
-        store.write_links(links, search_term, "page_no", "pos")
-        store.write(bad_links, search_term, "rejects/links")
+        if accumulate:
+            add_links(store, search_term, links, "page_no", "pos")
+        else:
+            store.write_links(links, search_term, "page_no", "pos")
+        store.write(bad_links, search_term, "rejects/links", adds=accumulate)
     if PARSE not in options:
         return
     if not use_stored_postings:
         links = broadcast_if_small(durable(store.read_links(search_term).select("url").distinct()))
         found, bad_pages = parse_pages(pages.join(links, "url", "left_semi"))
-        store.write(found, search_term, "postings")
-        store.write(bad_pages, search_term, "rejects/postings")
+        if accumulate:
+            add_postings(store, search_term, found)
+        else:
+            store.write(found, search_term, "postings")
+        store.write(bad_pages, search_term, "rejects/postings", adds=accumulate)
     postings = store.read("postings", search_term)
     store.export_postings(postings, search_term)
     if INDEX in options and (re_index or not store.available("index/postings", search_term)):
