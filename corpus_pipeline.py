@@ -4,7 +4,9 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and is written as Parquet a
 before the next. All but the last keep the columns of ``docs``, whatever they are; documents are
 dropped whole, never changed. The last adds the token ids, their number, and the decoded text.
 
-A null text is an empty one; an empty table passes through; of repeated rows one stays.
+A null text is an empty one; an empty table passes through; of repeated rows one stays. Texts are
+read whole by every stage, whatever their length; the stages name their own columns apart from those
+of ``docs``.
 """
 
 from __future__ import annotations

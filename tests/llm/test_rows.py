@@ -387,3 +387,32 @@ def test_weights_are_those_of_bm25(spark):
         score = sum(weight(w, words) for w in set(words) if w in there) / whole
         found = {x.item_id: x.score for x in r.leaks}
         assert abs(found[r.doc_id % 12] - score) < 1e-9
+
+
+def test_notices_are_those_of_brute_force(spark):
+    """Every place of every notice, with words changed, missing in front, or cut off."""
+    rng, rows = random.Random(6), []
+    known = [t for t in licences.templates() if not t.base]
+    for i in range(200):
+        words = list(rng.choice(known).words)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = rng.choice(("changed", "license", "the", "software"))
+        words = words[rng.choice((0, 0, 1, 3)) : rng.choice((len(words), len(words), len(words) - 2))]
+        around = [prose(3000 + i, 6).split() if rng.random() < 0.6 else [] for _ in range(2)]
+        rows.append((i, " ".join([*around[0], *words, *around[1], *(rng.choice(known).words if i % 5 == 0 else ())])))
+    docs = documents(spark, rows)
+    weight = licences.idf(docs, sorted({w for t in licences.templates() for w in t.words}), "text")
+    found = {r.doc_id: r for r in licences.licence_scan(docs).collect()}
+    some = 0
+    for i, text in rows:
+        words, labels = WORD.findall(text), set(filter(None, brute_licences(text)[4].split(",")))
+        for t in known:
+            total = sum(weight[w] for w in t.words)
+            for begin in range(-t.key_at, len(words)):
+                if begin + t.key_at >= 0 and tuple(words[begin + t.key_at :][: len(t.key)]) == t.key:
+                    agrees = sum(weight[w] for j, w in enumerate(t.words) if 0 <= begin + j < len(words) and words[begin + j] == w)
+                    if agrees / total >= licences.AGREE:
+                        labels.add(t.label)
+        some += bool(labels)
+        assert found[i].labels == ",".join(sorted(labels)), text
+    assert some > 100

@@ -77,6 +77,8 @@ def test_report_is_that_of_brute_force(spark):
     rng = random.Random(13)
     rows = [(i, " ".join(w.decode() for w in words_with_runs(rng))) for i in range(300)]
     rows += [(i, fixtures.prose(i, 120)) for i in range(300, 400)]
+    tenth = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += list(zip(tenth, (None, "", " \t", "a", "a b", fixtures.prose(5, 300), "x " * 40), strict=False))
     rows += [(None, "a b " * 9), (400, None), (401, ""), (402, " \t\x0b\n"), (403, " x y " * 7), (7, rows[7][1])]
     found = runs.run_report(runs.with_planted_runs(fixtures.documents(spark, rows))).collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(repr(report(*r)) for r in rows)

@@ -9,7 +9,8 @@ place of a key phrase has both its rare words, so no place is missed. A template
 the text does: its words before the text agree with nothing, as if other words stood there.
 
 A null text is an empty one; texts without licences have empty labels, null places and score 0;
-repeated rows give repeated rows; an empty table gives an empty result.
+repeated rows give repeated rows; an empty table gives an empty result. Texts are read whole, and
+what is done in a row grows with its length. Other columns are not looked at.
 """
 
 from __future__ import annotations

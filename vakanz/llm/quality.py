@@ -6,7 +6,8 @@ forward-backward marginals of "good", weighted by line length, are the document'
 Labels are learnt from a bounded sample (``TRAIN_DOCS`` labelled ids a class with the smallest
 hashes, of at most ``TRAIN_LINES`` lines each); scoring reads whole texts. Null and empty texts
 are one empty line. Labels that are null or contradict each other are not used; without labels of
-both classes every score is 0.5. An empty table gives an empty result; other columns are kept.
+both classes every score is 0.5. An empty table gives an empty result; repeated rows have equal
+scores; other columns are kept by ``accepted_documents``, whatever their names.
 """
 
 from __future__ import annotations
