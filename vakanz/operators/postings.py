@@ -108,7 +108,7 @@ def distinct_postings(postings: DataFrame) -> DataFrame:
     """
     keys = postings.select("posting_id", "page_id")
     copied = keys.groupBy("posting_id").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    copied = broadcast_if_small(durable(copied.where("first < last").select("posting_id", "first")))
+    copied = copied.where("first < last").select("posting_id", "first")
     going = broadcast_if_small(durable(keys.join(copied, "posting_id").where("page_id > first").drop("first")))
     return postings.where("page_id IS NOT NULL").join(going, ["posting_id", "page_id"], "left_anti")
 
