@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import fixtures
 import numpy as np
@@ -95,6 +96,61 @@ def test_slopes_are_those_of_small_steps():
             assert abs((up - down) / 2e-5 - slopes.reshape(-1)[at]) < 0.02 * abs(slopes.reshape(-1)[at]) + 1e-4
 
 
+def test_long_texts_and_every_label_are_learnt(spark):
+    """One kind of insult stands in long texts only; more texts are labelled than one step or sample takes."""
+    rows, rng = [], random.Random(6)
+    for i, text, _ in corpus(6, 1000):
+        toxic = i % 4 == 0
+        if i % 2 == 0:  # half of the texts, half of them toxic, are longer than 8000 characters
+            text += " " + fixtures.prose(i, 1800)
+        if toxic:
+            words = text.split()
+            words[rng.randrange(len(words))] = "zwurbel" + rng.choice(("", "ig", "t"))
+            text = " ".join(words)
+        rows.append((i, text.replace("grumb", "tame").replace("knolz", "zahm"), int(toxic)))
+    docs = fixtures.documents(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    learnt = tox.learnable(docs, labels).cache()
+    own = {i: (t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5}
+    assert {r["doc_id"]: (r["text"], r["label"]) for r in learnt.select("doc_id", "text", "label").collect()} == own
+    counts = np.zeros((2, tox.BUCKETS), int)
+    for text, label in own.values():
+        counts[label, np.unique(tox.buckets(text))] += 1
+    counts[:, 0] = 0
+    found = {tuple(r) for r in tox.bucket_counts(learnt).collect()}
+    assert found == {(b, *counts[:, b].tolist()) for b in np.flatnonzero(counts.sum(0) >= tox.LEAST_DOCS).tolist()}
+    truth = {i: t for i, _, t in rows}
+    report = [r for r in tox.toxicity_report(docs, labels).collect() if r["held_out"] and r["doc_id"] % 2 == 0]
+    assert len(report) > 50 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in report]) > 0.97
+
+
+def test_of_a_repeated_id_the_least_text_is_learnt_once(spark):
+    docs = fixtures.documents(spark, [(1, "b"), (1, "a"), (1, "a"), (2, "c"), (2, None), (3, "d"), (4, "e"), (None, "f")])
+    labels = spark.createDataFrame([(i, 1) for i in (1, 1, 2, 3, None)] + [(4, 0), (4, 1)], "doc_id bigint, toxic int")
+    found = sorted((r["doc_id"], r["text"]) for r in tox.learnable(docs, labels).collect())
+    assert found == [(i, t) for i, t in ((1, "a"), (2, ""), (3, "d")) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_the_gradient_of_a_batch_is_the_same_from_any_tasks(spark):
+    rows = corpus(7, 80) + [(80, "", 1)]
+    texts, labels = [tox.buckets(t) for _, t, _ in rows], np.array([y for _, _, y in rows])
+    network = tox.fit(texts, labels, rounds=1)
+    docs = spark.createDataFrame([(y, t) for _, t, y in rows], "label int, text string")
+    weights = np.array([0.7, 2.0])
+    one, many = (tox.batch_slopes(docs.repartition(n), network, weights) for n in (1, 7))
+    assert all((x == y).all() for x, y in zip(one, many, strict=True))
+    alone = tox._slopes(network, [network.rows[t] for t in texts[:80]], labels[:80], weights[labels[:80]], network.bias)
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-5) for x, y in zip(one, alone, strict=True))
+    assert tox.batch_slopes(docs.limit(0), network, weights) is None
+
+
+def test_the_threshold_parts_counted_classes():
+    places, clean, toxic = np.array([-5, 0, 1, 9, 30]), np.array([14, 2, 1, 0, 0]), np.array([0, 0, 1, 3, 5])
+    assert tox.threshold(places, clean, toxic) == (0 + 1 + 1) / 2 * tox.GRID
+    assert tox.threshold(places, clean, np.array([0, 0, 0, 3, 5])) == (1 + 1 + 9) / 2 * tox.GRID
+    assert tox.threshold(places[:1], clean[:1], toxic[:1]) > -5 * tox.GRID > tox.threshold(places[:1], toxic[:1], clean[:1])
+
+
 def test_odd_rows_no_labels_and_taken_names(spark):
     docs = fixtures.documents(spark, fixtures.odd_rows())
     labels = spark.createDataFrame([(5, 1), (6, 0), (6, 1), (None, 1), (7, None), (1, 0), (2, 0)], "doc_id bigint, toxic int")

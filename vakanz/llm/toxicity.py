@@ -3,42 +3,52 @@
 A word (``\\w+`` in lower case) is the sum of the embeddings of its hashed features: the word itself,
 its first letters and its last ones, so inflected and unseen words share what they begin or end
 with. Filters of several widths slide over the words of a whole text, each keeps its largest value
-(max pooling over the text), and a logistic layer weighs these. All of it is trained in numpy.
-Features seen in fewer than ``LEAST_DOCS`` learnt texts have no embedding.
+(max pooling over the text), and a logistic layer weighs these. All of it is trained: every label
+that may be learnt takes part, three texts in four in the fit, the others in the thresholds, and no
+text is cut. Spark counts the texts of each class that have a feature, and those seen in fewer than
+``LEAST_DOCS`` have no embedding. The texts of the fit are dealt to ``BATCHES`` by their ids; a step
+is the gradient of a batch, summed by Spark over tasks that compute it in numpy, and the driver holds
+the network and one such sum. Sums are of whole numbers, so that how rows are dealt to tasks changes
+nothing.
 
 Thresholds are calibrated on learnt labels that took no part in the fit, for each language with
-enough of them, else over all languages. The language is read from the text's own function words. A
-score is the logistic function of what exceeds the threshold: 0.5 stands at it.
-
-Labels are learnt from a bounded sample (``TRAIN_DOCS`` toxic ids with the smallest hashes and
-``CLEAN_SHARE`` times as many others, of texts of at most ``TRAIN_CHARS`` characters); scoring reads
-whole texts, some thousand words at a time. Null and empty texts, and texts without words, have the
-score of no word at all. Labels that are null or contradict each other are not used; without labels
-of both classes every score is 0. An empty table gives an empty result; repeated rows have equal
-scores; other columns are kept by ``with_toxicity``, which refuses a name that is taken.
+enough of them, else over all languages, in counts by ``GRID`` of what the network gives. The language
+is read from the text's own function words. A score is the logistic function of what exceeds the
+threshold: 0.5 stands at it.
+
+Texts are learnt and scored whole, some thousand words at a time. Null and empty texts, and texts
+without words, have the score of no word at all. Of the texts of a repeated id the least one is
+learnt, once. Labels that are null or contradict each other are not used; without labels of both
+classes every score is 0. An empty table gives an empty result; repeated rows have equal scores;
+other columns are kept by ``with_toxicity``, which refuses a name that is taken.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from vakanz.llm.common import among_least, give_back, ready, refuse_taken, staged, words_of
+from vakanz.llm.common import counted_broadcast, give_back, ready, refuse_taken, remove, staged, words_of, written
+from vakanz.runtime import stage_folder
 
-#: Bounds of the training sample.
-TRAIN_DOCS, CLEAN_SHARE, TRAIN_CHARS = 800, 3, 8000
 LEAST_DOCS = 3
 BUCKETS = 1 << 20
 DIMS, WIDTHS, FILTERS = 12, (1, 2, 3), 8
-ROUNDS, BATCH, RATE = 5, 64, 0.01
+#: Passes over the texts of the fit, and batches that they are dealt to.
+ROUNDS, BATCHES, RATE = 3, 12, 0.02
+#: Gradients are summed as whole numbers of this unit.
+UNIT = 2.0**-32
+#: Thresholds are found in steps of this size, up to ``FAR`` on both sides of zero.
+GRID, FAR = 2.0**-10, 64.0
+#: The texts that the thresholds are found with, in place of a batch.
+ASIDE = -1
 #: Learnt labels of each class that a language needs for a threshold of its own.
 CALIBRATED = 20
 #: Characters hashed and words scored at once.
@@ -141,10 +151,14 @@ class Network:
     bias: float = 0.0
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def projected(self) -> np.ndarray:
-        """What each embedding adds to each place of each filter, side by side."""
-        flat = [f.transpose(1, 0, 2).reshape(DIMS, -1) for f in self.filters]
-        return (self.embeddings @ np.concatenate(flat, axis=1)).astype(np.float32)
+    def projection(self) -> np.ndarray:
+        """What a word's embedding adds to each place of each filter, side by side."""
+        return np.concatenate([f.transpose(1, 0, 2).reshape(DIMS, -1) for f in self.filters], axis=1)
+
+    def narrow(self) -> Network:
+        """The network in single precision, without its thresholds."""
+        short = lambda x: x.astype(np.float32)
+        return Network(self.rows, short(self.embeddings), [*map(short, self.filters)], [*map(short, self.biases)], short(self.weights), self.bias)
 
 
 def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -168,25 +182,35 @@ def activations(parts: np.ndarray, filters: int, biases: list[np.ndarray], width
     return out
 
 
+def pooled(network: Network, projection: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each filter over a text, 0 at least, and the word where it begins; ``found`` has a row a word."""
+    best = np.zeros(len(WIDTHS) * FILTERS, projection.dtype)
+    places = np.zeros(len(best), np.int64)
+    reach, each = WIDTHS[-1] - 1, np.arange(FILTERS)
+    for low in range(0, len(found), WORDS):
+        # With the next span's first words, so that every window is whole in one of them.
+        rows = found[low : low + WORDS + reach]
+        values = activations(summed(network.embeddings, rows) @ projection, FILTERS, network.biases)
+        here = WORDS if low + WORDS < len(found) else len(rows)
+        at = [v[:here].argmax(0) for v in values]
+        own = np.concatenate([v[i, each] for v, i in zip(values, at, strict=True)])
+        higher = own > best
+        best[higher], places[higher] = own[higher], low + np.concatenate(at)[higher]
+    return best, places
+
+
 class Scorer:
-    """A network with its embeddings projected once."""
+    """A network with the projection of its filters made once."""
 
     def __init__(self, network: Network):
-        self.network, self.table = network, network.projected()
-        self.biases = [b.astype(np.float32) for b in network.biases]
+        self.network, self.narrow = network, network.narrow()
+        self.projection = self.narrow.projection()
 
     def logit(self, text: str) -> tuple[float, int]:
         """What the network gives for a text, and its language or -1."""
         found = buckets(text)
-        pooled = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        reach = WIDTHS[-1] - 1
-        for low in range(0, len(found), WORDS):
-            # With the next span's first words, so that every window is whole in one of them.
-            rows = self.network.rows[found[low : low + WORDS + reach]]
-            values = activations(summed(self.table, rows), FILTERS, self.biases)
-            here = WORDS if low + WORDS < len(found) else len(rows)
-            pooled = np.maximum(pooled, np.concatenate([v[:here].max(0) for v in values]))
-        return float(pooled @ self.network.weights) + self.network.bias, language_of(found)
+        best, _ = pooled(self.narrow, self.projection, self.network.rows[found])
+        return float((best * self.network.weights).sum()) + self.network.bias, language_of(found)
 
     def score(self, text: str) -> float:
         logit, language = self.logit(text)
@@ -194,118 +218,123 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit - known.get(language, known[-1]), -30, 30))))
 
 
-def _vocabulary(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the buckets met in enough texts, and their smoothed log odds of toxic texts."""
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for found, label in zip(texts, labels.tolist(), strict=True):
-        counts[label, np.unique(found)] += 1
-    counts[:, 0] = 0
-    kept = np.flatnonzero(counts.sum(0) >= LEAST_DOCS)
-    rows = np.zeros(BUCKETS, np.int32)
-    rows[kept] = np.arange(1, len(kept) + 1)
-    totals = np.bincount(labels, minlength=2)
-    odds = np.log((counts[1, kept] + 0.5) / (totals[1] + 1)) - np.log((counts[0, kept] + 0.5) / (totals[0] + 1))
-    return rows, np.concatenate([[0], odds])
-
+def started(kept: np.ndarray, counts: np.ndarray, totals: np.ndarray, seed: int = 13) -> Network:
+    """A network that knows what counting alone says.
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 13) -> Network:
-    """Adam on the logistic loss; both classes weigh the same."""
+    ``counts`` are the clean and toxic texts that have each of the ``kept`` buckets, ``totals`` those of each class.
+    """
     rng = np.random.default_rng(seed)
-    rows, odds = _vocabulary(texts, labels)
-    embeddings = rng.normal(0, 0.05, (len(odds), DIMS))
-    # The first component starts as what counting alone says, and one filter reads it.
-    embeddings[:, 0] = odds / 2
+    rows = np.zeros(BUCKETS, np.int32)
+    rows[kept] = np.arange(1, len(kept) + 1)
+    # Smoothed log odds of toxic texts.
+    odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
+    embeddings = rng.normal(0, 0.05, (1 + len(kept), DIMS))
+    # The first component starts as the odds, and one filter reads it.
+    embeddings[1:, 0] = odds / 2
     embeddings[0] = 0
     filters = [rng.normal(0, 0.2, (w, DIMS, FILTERS)) for w in WIDTHS]
     for own in filters:
         own[:, 0, 0] = 1 / len(own)
     weights = np.abs(rng.normal(0, 0.1, len(WIDTHS) * FILTERS))
     weights[::FILTERS] = 0.5
-    biases = [np.zeros(FILTERS) for _ in WIDTHS]
-    network = Network(rows, embeddings, filters, biases, weights)
+    return Network(rows, embeddings, filters, [np.zeros(FILTERS) for _ in WIDTHS], weights)
+
 
-    coded = [rows[found] for found in texts]
-    state = [embeddings, *filters, *biases, weights, np.zeros(1)]
+def descend(network: Network, slopes_of: Callable[[Network, int], list[np.ndarray] | None], rounds: int = ROUNDS) -> None:
+    """Adam over all batches, ``rounds`` times; ``slopes_of`` gives the gradient of a batch, or None if it is empty."""
+    bias = np.array([network.bias])
+    state = [network.embeddings, *network.filters, *network.biases, network.weights, bias]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
-    share = np.bincount(labels, minlength=2) / len(labels)
-    importance = 0.5 / share[labels]
     step = 0
-    usable = np.array([i for i, own in enumerate(coded) if len(own)], np.int64)
-    for _ in range(rounds):
-        order = rng.permutation(usable)
-        for low in range(0, len(order), BATCH):
-            step, at = step + 1, order[low : low + BATCH]
-            slopes = _slopes(network, [coded[i] for i in at], labels[at], importance[at], state[-1][0])
-            for i, slope in enumerate(slopes):
-                first[i] = 0.9 * first[i] + 0.1 * slope
-                second[i] = 0.999 * second[i] + 0.001 * slope**2
-                state[i] -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-            state[0][0] = 0
-    network.bias = float(state[-1][0])
+    for batch in [*range(BATCHES)] * rounds:
+        slopes = slopes_of(network, batch)
+        if slopes is None:
+            continue
+        step += 1
+        for i, slope in enumerate(slopes):
+            first[i] = 0.9 * first[i] + 0.1 * slope
+            second[i] = 0.999 * second[i] + 0.001 * slope**2
+            state[i] -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+        state[0][0] = 0
+        network.bias = float(bias[0])
+
+
+def importance(totals: np.ndarray) -> np.ndarray:
+    """The weight of a text of each class: both classes weigh the same."""
+    return 0.5 * totals.sum() / totals
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """A network of a few texts, given as ``buckets``, without Spark; texts are dealt to batches by their places."""
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for found, label in zip(texts, labels.tolist(), strict=True):
+        counts[label, np.unique(found)] += 1
+    counts[:, 0] = 0
+    totals, kept = np.bincount(labels, minlength=2), np.flatnonzero(counts.sum(0) >= LEAST_DOCS)
+    network = started(kept, counts[:, kept], totals)
+    coded = [network.rows[found] for found in texts]
+
+    def slopes_of(network: Network, batch: int) -> list[np.ndarray] | None:
+        at = [i for i in range(batch, len(coded), BATCHES) if len(coded[i])]
+        return _slopes(network, [coded[i] for i in at], labels[at], importance(totals)[labels[at]], network.bias) if at else None
+
+    descend(network, slopes_of, rounds)
     return network
 
 
-def _slopes(network: Network, batch: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, bias: float) -> list[np.ndarray]:
-    """The gradient of the mean loss: of embeddings, filters, biases, weights and bias."""
-    projected = network.projected()
-    pooled = np.zeros((len(batch), len(WIDTHS) * FILTERS))
-    chosen = np.zeros(pooled.shape, np.int64)
-    for i, own in enumerate(batch):
-        found = activations(summed(projected, own), FILTERS, network.biases)
-        best = [v.argmax(0) for v in found]
-        chosen[i] = np.concatenate(best)
-        pooled[i] = np.concatenate([v[b, np.arange(FILTERS)] for v, b in zip(found, best, strict=True)])
-    active = pooled > 0
-    pooled *= active
-    logit = pooled @ network.weights + bias
-    off = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * importance / len(batch)
-    back = off[:, None] * network.weights * active
-    words, sizes = np.concatenate(batch), np.array([len(own) for own in batch])
-    starts = np.cumsum(sizes) - sizes
-    to_embeddings = np.zeros_like(network.embeddings)
-    to_filters, to_biases = [np.zeros_like(f) for f in network.filters], []
+def _own_slopes(
+    network: Network, projection: np.ndarray, own: np.ndarray, label: int, weight: float, bias: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient of one text's loss: rows of embeddings, which may repeat, their slopes, and those of ``_dense`` parts."""
+    best, places = pooled(network, projection, own)
+    active = best > 0
+    off = (1 / (1 + np.exp(-np.clip((best * network.weights).sum() + bias, -30, 30))) - label) * weight
+    back = off * network.weights * active
+    numbers, vectors, to_filters = [], [], [np.zeros_like(f) for f in network.filters]
     for k, width in enumerate(WIDTHS):
         at = slice(k * FILTERS, (k + 1) * FILTERS)
-        to_biases.append(back[:, at].sum(0))
-        doc, which = np.nonzero(back[:, at])
-        amount = back[:, at][doc, which]
+        which = np.flatnonzero(back[at])
         for j in range(width):
-            place = chosen[:, at][doc, which] + j
-            inside = place < sizes[doc]
-            numbers = words[starts[doc[inside]] + place[inside]]
-            vector = network.embeddings[numbers].sum(1)
-            np.add.at(to_filters[k][j].T, which[inside], vector * amount[inside, None])
-            slope = amount[inside, None] * network.filters[k][j].T[which[inside]]
-            np.add.at(to_embeddings, numbers.ravel(), np.repeat(slope, numbers.shape[1], axis=0))
-    to_embeddings[0] = 0
-    return [to_embeddings, *to_filters, *to_biases, off @ pooled, np.array([off.sum()])]
-
-
-def threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the best mean of both classes' accuracy."""
-    order = np.argsort(logits, kind="stable")
-    values, marks = logits[order], labels[order]
-    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
-    toxic = marks.sum() - np.concatenate([[0], np.cumsum(marks)])
-    clean = np.concatenate([[0], np.cumsum(1 - marks)])
-    quality = toxic / max(1, marks.sum()) + clean / max(1, (1 - marks).sum())
-    gaps = np.concatenate([[0], np.diff(values), [0]])
-    quality[1:-1][gaps[1:-1] == 0] = -1  # equal values cannot be told apart
-    best = np.flatnonzero(quality >= quality.max() - 1e-9)
-    return float(cuts[best[gaps[best].argmax()]])
+            inside = which[places[at][which] + j < len(own)]
+            words, amount = own[places[at][inside] + j], back[at][inside, None]
+            to_filters[k][j][:, inside] = (network.embeddings[words].sum(1) * amount).T
+            numbers.append(words.ravel())
+            vectors.append(np.repeat(amount * network.filters[k][j].T[inside], words.shape[1], axis=0))
+    numbers, vectors = np.concatenate(numbers), np.concatenate(vectors)
+    dense = np.concatenate([*(f.ravel() for f in to_filters), back, off * best, [off]])
+    return numbers[numbers > 0], vectors[numbers > 0], dense
 
 
-def calibrate(network: Network, texts: list[str], labels: np.ndarray) -> None:
-    """Set thresholds by language, and at -1 the one of all others."""
-    scorer = Scorer(network)
-    found = [scorer.logit(t) for t in texts]
-    logits, languages = np.array([x for x, _ in found], float), np.array([x for _, x in found], int)
-    both = len(labels) and labels.min() != labels.max()
-    network.thresholds = {-1: threshold(logits, labels) if both else 0.0}
-    for language in range(len(LANGUAGES)):
-        own = languages == language
-        if own.any() and np.bincount(labels[own], minlength=2).min() >= CALIBRATED:
-            network.thresholds[language] = threshold(logits[own], labels[own])
+def _parts(network: Network, dense: np.ndarray) -> list[np.ndarray]:
+    """The slopes of filters, biases, weights and bias, shaped like them."""
+    shapes = [x.shape for x in (*network.filters, *network.biases, network.weights)] + [(1,)]
+    cuts = np.cumsum([int(np.prod(shape)) for shape in shapes])[:-1]
+    return [part.reshape(shape) for part, shape in zip(np.split(dense, cuts), shapes, strict=True)]
+
+
+def _slopes(network: Network, batch: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, bias: float) -> list[np.ndarray]:
+    """The gradient of the mean loss: of embeddings, filters, biases, weights and bias."""
+    projection, to_embeddings, total = network.projection(), np.zeros_like(network.embeddings), 0.0
+    for own, label, weight in zip(batch, labels.tolist(), importance.tolist(), strict=True):
+        numbers, vectors, dense = _own_slopes(network, projection, own, label, weight, bias)
+        np.add.at(to_embeddings, numbers, vectors)
+        total = total + dense
+    return [x / len(batch) for x in (to_embeddings, *_parts(network, total))]
+
+
+def threshold(places: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the widest gap among the cuts with the best mean of both classes' accuracy.
+
+    ``clean`` and ``toxic`` texts are counted by ``places`` on the grid, in ascending order.
+    """
+    below = np.concatenate([[0], np.cumsum(clean)]), np.concatenate([[0], np.cumsum(toxic)])
+    quality = (below[1][-1] - below[1]) / max(1, below[1][-1]) + below[0] / max(1, below[0][-1])
+    gaps = np.concatenate([[0], np.diff(places) - 1, [0]])
+    best = np.flatnonzero(quality >= quality.max() - 1e-9)
+    at = int(best[gaps[best].argmax()])
+    if at in (0, len(places)):
+        return float(places[0] - 1 if at == 0 else places[-1] + 2) * GRID
+    return float(places[at - 1] + 1 + places[at]) / 2 * GRID
 
 
 def held_out(id_col: Column) -> Column:
@@ -313,37 +342,158 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
-    """A network fitted and calibrated on the driver with the bounded sample."""
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, label, text`` of every labelled document that is not held out, one row an id, with its whole text."""
     usable = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("other"))
         .filter("label = other")
     )
     usable = staged(usable.select("doc_id", "label"))
-    hashed = F.xxhash64("doc_id")
-    chosen = None
-    for label, wanted in ((1, train_docs), (0, CLEAN_SHARE * train_docs)):
-        own = usable.filter(F.col("label") == label)
-        own = own.filter(among_least(hashed, own.count(), wanted))
-        part = own.orderBy(hashed, "doc_id").limit(wanted)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # A repeated id counts once: the sample stays bounded.
-    texts = (
-        docs.select("doc_id", words_of("text").alias("text")).filter(F.length("text") <= TRAIN_CHARS)
-        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    texts = docs.select("doc_id", words_of("text").alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # Of ids, few of which repeat as a rule, only those that do have their texts compared.
+    ids = texts.select("doc_id").join(counted_broadcast(usable), "doc_id", "left_semi")
+    repeated = staged(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    own = texts.join(counted_broadcast(usable), "doc_id")
+    if repeated.isEmpty():
+        return own
+    again = counted_broadcast(repeated)
+    least = own.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return own.join(again, "doc_id", "left_anti").unionByName(least)
+
+
+def bucket_counts(learnt: DataFrame) -> DataFrame:
+    """``bucket, clean, toxic``: the texts of ``learnt(label, text)`` that have each bucket, where they are enough."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for label, text in zip(batch["label"].to_pylist(), batch["text"], strict=True):
+                counts[label, np.unique(buckets(text.as_py()))] += 1
+            give_back()
+        counts[:, 0] = 0
+        met = np.flatnonzero(counts.any(0)).astype(np.int32)
+        for low in range(0, len(met), 1 << 16):
+            at = met[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "clean", "toxic"])
+
+    found = learnt.select("label", "text").mapInArrow(count, "bucket int, clean long, toxic long")
+    summed = found.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return summed.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
+
+
+_SLOPES = [f"s{i}" for i in range(DIMS)]
+
+
+def batch_slopes(learnt: DataFrame, network: Network, weights: np.ndarray) -> list[np.ndarray] | None:
+    """The gradient of the mean loss over all of ``learnt(label, text)``; None if no text has a word.
+
+    Summed in units by row of the embeddings; the other parts and the number of texts follow in rows below zero.
+    """
+    ready(learnt.sparkSession)
+    shared = learnt.sparkSession.sparkContext.broadcast(network.narrow())
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, whole = shared.value, lambda x: np.rint(x.astype(np.float64) / UNIT).astype(np.int64)
+        projection = own.projection()
+        for batch in batches:
+            numbers, vectors, rest, texts = [np.zeros(0, np.int32)], [np.zeros((0, DIMS), np.int64)], 0, 0
+            for label, text in zip(batch["label"].to_pylist(), batch["text"], strict=True):
+                coded = own.rows[buckets(text.as_py())]
+                if len(coded):
+                    at, vector, dense = _own_slopes(own, projection, coded, label, weights[label], own.bias)
+                    numbers.append(at)
+                    vectors.append(whole(vector))
+                    rest, texts = rest + whole(dense), texts + 1
+            if texts:
+                rows, at = np.unique(np.concatenate(numbers), return_inverse=True)
+                sums = np.zeros((len(rows), DIMS), np.int64)
+                np.add.at(sums, at, np.concatenate(vectors))
+                others = np.append(rest, texts)
+                others = np.pad(others, (0, -len(others) % DIMS)).reshape(-1, DIMS)
+                rows = np.concatenate([rows, -1 - np.arange(len(others))]).astype(np.int32)
+                sums = np.concatenate([sums, others])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(sums[:, i]) for i in range(DIMS))], names=["row", *_SLOPES])
+            give_back()
+
+    made = learnt.select("label", "text").mapInArrow(slopes, "row int, " + ", ".join(f"{name} long" for name in _SLOPES))
+    found = made.groupBy("row").agg(*[F.sum(name).alias(name) for name in _SLOPES]).toArrow()
+    shared.destroy()
+    if not found.num_rows:
+        return None
+    rows = found["row"].to_numpy()
+    sums = np.stack([found[name].to_numpy() for name in _SLOPES], axis=1)
+    others = sums[rows < 0][np.argsort(-rows[rows < 0])].ravel()
+    size = sum(f.size + 2 * FILTERS for f in network.filters) + 1
+    to_embeddings = np.zeros_like(network.embeddings)
+    to_embeddings[rows[rows >= 0]] = sums[rows >= 0] * UNIT
+    return [x / others[size] for x in (to_embeddings, *_parts(network, others[:size] * UNIT))]
+
+
+def calibrate(learnt: DataFrame, network: Network) -> None:
+    """Set thresholds by language, and at -1 the one of all others, from counts over all of ``learnt(label, text)``."""
+    ready(learnt.sparkSession)
+    shared = learnt.sparkSession.sparkContext.broadcast(network)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.logit(text.as_py()) for text in batch["text"]]
+            at = np.floor(np.clip([x for x, _ in found], -FAR, FAR) / GRID).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.int32()), pa.array([x for _, x in found], pa.int32()), pa.array(at)], names=["label", "language", "place"])
+            give_back()
+
+    found = learnt.select("label", "text").mapInArrow(place, "label int, language int, place int")
+    toxic = F.sum("label").alias("toxic")
+    counts = found.groupBy("language", "place").agg(toxic, F.count("*").alias("n")).toArrow()
+    shared.destroy()
+    languages, places, toxic, n = (counts[name].to_numpy() for name in ("language", "place", "toxic", "n"))
+
+    def of(chosen: np.ndarray) -> float:
+        at, index = np.unique(places[chosen], return_inverse=True)
+        both = np.zeros((2, len(at)), np.int64)
+        np.add.at(both[0], index, (n - toxic)[chosen])
+        np.add.at(both[1], index, toxic[chosen])
+        return threshold(at, *both)
+
+    network.thresholds = {-1: of(np.ones(len(n), bool))}
+    for language in range(len(LANGUAGES)):
+        own = languages == language
+        if min(toxic[own].sum(), (n - toxic)[own].sum()) >= CALIBRATED:
+            network.thresholds[language] = of(own)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """A network fitted and calibrated with every label that may be learnt; None without both classes."""
+    spark = docs.sparkSession
+    ready(spark)
+    learnt = learnable(docs, labels).select(
+        F.col("label").cast("int").alias("label"), "text",
+        # Equal texts are all aside or none.
+        F.when(F.pmod(F.xxhash64("text"), F.lit(4)) == 0, ASIDE).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES))).cast("int").alias("part"),
     )
-    rows = sorted((r["label"], r["text"]) for r in texts.select("label", "text").collect())
-    if not rows or rows[0][0] == rows[-1][0]:
+    path = stage_folder(spark)
+    learnt.write.partitionBy("part").parquet(path)
+    read = lambda: spark.read.schema("label int, text string, part int").parquet(path)
+    totals = np.zeros((2, 2), np.int64)
+    for row in read().groupBy((F.col("part") == ASIDE).alias("aside"), "label").count().collect():
+        totals[int(row["aside"]), row["label"]] = row["count"]
+    if not totals.sum(0).all():
+        remove(spark, path)
         return None
-    marks = np.array([label for label, _ in rows], np.int64)
-    aside = np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % 4 == 0 for _, t in rows])
-    learnt = np.flatnonzero(~aside)
-    if len(np.unique(marks[learnt])) < 2 or len(np.unique(marks[aside])) < 2:
-        learnt = np.arange(len(rows))  # too few to set some aside
-        aside[:] = True
-    network = fit([buckets(rows[i][1]) for i in learnt], marks[learnt])
-    calibrate(network, [rows[i][1] for i in np.flatnonzero(aside)], marks[aside])
+    apart = bool(totals.all())  # else too few to set some aside
+    part = F.col("part") if apart else F.when(F.col("part") == ASIDE, F.lit(0)).otherwise(F.col("part"))
+    rows = read().withColumn("part", part)
+    totals = totals[0] if apart else totals.sum(0)
+    counts, counted = written(bucket_counts(rows.filter(F.col("part") != ASIDE)))
+    counts = counts.toArrow()
+    kept = counts["bucket"].to_numpy()
+    order = np.argsort(kept)
+    network = started(kept[order], np.stack([counts["clean"].to_numpy(), counts["toxic"].to_numpy()])[:, order], totals)
+    descend(network, lambda network, batch: batch_slopes(rows.filter(F.col("part") == batch), network, importance(totals)))
+    calibrate(rows.filter(F.col("part") == ASIDE) if apart else rows, network)
+    remove(spark, counted)
+    remove(spark, path)
     return network
 
 
