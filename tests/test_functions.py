@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,29 @@ def test_nested_sections_take_their_links_from_within(spark):
     pages = spark.createDataFrame([("t", 1, page)], "search_term string, page_no int, html string")
     found = LK.listing_links(pages).orderBy("pos").collect()
     assert [(r["pos"], r["url"]) for r in found] == [(0, "/job/aaaaaaaa"), (1, None), (2, "/job/bbbbbbbb"), (3, "/job/bbbbbbbb")]
+
+
+def test_scripts_and_comments_end_at_their_first_end(spark):
+    """As the patterns that go on character by character find them; a page is searched once for its scripts."""
+    code, script = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script\s*>"
+    data = "<SCRIPT type='application/ld+json' id=1>"
+    pages = [
+        f"a<!-->{data}x</script>-->b{data}{{1<2 <!-- }}</Script \n>c", f"{data}open <b>", f"<!-- - -- ->{data}</script>", f"{data}</script>{data}</scripts></script >",
+        f"<style>{data}</style>a</script><script>x</style></script\t>b", f"{data}ä<\n-</script><!--->--><!----><scripts>z</scripts>", f"{data}" + "<-" * 50_000 + "</script>z",
+        f"<!--{'-' * 50_000}>{data}y</script>", "", "<", "<script>", "<script type=application/ld+json></script>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, p string")
+    found = df.select("i", H.strip_code(F.col("p")).alias("left"), H.json_scripts(F.col("p")).alias("scripts"))
+    wanted = [(re.sub(code, "", p), [m[2] for m in re.finditer(script, p) if re.search("(?i)type='?application/ld.json", m[1] or "")]) for p in pages]
+    assert [(r["left"], r["scripts"]) for r in found.orderBy("i").collect()] == wanted
+    plan = df.select(H.json_scripts(F.col("p")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_clean_line_is_one_replacement(spark):
+    lines = ["a b", " a  b ", "a1b", "a 1b", "a1 b", "1", " ", "  ", "", "ä-ß  ö", "a\tb\n c", "x" + " 1 " * 3 + "y"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    old = F.regexp_replace(F.regexp_replace("x", r"[^\p{L} ]", " "), " {2,}", " ")
+    assert df.select(X.clean_line(F.col("x"))).collect() == df.select(old).collect()
+    plan = df.select(X.clean_line(F.col("x")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

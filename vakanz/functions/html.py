@@ -17,13 +17,15 @@ from vakanz.functions.arrays import BLOCK, following, last_of_each, let, matchin
 # Attribute text: quoted values are skipped as a whole. Possessive, so that long or broken
 # attributes cannot make the matcher backtrack.
 _ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
-START_TAG = rf"<([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
+START_TAG = rf"<([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*)"
 ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?"""
 QUOTES = r"""^["']|["']$"""
-TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*+)"
-# A comment may hold scripts and a script comments: whichever starts first counts.
-COMMENT_OR_CODE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
-COMMENT_OR_SCRIPT = r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script\s*>"
+TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9]*+)({_ATTRS})>([^<]*)"
+# A comment may hold scripts and a script comments: whichever starts first counts. Both run up to the
+# first end; the matcher goes from one ``-`` or ``<`` to the next, not character by character.
+_COMMENT = r"!--[^-]*(?:-(?!->)[^-]*)*+-->"
+COMMENT_OR_CODE = rf"(?i)<(?:{_COMMENT}|(script|style)\b[^>]*>[^<]*(?:<(?!/\1\s*>)[^<]*)*+</\1\s*>)"
+COMMENT_OR_SCRIPT = rf"(?i)<(?:{_COMMENT}|script\b[^>]*>[^<]*(?:<(?!/script\s*>)[^<]*)*+</script\s*>)"
 LD_JSON = r"""(?i)(?:^|\s)type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?:\s|$))"""
 
 # Elements without content; text after them belongs to the surrounding element.
@@ -265,13 +267,18 @@ def _found_in_turn(all_tags: Column, min_length: int) -> Column:
 
 
 def json_scripts(page: Column) -> Column:
-    """Texts of the structured-data scripts of a page, in document order."""
-    scripts = F.arrays_zip(
-        F.regexp_extract_all(page, F.lit(COMMENT_OR_SCRIPT), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(page, F.lit(COMMENT_OR_SCRIPT), F.lit(2)).alias("text"),
-    )
-    chosen = F.filter(scripts, lambda s: F.regexp_like(s["attrs"], F.lit(LD_JSON)))
-    return F.transform(chosen, lambda s: s["text"])
+    """Texts of the structured-data scripts of a page, in document order; the page is searched once."""
+    found = F.regexp_extract_all(page, F.lit(COMMENT_OR_SCRIPT), F.lit(0))
+    start = lambda s: F.substring_index(s, ">", 1)
+    attrs = lambda s: F.regexp_extract(start(s), r"(?is)^<script\b(.*)$", 1)
+    chosen = F.filter(found, lambda s: F.regexp_like(attrs(s), F.lit(LD_JSON)))
+
+    def text(script: Column) -> Column:
+        # The start and end tags go, with the bracket that the parts beside them were cut at.
+        begin = F.length(start(script)) + 1
+        return F.substring(script, begin + 1, F.length(script) - begin - F.length(F.substring_index(script, "<", -1)) - 1)
+
+    return F.transform(chosen, text)
 
 
 def text_content(fragment: Column) -> Column:

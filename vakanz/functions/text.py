@@ -17,8 +17,8 @@ TOKEN = r"\p{L}{2,}"
 
 def clean_line(line: Column) -> Column:
     """Letters and single spaces only, not trimmed, case kept."""
-    letters = F.regexp_replace(line, r"[^\p{L} ]", " ")
-    return F.regexp_replace(letters, " {2,}", " ")
+    # Runs of other characters become a space; a run that is one already is passed over.
+    return F.regexp_replace(line, r"[^\p{L} ]\P{L}*| \P{L}+", " ")
 
 
 def sanitize(lines: Column) -> Column:
