@@ -160,3 +160,30 @@ def test_odd_rows_no_labels_and_taken_names(spark):
     assert tox.toxicity_report(fixtures.empty(docs), labels).count() == 0
     with pytest.raises(ValueError):
         tox.with_toxicity(docs, None)
+
+
+def test_texts_hashed_together_are_hashed_as_alone(spark, monkeypatch):
+    """Texts of all lengths, some of them without words, in one group and in many; and no more hashing than one call a group."""
+    texts = [t for _, t, _ in corpus(8, 60)] + ["", " . ", "x", "\ud800a b\U0001f600c", "ΑΣ Σ", "y" * 900 + " z"]
+    alone = [tox.buckets(t) for t in texts]
+    calls, hashed = [], tox._buckets
+    monkeypatch.setattr(tox, "_buckets", lambda lowered: calls.append(len(lowered)) or hashed(lowered))
+    for span in (tox.SPAN, 1000):
+        monkeypatch.setattr(tox, "SPAN", span)
+        calls.clear()
+        doubled = list(tox.each(iter(texts), lambda found: [found, 2 * found]))
+        assert len(doubled) == len(texts) == sum(calls)
+        assert len(calls) <= 1 + sum(map(len, texts)) // span
+        assert all((a == b).all() and (2 * a == c).all() for a, (b, c) in zip(alone, doubled, strict=True))
+    assert list(tox.each([])) == []
+
+
+def test_slopes_are_the_same_however_many_are_held(spark, monkeypatch):
+    rows = corpus(9, 40)
+    network = tox.fit([tox.buckets(t) for _, t, _ in rows], np.array([y for _, _, y in rows]), rounds=1)
+    docs = spark.createDataFrame([(y, t) for _, t, y in rows] + [(1, "")], "label int, text string").coalesce(1)
+    whole = tox.batch_slopes(docs, network, np.array([0.7, 2.0]))
+    monkeypatch.setattr(tox, "HELD_SLOPES", 1)  # of this process; tasks are given the function with it
+    unseen = spark.createDataFrame([(1, "zzzz qqqq"), (0, "")], "label int, text string")
+    none = tox.batch_slopes(unseen, network, np.array([0.7, 2.0]))
+    assert not none[0].any() and all((x == y).all() for x, y in zip(whole, tox.batch_slopes(docs, network, np.array([0.7, 2.0])), strict=True))

@@ -16,17 +16,18 @@ enough of them, else over all languages, in counts by ``GRID`` of what the netwo
 is read from the text's own function words. A score is the logistic function of what exceeds the
 threshold: 0.5 stands at it.
 
-Texts are learnt and scored whole, some thousand words at a time. Null and empty texts, and texts
-without words, have the score of no word at all. Of the texts of a repeated id the least one is
-learnt, once. Labels that are null or contradict each other are not used; without labels of both
-classes every score is 0. An empty table gives an empty result; repeated rows have equal scores;
-other columns are kept by ``with_toxicity``, which refuses a name that is taken.
+Texts are learnt and scored whole, some thousand words at a time; short texts are hashed together,
+with the same results. Null and empty texts, and texts without words, have the score of no word at
+all. Of the texts of a repeated id the least one is learnt, once. Labels that are null or contradict
+each other are not used; without labels of both classes every score is 0. An empty table gives an
+empty result; repeated rows have equal scores; other columns are kept by ``with_toxicity``, which
+refuses a name that is taken.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,6 +54,8 @@ ASIDE = -1
 CALIBRATED = 20
 #: Characters hashed and words scored at once.
 SPAN, WORDS = 1 << 16, 1 << 13
+#: Slopes of rows of embeddings that a task holds before it sums them.
+HELD_SLOPES = 1 << 18
 TOXIC = 0.5
 #: Letters of the beginnings of a word that are features.
 HEADS = (4, 5, 6)
@@ -92,9 +95,15 @@ def buckets(text: str) -> np.ndarray:
 
     A feature that a word is too short for is bucket 0, which no feature has.
     """
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _word_points()[points]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return _buckets([text.lower()])[0]
+
+
+def _buckets(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``buckets`` of texts in lower case, one text after another, and the rows before the end of each."""
+    points = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _word_points().take(points)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     out = np.zeros((len(starts), 1 + len(HEADS)), np.int32)
     low, (powers, inverse) = 0, _powers()
@@ -102,17 +111,43 @@ def buckets(text: str) -> np.ndarray:
         # Words of at most SPAN characters together, or the first SPAN of one longer word.
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + SPAN, side="right")))
         first, last = int(starts[low]), min(int(ends[high - 1]), int(starts[low]) + SPAN)
-        part = points[first:last].astype(np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * powers[: len(part)], dtype=np.uint64)])
+        part = (points[first:last] + np.uint64(1)) * powers[: last - first]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
         at, to = starts[low:high] - first, np.minimum(ends[low:high] - first, len(part))
+        before, unit = sums.take(at), inverse.take(at)
         for column, letters in enumerate((0, *HEADS)):
-            upto = np.minimum(at + letters, to) if letters else to
-            value = (sums[upto] - sums[at]) * inverse[at] + np.uint64(letters)
+            # Only words that are longer than the beginning have it.
+            which = np.flatnonzero(to - at > letters)
+            value = (sums.take((at + letters if letters else to)[which]) - before[which]) * unit[which] + np.uint64(letters)
             value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            number = (value >> np.uint64(40)).astype(np.int32) % (BUCKETS - 1) + 1
-            out[low:high, column] = np.where(to - at > letters, number, 0)
+            out[low + which, column] = (value >> np.uint64(40)).astype(np.uint32) % np.uint32(BUCKETS - 1) + np.uint32(1)
         low = high
-    return out
+    return out, np.searchsorted(starts, np.cumsum([len(text) + 1 for text in lowered]))
+
+
+def each(texts: Iterable[str], make: Callable[[np.ndarray], list[np.ndarray]] = lambda found: [found]) -> Iterator[list[np.ndarray]]:
+    """For each text what ``make`` gives of its ``buckets``: arrays with a row a word, which depends on that word alone.
+
+    Texts of some ``SPAN`` characters, or one longer text, are worked on together.
+    """
+
+    def made(lowered: list[str]) -> Iterator[list[np.ndarray]]:
+        found, ends = _buckets(lowered)
+        arrays, low = make(found), 0
+        for high in ends.tolist():
+            yield [array[low:high] for array in arrays]
+            low = high
+
+    waiting, size = [], 0
+    for text in texts:
+        waiting.append(text.lower())
+        size += len(text)
+        if size >= SPAN:
+            yield from made(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield from made(waiting)
 
 
 @functools.lru_cache(maxsize=1)
@@ -132,10 +167,10 @@ def _speakers() -> tuple[np.ndarray, np.ndarray]:
     return out, marks
 
 
-def language_of(found: np.ndarray) -> int:
-    """The language of most function words, or -1 without any."""
-    kinds, marks = _speakers()
-    votes = np.bincount(kinds[found[:, 0]], minlength=len(marks)) @ marks
+def language_of(kinds: np.ndarray) -> int:
+    """The language of most function words, or -1 without any; ``kinds`` are those of a text's words."""
+    marks = _speakers()[1]
+    votes = np.bincount(kinds, minlength=len(marks)) @ marks
     return int(votes.argmax()) if votes.any() else -1
 
 
@@ -163,39 +198,48 @@ class Network:
 
 def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The sum of the ``table`` rows of each word's features."""
-    out = table[rows[:, 0]]
+    out = table.take(rows[:, 0], axis=0)
     for column in range(1, rows.shape[1]):
-        out += table[rows[:, column]]
+        out += table.take(rows[:, column], axis=0)
     return out
 
 
-def activations(parts: np.ndarray, filters: int, biases: list[np.ndarray], widths=WIDTHS) -> list[np.ndarray]:
-    """Values of each width's filters at each place; ``parts`` are projected words, beyond them is nothing."""
-    out, low = [], 0
-    for width, bias in zip(widths, biases, strict=True):
-        value = parts[:, low : low + filters] + bias
+def activations(
+    parts: np.ndarray, filters: int, biases: list[np.ndarray], widths=WIDTHS, out: np.ndarray | None = None
+) -> list[np.ndarray]:
+    """Values of each width's filters at each place; ``parts`` are projected words, beyond them is nothing.
+
+    ``out`` takes the values, a row a filter.
+    """
+    if out is None:
+        out = np.empty((len(widths) * filters, len(parts)), parts.dtype)
+    # The places of a filter lie side by side.
+    parts, low = np.ascontiguousarray(parts.T), 0
+    values = np.split(out, len(widths))
+    for value, width, bias in zip(values, widths, biases, strict=True):
+        np.add(parts[low : low + filters], bias[:, None], out=value)
         for i in range(1, width):
             at = low + i * filters
-            value[:-i] += parts[i:, at : at + filters]
-        out.append(value)
+            value[:, :-i] += parts[at : at + filters, i:]
         low += width * filters
-    return out
+    return [value.T for value in values]
 
 
 def pooled(network: Network, projection: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The largest value of each filter over a text, 0 at least, and the word where it begins; ``found`` has a row a word."""
     best = np.zeros(len(WIDTHS) * FILTERS, projection.dtype)
     places = np.zeros(len(best), np.int64)
-    reach, each = WIDTHS[-1] - 1, np.arange(FILTERS)
+    reach, each_filter = WIDTHS[-1] - 1, np.arange(len(best))
     for low in range(0, len(found), WORDS):
         # With the next span's first words, so that every window is whole in one of them.
         rows = found[low : low + WORDS + reach]
-        values = activations(summed(network.embeddings, rows) @ projection, FILTERS, network.biases)
+        values = np.empty((len(best), len(rows)), projection.dtype)
+        activations(summed(network.embeddings, rows) @ projection, FILTERS, network.biases, out=values)
         here = WORDS if low + WORDS < len(found) else len(rows)
-        at = [v[:here].argmax(0) for v in values]
-        own = np.concatenate([v[i, each] for v, i in zip(values, at, strict=True)])
+        at = values[:, :here].argmax(1)
+        own = values[each_filter, at]
         higher = own > best
-        best[higher], places[higher] = own[higher], low + np.concatenate(at)[higher]
+        best[higher], places[higher] = own[higher], low + at[higher]
     return best, places
 
 
@@ -206,16 +250,22 @@ class Scorer:
         self.network, self.narrow = network, network.narrow()
         self.projection = self.narrow.projection()
 
+    def _made(self, found: np.ndarray) -> list[np.ndarray]:
+        return [self.network.rows.take(found), _speakers()[0].take(found[:, 0])]
+
+    def logits(self, texts: Iterable[str]) -> Iterator[tuple[float, int]]:
+        """What the network gives for each text, and its language or -1."""
+        for rows, kinds in each(texts, self._made):
+            best, _ = pooled(self.narrow, self.projection, rows)
+            yield float((best * self.network.weights).sum()) + self.network.bias, language_of(kinds)
+
     def logit(self, text: str) -> tuple[float, int]:
-        """What the network gives for a text, and its language or -1."""
-        found = buckets(text)
-        best, _ = pooled(self.narrow, self.projection, self.network.rows[found])
-        return float((best * self.network.weights).sum()) + self.network.bias, language_of(found)
+        return next(self.logits([text]))
 
-    def score(self, text: str) -> float:
-        logit, language = self.logit(text)
+    def scores(self, texts: Iterable[str]) -> Iterator[float]:
         known = self.network.thresholds
-        return float(1 / (1 + np.exp(-np.clip(logit - known.get(language, known[-1]), -30, 30))))
+        for logit, language in self.logits(texts):
+            yield float(1 / (1 + np.exp(-np.clip(logit - known.get(language, known[-1]), -30, 30))))
 
 
 def started(kept: np.ndarray, counts: np.ndarray, totals: np.ndarray, seed: int = 13) -> Network:
@@ -282,6 +332,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> Ne
     return network
 
 
+#: Each column of a projection: its filter, and its place in the filter's window.
+_FILTER = np.concatenate([k * FILTERS + np.arange(FILTERS) for k, width in enumerate(WIDTHS) for _ in range(width)])
+_PLACE = np.concatenate([np.full(FILTERS, j) for width in WIDTHS for j in range(width)])
+
+
 def _own_slopes(
     network: Network, projection: np.ndarray, own: np.ndarray, label: int, weight: float, bias: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,18 +345,13 @@ def _own_slopes(
     active = best > 0
     off = (1 / (1 + np.exp(-np.clip((best * network.weights).sum() + bias, -30, 30))) - label) * weight
     back = off * network.weights * active
-    numbers, vectors, to_filters = [], [], [np.zeros_like(f) for f in network.filters]
-    for k, width in enumerate(WIDTHS):
-        at = slice(k * FILTERS, (k + 1) * FILTERS)
-        which = np.flatnonzero(back[at])
-        for j in range(width):
-            inside = which[places[at][which] + j < len(own)]
-            words, amount = own[places[at][inside] + j], back[at][inside, None]
-            to_filters[k][j][:, inside] = (network.embeddings[words].sum(1) * amount).T
-            numbers.append(words.ravel())
-            vectors.append(np.repeat(amount * network.filters[k][j].T[inside], words.shape[1], axis=0))
-    numbers, vectors = np.concatenate(numbers), np.concatenate(vectors)
-    dense = np.concatenate([*(f.ravel() for f in to_filters), back, off * best, [off]])
+    words_at = places[_FILTER] + _PLACE
+    which = np.flatnonzero((back[_FILTER] != 0) & (words_at < len(own)))
+    rows, amount = own[words_at[which]], back[_FILTER[which], None]
+    to_filters = np.zeros(projection.T.shape, projection.dtype)
+    to_filters[which] = summed(network.embeddings, rows) * amount
+    numbers, vectors = rows.ravel(), np.repeat(amount * projection.T[which], rows.shape[1], axis=0)
+    dense = np.concatenate([to_filters.reshape(-1, FILTERS, DIMS).transpose(0, 2, 1).ravel(), back, off * best, [off]])
     return numbers[numbers > 0], vectors[numbers > 0], dense
 
 
@@ -366,10 +416,13 @@ def bucket_counts(learnt: DataFrame) -> DataFrame:
     """``bucket, clean, toxic``: the texts of ``learnt(label, text)`` that have each bucket, where they are enough."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts, last = np.zeros((2, BUCKETS), np.int64), np.zeros(BUCKETS, np.intp)
         for batch in batches:
-            for label, text in zip(batch["label"].to_pylist(), batch["text"], strict=True):
-                counts[label, np.unique(buckets(text.as_py()))] += 1
+            for label, (found,) in zip(batch["label"].to_pylist(), each(text.as_py() for text in batch["text"]), strict=True):
+                # Each bucket of a text once: where it stands last.
+                found, order = found.ravel(), np.arange(found.size)
+                last[found] = order
+                counts[label, found[last[found] == order]] += 1
             give_back()
         counts[:, 0] = 0
         met = np.flatnonzero(counts.any(0)).astype(np.int32)
@@ -396,24 +449,34 @@ def batch_slopes(learnt: DataFrame, network: Network, weights: np.ndarray) -> li
     def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, whole = shared.value, lambda x: np.rint(x.astype(np.float64) / UNIT).astype(np.int64)
         projection = own.projection()
+
+        def coded(found: np.ndarray) -> list[np.ndarray]:
+            return [own.rows.take(found)]
+
+        def added(numbers: list[np.ndarray], vectors: list[np.ndarray], rest: np.ndarray, texts: int) -> pa.RecordBatch:
+            numbers, vectors = np.concatenate(numbers), np.concatenate(vectors)
+            order = np.argsort(numbers, kind="stable")
+            numbers = numbers[order]
+            first = np.flatnonzero(np.diff(numbers, prepend=-1))
+            others = np.append(rest, texts)
+            others = np.pad(others, (0, -len(others) % DIMS)).reshape(-1, DIMS)
+            rows = np.concatenate([numbers[first], -1 - np.arange(len(others))]).astype(np.int32)
+            sums = np.concatenate([np.add.reduceat(vectors[order], first, axis=0), others])
+            return pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(sums[:, i]) for i in range(DIMS))], names=["row", *_SLOPES])
+
         for batch in batches:
-            numbers, vectors, rest, texts = [np.zeros(0, np.int32)], [np.zeros((0, DIMS), np.int64)], 0, 0
-            for label, text in zip(batch["label"].to_pylist(), batch["text"], strict=True):
-                coded = own.rows[buckets(text.as_py())]
-                if len(coded):
-                    at, vector, dense = _own_slopes(own, projection, coded, label, weights[label], own.bias)
+            numbers, vectors, rest, texts, waiting = [], [], 0, 0, 0
+            for label, (rows,) in zip(batch["label"].to_pylist(), each((text.as_py() for text in batch["text"]), coded), strict=True):
+                if len(rows):
+                    at, vector, dense = _own_slopes(own, projection, rows, label, weights[label], own.bias)
                     numbers.append(at)
                     vectors.append(whole(vector))
-                    rest, texts = rest + whole(dense), texts + 1
+                    rest, texts, waiting = rest + whole(dense), texts + 1, waiting + len(at)
+                if waiting >= HELD_SLOPES:
+                    yield added(numbers, vectors, rest, texts)
+                    numbers, vectors, rest, texts, waiting = [], [], 0, 0, 0
             if texts:
-                rows, at = np.unique(np.concatenate(numbers), return_inverse=True)
-                sums = np.zeros((len(rows), DIMS), np.int64)
-                np.add.at(sums, at, np.concatenate(vectors))
-                others = np.append(rest, texts)
-                others = np.pad(others, (0, -len(others) % DIMS)).reshape(-1, DIMS)
-                rows = np.concatenate([rows, -1 - np.arange(len(others))]).astype(np.int32)
-                sums = np.concatenate([sums, others])
-                yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(sums[:, i]) for i in range(DIMS))], names=["row", *_SLOPES])
+                yield added(numbers, vectors, rest, texts)
             give_back()
 
     made = learnt.select("label", "text").mapInArrow(slopes, "row int, " + ", ".join(f"{name} long" for name in _SLOPES))
@@ -438,7 +501,7 @@ def calibrate(learnt: DataFrame, network: Network) -> None:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.logit(text.as_py()) for text in batch["text"]]
+            found = list(scorer.logits(text.as_py() for text in batch["text"]))
             at = np.floor(np.clip([x for x, _ in found], -FAR, FAR) / GRID).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.int32()), pa.array([x for _, x in found], pa.int32()), pa.array(at)], names=["label", "language", "place"])
             give_back()
@@ -510,7 +573,7 @@ def with_toxicity(docs: DataFrame, network: Network | None, text_col: str = "tex
         scorer = Scorer(shared.value)
         for batch in texts:
             give_back()
-            yield pa.array([scorer.score(t.as_py()) for t in batch], pa.float64())
+            yield pa.array(scorer.scores(text.as_py() for text in batch), pa.float64())
 
     return docs.withColumn(into, score(words_of(text_col)))
 
