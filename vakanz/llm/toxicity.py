@@ -135,6 +135,7 @@ def each(texts: Iterable[str], make: Callable[[np.ndarray], list[np.ndarray]] =
     def made(lowered: list[str]) -> Iterator[list[np.ndarray]]:
         found, ends = _buckets(lowered)
         arrays, low = make(found), 0
+        del found
         for high in ends.tolist():
             yield [array[low:high] for array in arrays]
             low = high
